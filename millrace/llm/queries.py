@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, licenses, packing, simhash
+from millrace.llm import decontaminate, licenses, packing, simhash, suffix_tree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and suffix-tree log10 probabilities of all documents."""
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near-duplicate components of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -47,6 +52,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_lm_scoring": op4_lm_scoring,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
