@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, licenses, packing, quality_rules, secrets, simhash, suffix_tree, warc
+from millrace.llm import chat, decontaminate, licenses, ordinal, packing, quality_rules, secrets, simhash, suffix_tree, warc
 from millrace.llm.common import stored
 
 
@@ -77,6 +77,13 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(stored(chat.windows(turns.unionByName(hostile)), "windows"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of all documents, and which are selected."""
+    docs = table(spark, sf_dir, "documents")
+    found = ordinal.score(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
+    return found.withColumn("kept", ordinal.kept(F.col("p_from_2")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
