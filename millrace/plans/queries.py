@@ -1,10 +1,284 @@
-"""Registered queries of the core library and the SQL that gives the same rows."""
+"""Registered queries of the core library and the SQL that gives the same rows.
+
+The test tables stand in for the library's own: documents for articles, labels for analyses, pages for raw
+pages, events for the fetch and run logs, conversations for ordered parts of a text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import scalars as S
+from millrace.operators import extract
+from millrace.operators import relational as R
+from millrace.plans import render
+from millrace.sources import catalog, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The fixed day and instant that queries look from.
+AS_OF, NOW = "1996-01-01", "2024-01-15 00:00:00"
+#: Floors by source, with a repeated entry as real lists have.
+FLOORS = [("src0", 6), ("src1", 6), ("src0", 6), ("src2", 2)]
+FLOOR_VALUES = ", ".join(f"('{s}', {n})" for s, n in FLOORS)
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# --- scalars ------------------------------------------------------------------------------------------
+
+_QUERY = r"regexp_extract(u, '^[^?#]*\?([^#]*)', 1)"
+
+
+@query(r"""
+WITH s AS (SELECT page_id, regexp_replace(url, ';[^?#]*', '', 'g') AS u FROM pages),
+p AS (SELECT page_id, u, list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'),
+      lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('pageIndex', 'pageUnit', 'strWhere', 'searchWrd', 'sdate', 'edate')) AS ps FROM s)
+SELECT page_id, regexp_extract(u, '^[^?#]*', 0) || CASE WHEN regexp_matches(u, '^[a-z]+://[^/?#]+([?#]|$)') THEN '/' ELSE '' END
+  || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(list_transform(ps, lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&') ELSE '' END
+  || regexp_extract(u, '#.+$', 0) AS clean_url FROM p""")
+def clean_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", S.clean_url(F.col("url")).alias("clean_url"))
+
+
+@query(r"""
+SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page_no,
+  list_extract(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), -1) AS last_segment FROM pages""")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return _table(spark, sf_dir, "pages").select("page_id", S.query_param(url, "page").alias("page_no"), S.last_segment(url).alias("last_segment"))
+
+
+@query(r"""
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS one, strftime(o_orderdate, '%Y-%m-%d') || ' ~ ' || strftime(o_orderdate + INTERVAL 7 DAY, '%Y-%m-%d') AS many,
+  CAST(o_orderdate AS DATE) AS start_date, CAST(o_orderdate + INTERVAL 7 DAY AS DATE) AS end_date FROM orders""")
+def date_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = lambda c: F.date_format(c, "yyyy.MM.dd")
+    one = shown(F.col("o_orderdate"))
+    both = F.concat(one, F.lit("\n　"), shown(F.col("o_orderdate") + F.expr("INTERVAL 7 DAYS")), F.lit(" "))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", one.alias("a"), both.alias("b"))
+    return rows.select("o_orderkey", S.get_date(F.col("a")).alias("one"), S.get_date(F.col("b")).alias("many"), S.start_date(F.col("b")).alias("start_date"), S.end_date(F.col("b")).alias("end_date"))
+
+
+@query(f"""
+SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) > DATE '{AS_OF}' THEN 'DURATION' ELSE 'REGISTERED' END AS date_type FROM orders""")
+def date_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = F.date_format("o_orderdate", "yyyy.MM.dd")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.when(S.is_after(end, F.lit(AS_OF).cast("date")), "DURATION").otherwise("REGISTERED").alias("date_type"))
+
+
+@query("""
+SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS iso_date,
+  CAST(year(ts + INTERVAL 9 HOUR) AS VARCHAR) || '년 ' || CAST(month(ts + INTERVAL 9 HOUR) AS VARCHAR) || '월 ' || CAST(day(ts + INTERVAL 9 HOUR) AS VARCHAR) || '일' AS display_date FROM events""")
+def kst_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", S.kst_date(F.col("ts")).alias("iso_date"), S.kst_display(F.col("ts")).alias("display_date"))
+
+
+@query("""
+SELECT page_id, replace(replace(replace(replace(replace(url || '<"''&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS escaped,
+  CASE WHEN length(url || repeat('/x', page_id % 30)) > 60 THEN left(url || repeat('/x', page_id % 30), 57) || '...' ELSE url || repeat('/x', page_id % 30) END AS shown FROM pages""")
+def escape_and_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = F.concat("url", F.expr("repeat('/x', cast(page_id % 30 as int))"))
+    return _table(spark, sf_dir, "pages").select("page_id", S.escape_html(F.concat("url", F.lit("<\"'&>"))).alias("escaped"), S.truncate_url(long).alias("shown"))
+
+
+@query("SELECT page_id, url AS trimmed FROM pages")
+def trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    padded = F.concat(F.lit("　﻿ \t"), "url", F.lit("\n  "))
+    return _table(spark, sf_dir, "pages").select("page_id", S.js_trim(padded).alias("trimmed"))
+
+
+@query("""
+SELECT event_id, regexp_extract('fnView(''' || event_id || ''', ''admin'', '''')', 'fnView\\(''([^'']*)''', 1) AS first_argument,
+  CAST(event_id AS VARCHAR) AS argument, CAST(event_id AS VARCHAR) AS post FROM events""")
+def script_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id").cast("string")
+    call = F.concat(F.lit("fnView('"), n, F.lit("', 'admin', '')"))
+    greedy = F.concat(F.lit("return goView('"), n, F.lit("')"))
+    return _table(spark, sf_dir, "events").select(
+        "event_id", S.call_first(call, "fnView").alias("first_argument"), S.call_argument(greedy, "goView").alias("argument"), S.post_id(F.concat(F.lit("nttSeq='"), n, F.lit("'"))).alias("post")
+    )
+
+
+# --- pages --------------------------------------------------------------------------------------------
+
+
+@query(r"""
+SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS n_links,
+  CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n_paragraphs FROM pages""")
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0))).cast("long")
+    return _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), count("<a ").alias("n_links"), count("<p>").alias("n_paragraphs"))
+
+
+@query()
+def detail_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "pages").select("page_id", "url", "html", F.lit("generic").alias("detail_spec"))
+    found = extract.details(own)
+    return own.select("page_id", S.clean_url(F.col("url")).alias("detail_url")).join(found, "page_id")
+
+
+@query(r"""
+WITH n AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li><a href="[^"]*">[^<]*</a></li>') AS items FROM pages),
+x AS (SELECT page_id, unnest(range(1, len(items) + 1)) AS pos, unnest(items) AS item FROM n)
+SELECT page_id, CAST(pos AS BIGINT) AS pos, regexp_extract(item, '>([^<]*)</a>', 1) AS title, regexp_extract(item, 'href="([^"]*)"', 1) AS href FROM x""")
+def list_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(extract.raw_items("html", F.lit("navigation"))).alias("n", "r"))
+    return own.select("page_id", (F.col("n") + 1).cast("long").alias("pos"), "r.title", "r.href")
+
+
+@query(f"""
+SELECT event_id FROM events WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 5 MINUTE""")
+def fetch_cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.fresh(_table(spark, sf_dir, "events"), F.lit(NOW).cast("timestamp_ntz"), fetched="ts").select("event_id")
+
+
+# --- catalogue ----------------------------------------------------------------------------------------
+
+_TARGET_VALUES = ",\n".join("(" + ", ".join([_quoted(r[0]), _quoted(r[2]), _quoted(r[3]), _quoted(r[4]), str(r[8]), str(r[10])]) + ")" for r in catalog.target_rows())
+_TARGETS = f"(VALUES {_TARGET_VALUES}) AS t(group_id, target_id, target_name, url, enabled, pos)"
+
+
+@query(f"SELECT group_id, target_id, target_name, url FROM {_TARGETS} WHERE enabled")
+def target_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.groups(spark).select(F.col("id").alias("group_id"), F.explode("targets").alias("t")).select("group_id", F.col("t.id").alias("target_id"), F.col("t.name").alias("target_name"), "t.url")
+
+
+@query(f"SELECT group_id, count(*) AS n_targets FROM {_TARGETS} WHERE enabled GROUP BY group_id")
+def group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.targets(spark).groupBy("group_id").agg(F.count("*").alias("n_targets"))
+
+
+@query(f"""
+SELECT string_agg('<li><a href="' || replace(replace(url, '&', '&amp;'), '''', '&#039;') || '">' || target_name || '</a></li>', chr(10) ORDER BY pos) AS sources
+FROM {_TARGETS} WHERE enabled""")
+def render_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.source_list(catalog.targets(spark))
+
+
+# --- articles -----------------------------------------------------------------------------------------
+
+
+@query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def new_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.new_articles(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
+
+
+@query("SELECT d.doc_id, d.source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def existing_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.existing_articles(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
+
+
+@query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def unscored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    analysis = _table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 1).alias("score"))
+    return R.unscored(_table(spark, sf_dir, "documents"), analysis, "doc_id").select("doc_id")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.with_details(_table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), _table(spark, sf_dir, "labels"), "doc_id")
+    rows = rows.select("doc_id", "source", "lang", (F.col("quality") * 5 + F.col("toxic")).cast("int").alias("score"))
+    return R.effective_score(rows, spark.createDataFrame(FLOORS, "target_url string, min_score int"), url="source")
+
+
+_SCORED = f"""
+f AS (SELECT source, max(m) AS m FROM (VALUES {FLOOR_VALUES}) AS v(source, m) GROUP BY source),
+s AS (SELECT d.doc_id, d.source, d.lang, CAST(l.quality * 5 + l.toxic AS INTEGER) AS score, CAST(greatest(l.quality * 5 + l.toxic, coalesce(f.m, -1)) AS INTEGER) AS effective_score
+      FROM documents d JOIN labels l USING (doc_id) LEFT JOIN f ON f.source = d.source)"""
+_GATE = """
+c AS (SELECT * FROM s WHERE lang = 'es'),
+g AS (SELECT source, count(*) AS n_articles, max(effective_score) AS max_score, count(*) > 5 OR max(effective_score) >= 8 AS publish FROM c GROUP BY source)"""
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, source, score, effective_score FROM s")
+def effective_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("doc_id", "source", "score", "effective_score")
+
+
+@query(f"WITH {_SCORED}, {_GATE} SELECT * FROM g")
+def publication_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.publication_gate(_scored(spark, sf_dir).where("lang = 'es'"), ["source"])
+
+
+@query(f"WITH {_SCORED}, {_GATE} SELECT doc_id, source FROM c WHERE source NOT IN (SELECT source FROM g WHERE publish)")
+def carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored(spark, sf_dir).where("lang = 'es'")
+    return R.carry_over(rows, R.publication_gate(rows, ["source"]), ["source"]).select("doc_id", "source")
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, effective_score FROM s WHERE doc_id NOT IN (SELECT item_id FROM benchmark) ORDER BY effective_score DESC, doc_id LIMIT 20")
+def candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
+    return R.top_articles(R.candidates(_scored(spark, sf_dir), used, "doc_id"), 20, "doc_id").select("doc_id", "effective_score")
+
+
+@query(f"""WITH {_SCORED}
+SELECT doc_id, source, effective_score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY effective_score DESC, doc_id) AS r FROM s) WHERE r <= 3""")
+def top_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_articles(_scored(spark, sf_dir), 3, "doc_id", ["source"]).select("doc_id", "source", "effective_score", "rank")
+
+
+@query("SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def one_per_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2("text", 256).alias("name"))
+    return R.one_per_url(named, "name", ("doc_id",)).select("doc_id", "source", "lang")
+
+
+@query("SELECT coalesce(max(o_orderkey), 0) + 1 AS next_issue FROM orders")
+def next_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.next_issue(_table(spark, sf_dir, "orders"), "o_orderkey")
+
+
+@query("SELECT DISTINCT lang AS tag FROM documents UNION SELECT DISTINCT source FROM documents")
+def tag_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.tag_vocabulary(_table(spark, sf_dir, "documents").select(F.array("lang", "source").alias("tags")))
+
+
+@query("SELECT source, count(*) AS n_articles FROM documents GROUP BY source")
+def saved_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_articles"))
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def latest_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.latest(_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", F.col("event_id"))
+
+
+@query("""
+SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS completed_at, count(*) AS n_events
+FROM events GROUP BY user_id, event_type""")
+def crawl_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    rows = _table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n_events"))
+    return rows.select("user_id", "event_type", shown("a").alias("started_at"), shown("b").alias("completed_at"), "n_events")
+
+
+@query("SELECT conv_id, string_agg(CAST(turn AS VARCHAR) || '. **' || role || '**' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def journal_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.concat(F.col("turn").cast("string"), F.lit(". **"), "role", F.lit("**\n"), "text")
+    return R.rolled_up(_table(spark, sf_dir, "conversations"), "conv_id", "turn", part)
+
+
+@query("SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || '}' AS json FROM documents")
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("json"))
