@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Maps the bytes A-Z to a-z and leaves all others.
@@ -31,6 +32,14 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER_ALNUM).split() if text else []
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often the body names it.
+
+    A column that stands inside a lambda is computed anew for every element; a lambda's own variable isn't.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the shared folder that ``spark.checkpoint.dir`` names.
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WS, stored
+from millrace.llm.common import WS, let, stored
 
 #: White space as characters, for trimming.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -73,37 +73,35 @@ def repeat_words(words: Column) -> Column:
     places = F.sequence(F.lit(0), n - 3)
     hashes = F.transform(places, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
-    def windows(h: Column) -> Column:
-        low = F.call_function("shiftleft", F.lit(1).cast("long"), _bits(n)) - 1
+    def windows(h: Column, low: Column) -> Column:
+        high = F.bitwise_not(low)
 
         def keyed(x: Column, i: Column) -> Column:
-            return x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))
+            return x.bitwiseAND(high).bitwiseOR(i.cast("long"))
 
-        def covered(keys: Column) -> Column:
-            def same(a: Column, b: Column) -> Column:
-                p, q = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
-                texts = [F.get(words, p + k) == F.get(words, q + k) for k in range(3)]
-                return (a.bitwiseAND(F.bitwise_not(low)) == b.bitwiseAND(F.bitwise_not(low))) & texts[0] & texts[1] & texts[2]
+        def same(a: Column, b: Column) -> Column:
+            p, q = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
+            texts = [F.get(words, p + k) == F.get(words, q + k) for k in range(3)]
+            return (a.bitwiseXOR(b).bitwiseAND(high) == 0) & texts[0] & texts[1] & texts[2]
 
+        def repeated(keys: Column) -> Column:
             def twice(x: Column, i: Column) -> Column:
-                before, after = F.get(keys, i - 1), F.get(keys, i + 1)
-                return F.coalesce(same(x, before), F.lit(False)) | F.coalesce(same(x, after), F.lit(False))
+                return F.coalesce(same(x, F.get(keys, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(keys, i + 1)), F.lit(False))
 
-            at = F.sort_array(F.transform(F.filter(keys, twice), lambda x: x.bitwiseAND(low)))
+            return F.sort_array(F.transform(F.filter(keys, twice), lambda x: x.bitwiseAND(low)))
+
+        def covered(at: Column) -> Column:
             # Each window adds what reaches beyond the one before it.
-            added = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(p - F.get(at, i - 1), F.lit(3))))
-            return F.aggregate(added, F.lit(0).cast("long"), lambda s, x: s + x)
+            start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
+            add = lambda s, p: F.struct((s["n"] + F.least(F.lit(3), p - s["last"])).alias("n"), p.alias("last"))
+            return F.aggregate(at, start, add, lambda s: s["n"])
 
-        return _let(F.sort_array(F.transform(h, keyed)), covered)
+        return let(let(F.sort_array(F.transform(h, keyed)), repeated), covered)
 
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), _bits(n)) - 1
     # Most texts repeat no window, which a set of hashes shows at once.
     unlike = lambda h: F.size(F.array_distinct(h)) == F.size(h)
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(_let(hashes, lambda h: F.when(unlike(h), F.lit(0).cast("long")).otherwise(windows(h))))
-
-
-def _let(value: Column, body: object) -> Column:
-    """``body`` over a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(hashes, lambda h: F.when(unlike(h), F.lit(0).cast("long")).otherwise(let(low, lambda m: windows(h, m)))))
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -121,7 +119,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.size("w").cast("long").alias("n_words"),
         F.length(joined).cast("long").alias("word_chars"),
         _count(F.col("t"), r"[#*$%&|<>]+").alias("n_symbols"),
-        _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
         repeat_words(F.col("w")).alias("n_repeat_words"),
         _count(F.col("t"), r"[A-Za-z\x{80}-\x{10FFFF}]+").alias("n_letters"),
         _count(F.col("t"), r"[A-Z]+").alias("n_capitals"),
