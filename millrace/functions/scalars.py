@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ SPACE = r"[\s\p{Z}\x{FEFF}]+"
 PAGING = ["pageIndex", "pageUnit", "strWhere", "searchWrd", "sdate", "edate"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that stands once in the plan, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def js_trim(c: Column) -> Column:
     """Trims Unicode white space at both ends."""
     return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}", ""), f"{SPACE}$", "")
@@ -24,14 +31,18 @@ def or_else(c: Column, other: Column) -> Column:
 
 def get_date(c: Column) -> Column:
     """Dots become dashes; of several lines the first two become a range, the second one trimmed."""
-    lines = F.split(c, "\n")
-    both = F.concat(F.get(lines, F.lit(0)), F.lit(" ~ "), js_trim(F.get(lines, F.lit(1))))
-    return F.replace(F.when(F.contains(c, F.lit("\n")), both).otherwise(c), F.lit("."), F.lit("-"))
+    def dated(x: Column) -> Column:
+        lines = F.split(x, "\n")
+        both = F.concat(F.get(lines, F.lit(0)), F.lit(" ~ "), js_trim(F.get(lines, F.lit(1))))
+        return F.when(F.contains(x, F.lit("\n")), both).otherwise(x)
+
+    return F.replace(let(c, dated), F.lit("."), F.lit("-"))
 
 
 def parse_date(c: Column) -> Column:
     """A strict date, null for anything else."""
-    return F.when(js_trim(c).rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp(js_trim(c), F.lit("yyyy-M-d")).cast("date"))
+    strict = lambda x: F.when(x.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp(x, F.lit("yyyy-M-d")).cast("date"))
+    return let(js_trim(c), strict)
 
 
 def start_date(c: Column) -> Column:
@@ -40,8 +51,7 @@ def start_date(c: Column) -> Column:
 
 def end_date(c: Column) -> Column:
     """The second date of a range, or the only date."""
-    parts = F.split(get_date(c), "~")
-    return parse_date(F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))
+    return parse_date(let(F.split(get_date(c), "~"), lambda p: F.coalesce(F.get(p, F.lit(1)), F.get(p, F.lit(0)))))
 
 
 def is_after(c: Column, as_of: Column) -> Column:
@@ -54,8 +64,7 @@ def query_param(url: Column, name: str | Column) -> Column:
     name = F.lit(name) if isinstance(name, str) else name
     pairs = F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&")
     own = F.filter(pairs, lambda p: _decoded(F.substring_index(p, "=", 1)) == name)
-    first = F.get(own, F.lit(0))
-    return F.when(first.isNotNull(), _decoded(F.when(F.contains(first, F.lit("=")), F.substring(first, F.instr(first, F.lit("=")) + 1, F.length(first))).otherwise("")))
+    return let(F.get(own, F.lit(0)), lambda p: F.when(p.isNotNull(), _decoded(_value(p))))
 
 
 def last_segment(url: Column) -> Column:
@@ -79,27 +88,32 @@ def post_id(c: Column) -> Column:
 
 
 def _decoded(c: Column) -> Column:
-    return F.coalesce(F.try_url_decode(c), c)
+    return let(c, lambda x: F.coalesce(F.try_url_decode(x), x))
+
+
+def _value(pair: Column) -> Column:
+    """What follows the first equals sign; empty without one."""
+    return F.when(F.contains(pair, F.lit("=")), F.substring(pair, F.instr(pair, F.lit("=")) + 1, F.length(pair))).otherwise("")
 
 
 def _segments(path: Column) -> Column:
     """A path without dot segments; ``..`` takes back what stands before it."""
-    parts = F.split(F.substring(path, 2, 1 << 20), "/")
-    last = F.element_at(parts, -1)
 
     def step(done: Column, p: Column) -> Column:
         return F.when(p == ".", done).when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
 
-    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
-    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.when(F.contains(path, F.lit("/.")), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+    def joined(parts: Column) -> Column:
+        end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), end), "/"))
+
+    return let(path, lambda p: F.when(F.contains(p, F.lit("/.")), let(F.split(F.substring(p, 2, 1 << 20), "/"), joined)).otherwise(p))
 
 
 def _escaped(c: Column) -> Column:
     """Percent-encodes what a path cannot hold as it is."""
     odd = lambda x: x.rlike(r"[^\x21-\x7E]|[\"<>`{}^]")
-    each = F.transform(F.split(c, ""), lambda x: F.when(odd(x), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x))
-    return F.when(odd(c), F.array_join(each, "")).otherwise(c)
+    each = lambda p: F.transform(F.split(p, ""), lambda x: F.when(odd(x), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x))
+    return let(c, lambda p: F.when(odd(p), F.array_join(each(p), "")).otherwise(p))
 
 
 def clean_url(url: Column) -> Column:
@@ -107,33 +121,32 @@ def clean_url(url: Column) -> Column:
 
     What follows a semicolon goes up to the next ``?`` or ``#``, in the query too.
     """
-    s = js_trim(F.regexp_replace(url, ";[^?#]*", ""))
-    scheme = F.lower(F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(s, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = F.regexp_extract(s, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    path = _escaped(_segments(F.when(path == "", "/").otherwise(F.replace(path, F.lit("\\"), F.lit("/")))))
-    pairs = F.filter(F.split(F.regexp_extract(s, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
-    split = F.transform(
-        pairs,
-        lambda p: F.struct(
-            _decoded(F.substring_index(p, "=", 1)).alias("k"),
-            _decoded(F.when(F.contains(p, F.lit("=")), F.substring(p, F.instr(p, F.lit("=")) + 1, F.length(p))).otherwise("")).alias("v"),
-        ),
-    )
-    kept = F.filter(split, lambda p: ~p["k"].isin(PAGING))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
-    fragment = F.regexp_extract(s, r"(#.*)$", 1)
-    whole = F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.when(fragment == "#", "").otherwise(fragment))
-    return F.when(s.rlike(r"^[Hh][Tt][Tt][Pp][Ss]?://[^/?#\s]+"), whole).otherwise(url)
+
+    def cleaned(s: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+        host = F.lower(F.regexp_extract(s, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+        path = F.regexp_extract(s, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+        path = let(path, lambda p: F.when(p == "", "/").otherwise(F.replace(p, F.lit("\\"), F.lit("/"))))
+        pairs = F.filter(F.split(F.regexp_extract(s, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
+        split = F.transform(pairs, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(_value(p)).alias("v")))
+        kept = F.filter(split, lambda p: ~p["k"].isin(PAGING))
+        query = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
+        start = F.regexp_replace(F.concat(scheme, F.lit("://"), host), "^(http://.*):80$|^(https://.*):443$", "$1$2")
+        fragment = F.regexp_replace(F.regexp_extract(s, r"(#.*)$", 1), "^#$", "")
+        return F.concat(start, _escaped(_segments(path)), let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")), fragment)
+
+    web = r"^[Hh][Tt][Tt][Pp][Ss]?://[^/?#\s]+"
+    return let(url, lambda u: let(js_trim(F.regexp_replace(u, ";[^?#]*", "")), lambda s: F.when(s.rlike(web), cleaned(s)).otherwise(u)))
 
 
 def resolve(href: Column, origin: Column) -> Column:
     """``href`` against an origin without path, as browsers resolve it; null where there is neither base nor scheme."""
-    h = js_trim(href)
-    path = F.when(h.startswith("/") | h.startswith("?") | h.startswith("#"), h).otherwise(F.concat(F.lit("/"), F.regexp_replace(h, r"^(\./)+", "")))
-    path = F.when(path.startswith("?") | path.startswith("#"), F.concat(F.lit("/"), path)).otherwise(path)
-    return F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.substring_index(origin, "//", 1), h)).otherwise(F.concat(origin, path))
+    def located(h: Column) -> Column:
+        plain = F.concat(F.lit("/"), F.regexp_replace(h, r"^(\./)+", ""))
+        path = F.when(h.startswith("/"), h).when(h.startswith("?") | h.startswith("#"), F.concat(F.lit("/"), h)).otherwise(plain)
+        return F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(F.substring_index(origin, "//", 1), h)).otherwise(F.concat(origin, path))
+
+    return let(js_trim(href), located)
 
 
 def kst_date(ts: Column) -> Column:

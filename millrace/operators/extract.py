@@ -123,7 +123,9 @@ def list_items(pages: DataFrame, as_of: Column) -> DataFrame:
     address = F.when(F.col("url_rule") == "template", F.concat("origin", _filled(F.col("url_arg"), F.col("uniq_id")))).otherwise(F.col("located"))
     text = S.js_trim(F.when(F.col("drop_text") != "", F.replace(F.col("date"), F.col("drop_text"), F.lit(""))).otherwise(F.col("date")))
     text = F.when(F.col("widen_tilde"), _replace_first(text, F.lit("~ "), F.lit(" ~ "))).otherwise(text)
-    date = S.get_date(F.concat("date_prefix", text))
+    # Each step is a column of its own, so that no expression is written out again in the next.
+    rows = rows.withColumns({"address": address, "shown": S.get_date(F.concat("date_prefix", text))})
+    address, date = F.col("address"), F.col("shown")
     days = F.split(date, " ~ ")
     period = (
         (F.col("date_rule") == "duration")
@@ -131,7 +133,9 @@ def list_items(pages: DataFrame, as_of: Column) -> DataFrame:
         | ((F.col("date_rule") == "tilde") & F.contains(date, F.lit("~")))
         | ((F.col("date_rule") == "range") & (F.get(days, F.lit(1)).isNotNull()) & (F.get(days, F.lit(0)) != F.get(days, F.lit(1))))
     )
-    shown = F.when((F.col("date_rule") == "range") & ~period, F.get(days, F.lit(0))).otherwise(date)
+    rows = rows.withColumn("period", period)
+    rows = rows.withColumn("shown", F.when((F.col("date_rule") == "range") & ~F.col("period"), F.get(days, F.lit(0))).otherwise(date))
+    period, shown = F.col("period"), F.col("shown")
     return rows.select(
         "page_id",
         (F.col("n") + 1).alias("pos"),
