@@ -77,42 +77,56 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, rounds: int = 120, rate: float = 0.3, ridge: float = 2e-5) -> Model:
+#: Texts whose features are looked at together, which bounds the fit's memory beside the features themselves.
+CHUNK = 500
+
+
+def fit(places: np.ndarray, ends: np.ndarray, grades: np.ndarray, rounds: int = 120, rate: float = 0.3, ridge: float = 2e-5) -> Model:
     """Full-batch Adam on the mean log likelihood with a ridge; thresholds are kept apart as log gaps.
 
-    Grades weigh alike in sum, so that rare ones are learnt.
+    ``places``: all texts' places, one text after another; ``ends``: where each text's end. Grades weigh as the
+    square roots of their counts, so that rare ones are learnt.
     """
-    if not len(grades):
+    n = len(grades)
+    if not n:
         return Model(np.zeros(SIZE), np.full(GRADES - 1, -20.0))
-    size = np.array([len(p) for p, _ in rows])
-    row = np.repeat(np.arange(len(rows)), size)
-    place, value = np.concatenate([p for p, _ in rows]), np.concatenate([v for _, v in rows])
-    used, place = np.unique(place, return_inverse=True)
+    first = np.concatenate([[0], ends[:-1]])
+
+    def chunks():
+        for i in range(0, n, CHUNK):
+            own = slice(i, min(n, i + CHUNK))
+            size = ends[own] - first[own]
+            value = np.repeat(1 / np.sqrt(np.maximum(size - SHARES, 1)), size)
+            value[(np.cumsum(size)[:, None] - 1 - np.arange(SHARES)).ravel()] = 0.5
+            yield own, size, value, places[first[i] : ends[own.stop - 1]]
+
     counts = np.bincount(grades, minlength=GRADES)
     weight = 1 / np.sqrt(np.maximum(counts, 1)[grades])
     weight /= weight.sum()
-    params = np.concatenate([np.zeros(len(used)), [-1.0], np.zeros(GRADES - 2)])
+    params = np.concatenate([np.zeros(SIZE), [-1.0], np.zeros(GRADES - 2)])
     m, v = np.zeros_like(params), np.zeros_like(params)
     top, bottom = grades == GRADES - 1, grades == 0
+    score = np.empty(n)
     for t in range(1, rounds + 1):
-        w, first, gaps = params[: len(used)], params[len(used)], np.exp(params[len(used) + 1 :])
-        theta = first + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(row, value * w[place], len(rows))
+        w, least, gaps = params[:SIZE], params[SIZE], np.exp(params[SIZE + 1 :])
+        theta = least + np.concatenate([[0.0], np.cumsum(gaps)])
+        for own, size, value, place in chunks():
+            score[own] = np.add.reduceat(value * w[place], np.cumsum(size) - size)
         cdf = 1 / (1 + np.exp(np.clip(score[:, None] - theta[None, :], -500, 500)))
-        upper = np.where(top, 1.0, cdf[np.arange(len(rows)), np.minimum(grades, GRADES - 2)])
-        lower = np.where(bottom, 0.0, cdf[np.arange(len(rows)), np.maximum(grades - 1, 0)])
+        upper = np.where(top, 1.0, cdf[np.arange(n), np.minimum(grades, GRADES - 2)])
+        lower = np.where(bottom, 0.0, cdf[np.arange(n), np.maximum(grades - 1, 0)])
         p = np.maximum(upper - lower, 1e-12)
         up, low = np.where(top, 0.0, upper * (1 - upper)), np.where(bottom, 0.0, lower * (1 - lower))
         d_score = weight * (up - low) / p  # of minus the log likelihood
         d_theta = np.zeros(GRADES - 1)
         np.add.at(d_theta, np.minimum(grades, GRADES - 2)[~top], -(weight * up / p)[~top])
         np.add.at(d_theta, np.maximum(grades - 1, 0)[~bottom], (weight * low / p)[~bottom])
-        grad = np.concatenate([np.bincount(place, value * d_score[row], len(used)) + ridge * w, [d_theta.sum()], gaps * np.cumsum(d_theta[::-1])[::-1][1:]])
+        grad = np.concatenate([ridge * w, [d_theta.sum()], gaps * np.cumsum(d_theta[::-1])[::-1][1:]])
+        for own, size, value, place in chunks():
+            grad[:SIZE] += np.bincount(place, value * np.repeat(d_score[own], size), SIZE)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         params = params - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    weights = np.zeros(SIZE)
-    weights[used] = params[: len(used)]
-    return Model(weights, params[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(params[len(used) + 1 :]))]))
+    return Model(params[:SIZE], params[SIZE] + np.concatenate([[0.0], np.cumsum(np.exp(params[SIZE + 1 :]))]))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -123,9 +137,8 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def _featuriser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [features(t) for t in batch.column(1).to_pylist()]
-        arrays = [batch.column(0), pa.array([p for p, _ in made], pa.list_(pa.int64())), pa.array([v for _, v in made], pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["grade", "places", "vals"])
+        made = [features(t)[0].astype(np.int32) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], names=["grade", "places"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -135,11 +148,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = known.where(F.xxhash64("doc_id") <= F.lit(least if least is not None else 0)).limit(sample) if least is not None else known
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # ``chosen`` has at most ``sample`` rows of two numbers, so sending it costs less than moving texts.
-    held = texts.join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(_featuriser, "grade int, places array<long>, vals array<double>").toArrow()
-    rows = [(p.values.to_numpy(), v.values.to_numpy()) for p, v in zip(held.column("places"), held.column("vals"), strict=True)]
-    # The order of arrival decides nothing but rounding; sorting takes that out too.
-    order = sorted(range(len(rows)), key=lambda i: (held.column("grade")[i].as_py(), len(rows[i][0]), zlib.crc32(rows[i][0].tobytes())))
-    return fit([rows[i] for i in order], held.column("grade").to_numpy()[order].astype(np.int64) if rows else np.zeros(0, np.int64))
+    held = texts.join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(_featuriser, "grade int, places array<int>").toArrow().combine_chunks()
+    if not held.num_rows:
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    lists = held.column("places").chunk(0)
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy().astype(np.int64)))
+    return fit(flat, ends, held.column("grade").to_numpy().astype(np.int64))
 
 
 def _scorer(model_of: Callable[[], Model]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
