@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, licenses, ordinal, packing, quality_rules, secrets, simhash, suffix_tree, warc
+from millrace.llm import chat, decontaminate, licenses, oracles, ordinal, packing, quality_rules, secrets, simhash, suffix_tree, warc
 from millrace.llm.common import stored
 
 
@@ -54,7 +54,6 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "n_near",
     )
 
 
@@ -97,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
