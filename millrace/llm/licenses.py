@@ -14,7 +14,9 @@ extra columns are ignored; long texts are scanned whole.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,9 +179,13 @@ def rules() -> list[Rule]:
     return out
 
 
-#: What a text must have for any rule or phrase to match; every rule's gate holds one of these, and the base
-#: phrases do. Searched in the lower-case text, where words may still be apart by other characters.
-HINTS = r"licen[cs]e|spdx|\bmit\b|apache|general\W+public|creative\W*commons|\bcc0?\W+|\bcc0\b|public\W+domain|rights\W+reserved|proprietary|unauthori|prior\W+written|permission|redistribution|unencumbered|gnu\W+org|opensource|mozilla|eclipse|\bsil\W+org|boost|opendatacommons|wtfpl|free\W+software|what\W+the\W+fuck|neither\W+the\W+name|provided\W+as|source\W+code\W+form|bsd|affero|openrail"
+#: What a text must have for any rule or phrase to match: every rule's matches and the base phrases hold one
+#: of these, in lower-case words with one space around them.
+HINTS = [
+    "licens", "licenc", "spdx", " mit ", "apache", "general public", "creative commons", "creativecommons", " cc ", " cc0", "public domain", "rights reserved",
+    "proprietary", "unauthori", "prior written", "permission", "redistribution", "unencumbered", " gnu ", "opensource", "mozilla", "eclipse", " sil org", "boost",
+    "opendatacommons", "wtfpl", "free software", "what the fuck", "neither the name", "provided as", "source code form", "bsd", "affero", "openrail",
+]
 
 
 def words_column(text: Column) -> Column:
@@ -195,20 +201,19 @@ def _spaces(s: Column) -> Column:
 def _intervals(words: Column, pattern: Column) -> Column:
     """Word intervals (first, end) of a pattern's matches; words stand between single spaces."""
     bounded = F.concat(F.lit("(?<= )("), pattern, F.lit(")(?= )"))
-    found = F.regexp_extract_all(words, bounded, F.lit(0))
+    found = F.transform(F.regexp_extract_all(words, bounded, F.lit(0)), lambda m: _spaces(m) + 1)
     between = F.transform(F.split(words, bounded), _spaces)
-    inside = F.transform(found, lambda m: _spaces(m) + 1)
+    sizes = F.filter(F.arrays_zip(between.alias("b"), found.alias("m")), lambda x: x["m"].isNotNull())
 
-    def step(state: Column, i: Column) -> Column:
-        first = state["at"] + F.get(between, i) - 1
-        end = first + F.get(inside, i)
+    def step(state: Column, x: Column) -> Column:
+        first = state["at"] + x["b"] - 1
+        end = first + x["m"]
         span = F.struct(first.cast("long").alias("first"), end.cast("long").alias("end"))
         # The next piece begins with the space after the match, which separates its first word.
         return F.struct(F.concat(state["spans"], F.array(span)).alias("spans"), end.cast("long").alias("at"))
 
     start = F.struct(F.expr("cast(array() as array<struct<first: bigint, end: bigint>>)").alias("spans"), F.lit(0).cast("long").alias("at"))
-    places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda s: s["spans"])
+    return F.aggregate(sizes, start, step, lambda s: s["spans"])
 
 
 DETECTION = "array<struct<first: bigint, upto: bigint, priority: int, rule: int, label: string, confidence: double>>"
@@ -216,9 +221,9 @@ DETECTION = "array<struct<first: bigint, upto: bigint, priority: int, rule: int,
 
 def detections(words: Column, table: list[Rule]) -> Column:
     """All rules' matches, each rule run only where its keyword stands."""
-    literal = F.array(
-        *[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.keyword).alias("keyword"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence")) for i, r in enumerate(table)]
-    )
+    rows = [{"rule": i, "label": r.label, "pattern": r.pattern, "keyword": r.keyword, "priority": r.priority, "confidence": r.confidence} for i, r in enumerate(table)]
+    # One literal that is folded when the plan is made; hundreds of them would take longer to plan than to run.
+    literal = F.from_json(F.lit(json.dumps(rows)), "array<struct<rule: int, label: string, pattern: string, keyword: string, priority: int, confidence: double>>")
     hit = F.filter(literal, lambda r: F.contains(words, r["keyword"]))
 
     def of(r: Column) -> Column:
@@ -254,7 +259,10 @@ def scan(docs: DataFrame, table: list[Rule] | None = None, id_col: str = "doc_id
     """``(doc_id, n_words, base, detections)``: base phrases' intervals with labels, and the rules' kept detections."""
     table = rules() if table is None else table
     rows = docs.select(F.col(id_col).alias("doc_id"), words_column(F.col(text_col)).alias("w"))
-    rows = rows.select("doc_id", (F.when(F.col("w") == "  ", 0).otherwise(_spaces(F.col("w")) - 1)).cast("long").alias("n_words"), F.when(F.col("w").rlike("(?i)" + HINTS), F.lower("w")).alias("w"))
+    n_words = F.when(F.col("w") == "  ", 0).otherwise(_spaces(F.col("w")) - 1)
+    rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), F.lower("w").alias("low"))
+    hinted = reduce(lambda a, b: a | b, [F.contains("low", F.lit(h)) for h in HINTS])
+    rows = rows.select("doc_id", "n_words", F.when(hinted, F.col("low")).alias("w"))
     w = F.col("w")
 
     def named(phrase: str, label: str) -> Column:
