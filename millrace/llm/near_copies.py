@@ -1,16 +1,16 @@
-"""Groups of near copies: word SimHash candidates by multi-index hashing, verified by exact shingle similarity.
+"""Groups of near copies: all pairs of texts of exact shingle similarity, by a prefix filter on rare shingles.
 
-Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. A
-four-bit ball around shingle fingerprints is too small for that (a similarity of 0.8 leaves some ten bits), so
-candidates come from fingerprints over content words, which an edited word changes least, and every candidate
-is verified. The search is that of :mod:`millrace.llm.simhash`: four segments of 16 bits, a ball of one bit in
-each, whole distances of up to ``RADIUS`` bits, and beside them 128 bits over the shingles, which rule out texts
-that share a mere passage. Distances of up to 7 bits are always found; of more, those of which some segment
-holds one bit at most (96 % at 8 bits, 88 % at 9, 78 % at 10, if bits fall evenly).
+Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Put all
+shingles in one order, rarest first. Texts of that similarity share a shingle among the first ``m // 5 + 1`` of
+the m shingles of each, so a text is filed under those alone, and no pair is missed whatever was edited. A shingle
+that stands in one text only brings nobody together and isn't filed: most texts are filed under nothing. Where the
+first shared shingle stands in both texts bounds what they can share, which drops further pairs, none of them near.
 
-Large groups would make a square of pairs. So first each text only meets the leaders of the buckets it looks
-up, a number of pairs that is linear in the texts; verified links collapse large groups. Then all pairs are sought,
-but only between texts that aren't in one group yet. Copies of a text are one node throughout.
+How often a shingle occurs is counted in buckets of shingles, as arrays; what comes back are those of two texts or
+more. Large groups would make a square of pairs. So first each text only meets two leaders of each shingle it is
+filed under, a number of pairs that is linear in the texts: one at random, and the text with the fewest shingles of
+its own, which stands nearest to the middle of its group. Verified links collapse large groups. Then all pairs are
+sought, but only between texts that aren't in one group yet. Copies of a text are one node throughout.
 
 Defined results: texts of equal words (A-Z lowered, white space apart) are copies; a text of fewer words than a
 shingle is one shingle; texts without words are copies of each other; rows without id are never grouped; rows
@@ -28,155 +28,161 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import blank_words, components, stored
-from millrace.llm.simhash import FLUSH, SEED, majority, segment_masks, shingle_hashes
+from millrace.llm.simhash import SEED, shingle_hashes
 
-WIDTH, SIMILARITY = 5, 0.8
-SEGMENTS, RADIUS = 4, 12
-#: Bits, of 128 over shingles, up to which a pair may have the similarity: at 0.8 they come to 19 with a
-#: deviation of 4, so three deviations are allowed for; texts that share a mere passage are beyond.
-SHINGLE_RADIUS = 32
-#: Bytes from which a word counts as a content word.
-CONTENT = 5
-#: Words whose hashes a worker remembers.
-REMEMBERED = 400_000
+WIDTH = 5
+#: Bits of a shingle's hash that are its key. Keys that clash by chance are one shingle everywhere.
+KEY_BITS = 40
+#: Buckets of shingles, at least, as powers of two; the bits of a key beside its bucket fit 32. Shingles of a bucket, about.
+BUCKET_BITS, BUCKET_SHINGLES = 8, 2_000_000
 
 
-def content_hashes(words: list[bytes], known: dict[bytes, int]) -> list[int]:
-    """Hashes of the content words, repeats included; of all words if none is."""
-    own = [w for w in words if len(w) >= CONTENT] or words
-    out = list(map(known.get, own))
-    for i in [i for i, h in enumerate(out) if h is None]:
-        out[i] = known[own[i]] = xxhash.xxh64_intdigest(own[i], SEED)
-    return out
+def shingle_keys(text: str | None) -> np.ndarray:
+    """The distinct keys of a text's shingles, in order."""
+    return np.unique(np.array(shingle_hashes(text, WIDTH), np.uint64) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
-def _shingle_prints(grams: list[np.ndarray]) -> np.ndarray:
-    """Two independent fingerprints over each text's shingles."""
-    flat, sizes = np.concatenate(grams), np.array([len(g) for g in grams])
-    return np.stack([majority(flat, sizes), majority(_mixed(flat), sizes)])
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """Other hashes from hashes: a multiplication and a shift, twice."""
-    for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(factor)
-    return h ^ (h >> np.uint64(29))
+def _copy(text: str | None) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(blank_words(text)), SEED)
 
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, int] = {}
     for batch in batches:
-        copies, prints, shingles, hashes, sizes, grams, held = [], [], [], [], [], [], 0
-        for value in batch.column(1):
-            words = blank_words(value.as_py())
-            copies.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-            if len(known) > REMEMBERED:
-                known.clear()
-            own = content_hashes(words, known)
-            hashes.append(np.array(own, np.uint64))
-            sizes.append(len(own))
-            grams.append(np.array(shingle_hashes(value.as_py(), WIDTH), np.uint64))
-            held += len(own) + len(grams[-1])
-            if held >= FLUSH:
-                prints.append(majority(np.concatenate(hashes), np.array(sizes)))
-                shingles.append(_shingle_prints(grams))
-                hashes, sizes, grams, held = [], [], [], 0
-        if sizes:
-            prints.append(majority(np.concatenate(hashes), np.array(sizes)))
-            shingles.append(_shingle_prints(grams))
-        fp = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-        pair = np.concatenate(shingles, axis=1) if shingles else np.zeros((2, 0), np.uint64)
-        columns = [np.array(copies, np.uint64), fp, pair[0], pair[1]]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]], names=["doc_id", "copy", "fp", "s1", "s2"])
+        texts = batch.column(1).to_pylist()
+        copies = np.array([_copy(t) for t in texts], np.uint64).view(np.int64)
+        sizes = np.array([len(shingle_keys(t)) for t in texts], np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copies), pa.array(sizes)], names=["doc_id", "copy", "m"])
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, copy, fp, s1, s2)``: a hash of the words, the content-word fingerprint, and two over shingles."""
+    """``(doc_id, copy, m)``: a hash of the words, and the number of shingles."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_col)
-    return rows.mapInArrow(_signer, "doc_id long, copy long, fp long, s1 long, s2 long")
+    return rows.mapInArrow(_signer, "doc_id long, copy long, m int")
 
 
-def _keys() -> tuple[list, list]:
-    """Columns of the keys under which ``fp`` is filed, and of those that it looks up."""
-    filed, sought = [], []
-    for i, (lo, bits, masks) in enumerate(segment_masks(SEGMENTS, SEGMENTS)):
-        value = F.shiftrightunsigned(F.col("fp"), lo).bitwiseAND(F.lit((1 << bits) - 1))
-        filed.append(value.bitwiseOR(F.lit(i << 48)))
-        sought += [value.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(i << 48)) for m in masks]
-    return filed, sought
+def _own_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, copy, text)`` of the nodes; a row whose id is a node's may have other words."""
+    return texts.join(nodes.select("node", "copy").hint("shuffle_hash"), "node").select("node", "copy", "text")
 
 
-def _near() -> Column:
-    """Whether rows a and b are near by content words, and by shingles so far that the similarity isn't ruled out."""
-    return (_apart("fp_a", "fp_b") <= RADIUS) & (_apart("s1_a", "s1_b") + _apart("s2_a", "s2_b") <= SHINGLE_RADIUS)
+def _dealer(bits: int):
+    """Deals the shingles of (node, copy, text) rows to 2**bits buckets, as arrays of nodes and of keys."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, copies = batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(1).to_pylist()
+            held, size, first = [], 0, 0
+            for i, text in enumerate(texts):
+                own = np.uint64(_copy(text)).astype(np.int64) == copies[i]
+                held.append(shingle_keys(text) if own else np.zeros(0, np.int64))
+                size += len(held[-1])
+                if size >= BUCKET_SHINGLES or i == len(texts) - 1:
+                    keys, node = np.concatenate(held), np.repeat(ids[first : i + 1], [len(h) for h in held])
+                    bucket = keys & ((1 << bits) - 1)
+                    order = np.argsort(bucket, kind="stable")
+                    keys, node = (keys[order] >> bits).astype(np.uint32), node[order]
+                    there, starts = np.unique(bucket[order], return_index=True)
+                    ends = [*starts[1:], len(keys)]
+                    rows = [[x[s:e].tobytes() for s, e in zip(starts, ends, strict=True)] if len(keys) else [] for x in (node, keys)]
+                    yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary())], names=["bucket", "nodes", "keys"])
+                    held, size, first = [], 0, i + 1
 
-def _sided(side: str, *more: str) -> list[Column]:
-    """The node and its fingerprints, named for a side of a join."""
-    return [F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("fp", "s1", "s2", *more)]]
+    return run
+
+
+SHARED = pa.schema([("node", pa.int64()), ("key", pa.int64()), ("df", pa.int32())])
+
+
+def _sharer(bits: int):
+    """The shingles of a bucket that stand in two texts or more, with the number of texts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes = np.frombuffer(b"".join(group.column("nodes").to_pylist()), np.int64)
+        keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint32)
+        _, place, df = np.unique(keys, return_inverse=True, return_counts=True)
+        df = df[place]
+        kept = df > 1
+        whole = (keys[kept].astype(np.int64) << bits) | (group.column("bucket")[0].as_py() if group.num_rows else 0)
+        return pa.Table.from_arrays([pa.array(nodes[kept]), pa.array(whole), pa.array(df[kept].astype(np.int32))], schema=SHARED)
+
+    return run
 
 
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def postings(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, m, own, pos, key)``: each text under the shared ones of its ``m // 5 + 1`` rarest shingles.
 
+    ``own``: its shingles that no other text has, which come first; ``pos``: the shingle's place in the text's order.
+    """
+    total = nodes.agg(F.sum("m")).first()[0] or 0
+    bits = max(BUCKET_BITS, (total // BUCKET_SHINGLES).bit_length())
+    dealt = _own_texts(texts, nodes).mapInArrow(_dealer(bits), "bucket int, nodes binary, keys binary")
+    shared = dealt.groupBy("bucket").applyInArrow(_sharer(bits), "node long, key long, df int")
+    lists = shared.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("df", "key"))).alias("shared"))
+    rows = lists.join(nodes.select("node", "m"), "node").withColumn("own", F.col("m") - F.size("shared"))
+    first = F.floor(F.col("m") / 5).cast("int") + 1 - F.col("own")
+    rows = rows.where(first > 0).select("node", "m", "own", F.posexplode(F.slice("shared", 1, first)).alias("at", "s"))
+    return rows.select("node", "m", "own", (F.col("own") + F.col("at")).alias("pos"), F.col("s.key").alias("key"))
+
+
+def _may() -> Column:
+    """Whether rows a and b can be near if this is the first shingle that they share: 9 * common >= 4 * (m_a + m_b)."""
+    common = F.least(F.col("m_a") - F.col("pos_a"), F.col("m_b") - F.col("pos_b"))
+    return 9 * common >= 4 * (F.col("m_a") + F.col("m_b"))
 
-def leader_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of a text and the leaders, by two random orders, of the buckets that it looks up."""
-    filed, sought = _keys()
-    own = F.struct("node", "fp", "s1", "s2").alias("own")
-    table = nodes.select(own, "node", F.explode(F.array(*filed)).alias("key"))
-    leaders = table.groupBy("key").agg(*[F.min_by("own", F.xxhash64("node", "key", F.lit(k))).alias(f"l{k}") for k in (1, 2)])
-    leaders = leaders.select(F.col("key").alias("k"), F.explode(F.array_distinct(F.array("l1", "l2"))).alias("l")).select("k", "l.*").select("k", *_sided("b"))
-    probes = nodes.select(*_sided("a"), F.explode(F.array(*sought)).alias("key"))
-    near = (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & _near()
-    return probes.join(leaders, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def _sided(side: str, *more: str) -> list[Column]:
+    """The node and where it is filed, named for a side of a join."""
+    return [F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("m", "pos", *more)]]
 
 
-def outer_pairs(nodes: DataFrame) -> DataFrame:
-    """All pairs within RADIUS bits that a bucket brings together and whose ``grp`` differs."""
-    filed, sought = _keys()
-    table = nodes.select(*_sided("b", "grp"), F.explode(F.array(*filed)).alias("k"))
-    probes = nodes.select(*_sided("a", "grp"), F.explode(F.array(*sought)).alias("key"))
-    near = (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("grp_a") != F.col("grp_b")) & _near()
-    return probes.join(table, near).select("a", "b").distinct()
+def leader_pairs(posted: DataFrame) -> DataFrame:
+    """Pairs of a text and the leaders of the shingles it is filed under."""
+    row = F.struct("node", "m", "pos")
+    middle = F.struct(F.col("own") / F.col("m"), F.xxhash64("node"))
+    leaders = posted.groupBy("key").agg(F.min_by(row, middle).alias("l1"), F.min_by(row, F.xxhash64("node", "key")).alias("l2"), F.count("*").alias("n"))
+    leaders = leaders.where("n > 1").select(F.col("key").alias("k"), F.explode(F.array_distinct(F.array("l1", "l2"))).alias("l")).select("k", "l.*").select("k", *_sided("b"))
+    near = (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & _may()
+    return posted.select("key", *_sided("a")).join(leaders, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def outer_pairs(posted: DataFrame, grouped: DataFrame) -> DataFrame:
+    """All pairs that a shingle brings together and whose ``grp`` differs."""
+    rows = posted.join(grouped.select("node", "grp"), "node")
+    mixed = rows.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("key")
+    rows = stored(rows.join(mixed, "key"), "mixed")
+    near = (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("grp_a") != F.col("grp_b")) & _may()
+    return rows.select("key", *_sided("a", "grp")).join(rows.select(F.col("key").alias("k"), *_sided("b", "grp")), near).select("a", "b").distinct()
 
 
 def _shingler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets of (node, copy, text) rows; a row whose id is a node's but whose words aren't is left out."""
     for batch in batches:
-        own = [xxhash.xxh64_intdigest(b" ".join(blank_words(v.as_py())), SEED) for v in batch.column(2)]
+        own = [_copy(v.as_py()) for v in batch.column(2)]
         batch = batch.filter(pa.array(np.array(own, np.uint64).view(np.int64) == batch.column(1).to_numpy()))
-        sets = [np.unique(np.array(shingle_hashes(v.as_py(), WIDTH), np.uint64).astype(np.uint32)).view(np.int32) for v in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "s"])
+        sets = [shingle_keys(v.as_py()) for v in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pairs whose shingle sets have the similarity. Only texts that stand in a pair are read into sets.
-
-    Shingles are compared by 32 bits of their hashes, which stay apart within any pair of texts but for
-    about one shingle in four billion pairs of them.
-    """
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have the similarity. Only texts that stand in a pair are read into sets."""
     pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "copy"), "node").hint("shuffle_hash")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(ids, "node")
-    sets = texts.select("node", "copy", "text").mapInArrow(_shingler, "node long, s array<int>")
-    sets = stored(sets, "sets")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "copy"), "node")
+    sets = stored(_own_texts(texts, ids).mapInArrow(_shingler, "node long, s array<long>"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b")
-    sizes = F.size("s_a") + F.size("s_b")
-    # Sets whose sizes alone rule the similarity out aren't intersected.
-    may = F.least(F.size("s_a"), F.size("s_b")) >= SIMILARITY * F.greatest(F.size("s_a"), F.size("s_b"))
-    common = F.when(may, F.size(F.array_intersect("s_a", "s_b"))).otherwise(-1)
-    return both.select("a", "b", sizes.alias("n"), common.alias("c")).where(F.col("c") >= SIMILARITY * (F.col("n") - F.col("c"))).select("a", "b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("n"), common.alias("c")).where("9 * c >= 4 * n").select("a", "b")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, group_id)`` of every row with an id; group_id: the smallest id of its group."""
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     signed = stored(signatures(docs, id_col, text_col), "signatures")
-    nodes = stored(signed.groupBy("copy").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("fp", "s1", "s2")]), "nodes")
-    inner = stored(verified(leader_pairs(nodes), nodes, docs, id_col, text_col), "inner")
+    nodes = stored(signed.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("m").alias("m")), "nodes")
+    posted = stored(postings(nodes, texts), "postings")
+    inner = stored(verified(leader_pairs(posted), nodes, texts), "inner")
     tops = components(inner)
-    grouped = stored(nodes.join(tops, "node", "left").select("node", "fp", "s1", "s2", "copy", F.coalesce("component", "node").alias("grp")), "grouped")
-    outer = verified(outer_pairs(grouped), nodes, docs, id_col, text_col)
+    grouped = stored(nodes.join(tops, "node", "left").select("node", "copy", F.coalesce("component", "node").alias("grp")), "grouped")
+    outer = verified(outer_pairs(posted, grouped), nodes, texts)
     of = lambda name: grouped.select(F.col("node").alias(name), F.col("grp").alias(f"grp_{name}"))
     between = outer.join(of("a"), "a").join(of("b"), "b").select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b")).distinct()
     tops = components(between).select(F.col("node").alias("grp"), "component")

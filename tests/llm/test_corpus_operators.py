@@ -346,3 +346,30 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, d).collect()
     assert {r["doc_id"] for r in packed} == set(redacted)
     check_packing(packed, 2048)
+
+
+def planted_copies(seed, n):
+    """Texts and copies with a contiguous part replaced or appended, similarity 0.8 to 0.85; half of them repeat a passage."""
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 10))) for _ in range(3000)]
+    out = []
+    for k in range(n):
+        w = [rnd.choice(words) for _ in range(rnd.choice([40, 80, 200, 400]))]
+        w = w + w[:20] * 15 if k % 2 else w
+        m = len({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+        new = [rnd.choice(words) for _ in range(int(m * rnd.uniform(0.19, 0.245)))]
+        at, cut = rnd.randrange(20), max(1, int(m * 0.11) - 4)
+        out += [" ".join(w), " ".join(w + new if k % 4 < 2 else w[:at] + new[:cut] + w[at + cut :])]
+    return out
+
+
+def test_near_copies_at_the_threshold(spark):
+    texts = planted_copies(3, 120)
+    got = {r["doc_id"]: r["group_id"] for r in near_copies.groups(table(spark, texts)).collect()}
+    sets = []
+    for t in texts:
+        w = blank(t)
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(links) > 60
+    assert [got[i] for i in range(len(texts))] == united(len(texts), links)
