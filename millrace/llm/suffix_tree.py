@@ -5,7 +5,8 @@ the text's end is a word of its own. A context is what stands before a symbol wi
 up to ``DEPTH``. It becomes a state of the tree if it carries at least ``LEAST`` of all symbols and the
 distribution after it diverges from that after its longest proper suffix: the count-weighted
 Kullback-Leibler divergence passes ``DIVERGENCE``. Next-symbol distributions are smoothed towards the suffix's,
-``(n(c, s) + STRENGTH * P(s | suffix)) / (n(c) + STRENGTH)``, down to a root that gives every byte a share.
+``(n(c, s) + STRENGTH * P(s | suffix)) / (n(c) + STRENGTH)``, where the counts of symbols that a state doesn't keep
+go to the suffix too, down to a root that gives every byte a share.
 A symbol is scored by the longest suffix of what precedes it that is a state. A whole word that training has seen
 is a state of its own: its probability is its frequency, smoothed by its spelling, ``(c + V * P(spelling)) / (N + V)``.
 
@@ -157,20 +158,22 @@ def learn(vocabulary: DataFrame) -> DataFrame:
         entries = level.select(F.shiftrightunsigned("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n")
         if depth:
             full = F.shiftrightunsigned("context", 8 * (depth - 1)) > 0  # as long as this depth
-            entries = entries.where(full).where(F.col("n") >= least / FLOOR)
+            entries = entries.where(full)
         by_depth[depth] = entries
-    parent, tree = by_depth[0], by_depth[0].withColumn("total", F.lit(everything)).select(F.lit(0).alias("depth"), "context", "symbol", "n", "total")
+    parent = by_depth[0].withColumn("total", F.lit(everything))
+    tree = parent.select(F.lit(0).alias("depth"), "context", "symbol", "n", "total")
     for depth in range(1, DEPTH + 1):
-        own = stored(by_depth[depth].join(by_depth[depth].groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least), "context"), f"states{depth}")
+        # Totals and divergence are over all symbols of a context; only then are rare ones left to its suffix.
+        totals = by_depth[depth].groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
+        own = stored(by_depth[depth].join(totals, "context"), f"states{depth}")
         above = own.withColumn("suffix", F.col("context").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1))) if depth > 1 else own.withColumn("suffix", F.lit(0).cast("long"))
-        up = parent.groupBy("context").agg(F.sum("n").alias("up_total"))
-        up = parent.join(up, "context").select(F.col("context").alias("suffix"), "symbol", F.col("n").alias("up_n"), "up_total")
-        # A symbol below the floor above but not here cannot be: its count above is at least as large.
+        up = parent.select(F.col("context").alias("suffix"), "symbol", F.col("n").alias("up_n"), F.col("total").alias("up_total"))
         log_ratio = F.log(F.col("n") / F.col("total")) - F.log(F.col("up_n") / F.col("up_total"))
         gain = above.join(up, ["suffix", "symbol"]).groupBy("context").agg(F.sum(F.col("n") * log_ratio).alias("gain"))
         kept = gain.where(F.col("gain") >= DIVERGENCE).select("context")
-        tree = tree.unionByName(own.join(kept, "context", "left_semi").select(F.lit(depth).alias("depth"), "context", "symbol", "n", "total"))
-        parent = own.select("context", "symbol", "n")
+        rows = own.where(F.col("n") >= least / FLOOR).join(kept, "context", "left_semi")
+        tree = tree.unionByName(rows.select(F.lit(depth).alias("depth"), "context", "symbol", "n", "total"))
+        parent = own
     return tree
 
 
@@ -183,10 +186,13 @@ class Tree:
             own = rows["depth"] == depth
             context, symbol, n = rows["context"][own].astype(np.uint64), rows["symbol"][own].astype(np.uint64), rows["n"][own].astype(float)
             states, place = np.unique(context, return_inverse=True)
-            total = np.bincount(place, n, len(states))
+            total = np.zeros(len(states))
+            total[place] = rows["total"][own]
+            # What goes to the suffix: the smoothing, and the counts of symbols that the state doesn't keep.
+            rest = STRENGTH + total - np.bincount(place, n, len(states))
             entry = (context << np.uint64(8)) | symbol
             order = np.argsort(entry)
-            self.levels.append([states, total, entry[order], n[order], place[order], None])
+            self.levels.append([states, total, entry[order], n[order], place[order], None, rest])
         self._smooth()
 
     def _smooth(self) -> None:
@@ -194,18 +200,18 @@ class Tree:
         self.base = np.full(256, 0.5)
         self.base[(root[2] & np.uint64(255)).astype(int)] += root[3]
         self.base /= self.base.sum()
-        for depth, (_, total, entry, n, place, _) in enumerate(self.levels):
+        for depth, (_, total, entry, n, place, _, rest) in enumerate(self.levels):
             if depth:
                 symbol = entry & np.uint64(255)
                 suffix = (entry >> np.uint64(8)) & np.uint64((1 << 8 * (depth - 1)) - 1) if depth > 1 else np.zeros(len(entry), np.uint64)
                 prior = self._probability(suffix, symbol, depth - 1)
-                self.levels[depth][5] = (n + STRENGTH * prior) / (total[place] + STRENGTH)
+                self.levels[depth][5] = (n + rest[place] * prior) / (total[place] + STRENGTH)
 
     def _probability(self, context: np.ndarray, symbol: np.ndarray, depth: int) -> np.ndarray:
         """P(symbol | longest state of at most ``depth`` symbols that is a suffix of the context)."""
         out, share, left = np.empty(len(context)), np.ones(len(context)), np.arange(len(context))
         for d in range(depth, 0, -1):
-            states, total, entry, _, _, smoothed = self.levels[d]
+            states, total, entry, _, _, smoothed, rest = self.levels[d]
             if not len(states) or not len(left):
                 continue
             own = context[left] & np.uint64((1 << 8 * d) - 1)
@@ -216,7 +222,7 @@ class Tree:
             left, own = left[~hit], own[~hit]
             state = np.minimum(np.searchsorted(states, own), len(states) - 1)
             there = states[state] == own
-            share[left[there]] *= STRENGTH / (total[state[there]] + STRENGTH)
+            share[left[there]] *= rest[state[there]] / (total[state[there]] + STRENGTH)
         out[left] = share[left] * self.base[symbol[left].astype(int)]
         return out
 
@@ -232,7 +238,7 @@ class Tree:
 def collected(tree: DataFrame) -> Tree:
     """The tree on the driver; its size is bounded by LEAST and DEPTH alone."""
     rows = tree.toArrow()
-    return Tree({c: rows.column(c).to_numpy() for c in ("depth", "context", "symbol", "n")})
+    return Tree({c: rows.column(c).to_numpy() for c in ("depth", "context", "symbol", "n", "total")})
 
 
 # --- scoring ------------------------------------------------------------------------------------------

@@ -373,3 +373,16 @@ def test_near_copies_at_the_threshold(spark):
     links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(links) > 60
     assert [got[i] for i in range(len(texts))] == united(len(texts), links)
+
+
+def test_suffix_tree_totals_count_rare_symbols(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "LEAST", 0.02)
+    monkeypatch.setattr(suffix_tree, "FLOOR", 2)
+    words = {"ab": 300, "cd": 300} | {f"a{c}": 12 for c in "efghijkl"}
+    vocabulary = spark.createDataFrame([(bytearray(w.encode()), c) for w, c in words.items()], "word binary, c long")
+    tree = suffix_tree.collected(suffix_tree.learn(vocabulary))
+    states, total = tree.levels[1][:2]
+    assert float(total[states == ord("a")][0]) == 300 + 8 * 12
+    context = np.array([int.from_bytes(b"\x01a", "big")], np.uint64)
+    p = [float(tree._probability(context, np.array([s], np.uint64), suffix_tree.DEPTH)[0]) for s in range(256)]
+    assert sum(p) == pytest.approx(1) and p[ord("b")] < 0.9
