@@ -1,31 +1,31 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-The model spells words. Its symbols are the bytes of a word, after a start mark, with a stop mark at its end;
-the text's end is a word of its own. A context is what stands before a symbol within the word, of any length
-up to ``DEPTH``. It becomes a state of the tree if it carries at least ``LEAST`` of all symbols and the
-distribution after it diverges from that after its longest proper suffix: the count-weighted
-Kullback-Leibler divergence passes ``DIVERGENCE``. Next-symbol distributions are smoothed towards the suffix's,
-``(n(c, s) + STRENGTH * P(s | suffix)) / (n(c) + STRENGTH)``, where the counts of symbols that a state doesn't keep
-go to the suffix too, down to a root that gives every byte a share.
-A symbol is scored by the longest suffix of what precedes it that is a state. A whole word that training has seen
-is a state of its own: its probability is its frequency, smoothed by its spelling, ``(c + V * P(spelling)) / (N + V)``.
-
-As a word's log probability depends on the word alone, the tree is learnt from the vocabulary with its
-training counts and applied to the vocabulary; texts only sum over their words:
-
-1. Documents are cut into segments of bounded size; a segment's words are numbered and its documents stored
-   as numbers (one table) beside the numbered words (another).
-2. The words' training counts are summed over segments, which gives the vocabulary and the unigram base.
-3. Context counts are summed from the vocabulary, deepest first; each shorter depth sums the one below it.
-4. Every distinct word is scored once; scores return to segments by joins, and a map sums each document.
-
-The tree sent to the executors is bounded, whatever the corpus: at most 1 / LEAST states a depth and, as a
-state keeps only symbols that carry ``LEAST / FLOOR`` of all, FLOOR / LEAST entries a depth. The vocabulary, which
-isn't bounded, is only ever joined.
-
-Defined results: null and empty texts are the end alone; documents without id are trained on as id '' would be
-(their remainder is taken from the empty string); repeated rows each count and get a row; extra columns are
-ignored. Without any training document all counts are 0 and every token's base is log10(0.5 / 0.5).
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+Symbols are words (A-Z lowered, between white space) and a text's end. A context is what stands before a symbol: nothing, the word
+before, or the two words before; a text's start stands in front of its first word. A context becomes a state of the tree if training
+holds it ``LEAST`` times or more and the distribution after it diverges from that after its longest proper suffix: the count-weighted
+Kullback-Leibler divergence, the sum of ``n(c, s) * ln(P(s | c) / P(s | suffix))`` over what follows it, reaches ``DIVERGENCE`` nats.
+The root is always a state, and so is a text's start.
+
+A symbol is scored by the longest suffix of what precedes it that is a state, whose distribution is smoothed towards that of its own
+longest suffix that is a state: ``(n(c, s) + l(c) * P(s | suffix)) / (n(c) + l(c))``, with ``l(c) = SCALE * n(c) ** POWER`` because
+contexts that occur more have more symbols still unseen. The root is ``(n(s) + V * spelt(s)) / (N + V)``, where spelt is a distribution
+over all strings: each byte given the one before, with a mark of its own (no byte) at both ends.
+
+All that is learnt grows with the corpus, so nothing of the tree is collected or broadcast but the table of byte pairs, which has at most
+257 * 257 entries. Training and scoring share two exchanges between segments and buckets:
+
+1. Documents are cut into segments of bounded size, each a row with its numbered words.
+2. Every segment deals its distinct words and word pairs, hashed, to buckets; a bucket sums their training counts over all segments
+   and gives each segment the sums in the order that it asked.
+3. Every segment deals its contexts, and the triples whose context occurs ``LEAST`` times and whose last pair occurs. A bucket, which
+   holds all of a context, sums triples and divergence, decides on the state, and answers with states and counts.
+4. Every segment scores its documents. Copies of a gram in a segment travel once, so a frequent word or passage is a row per segment.
+
+Words are known by 64-bit hashes; pairs and triples by the 32 bits after those of their bucket, whose size is bounded.
+
+Defined results: null and empty texts are the end alone; documents without id are trained on as id '' would be (their remainder is taken
+from the empty string); repeated rows each count and get a row; any byte may stand in a word; extra columns are ignored. Without any
+training document all counts are 0, every token's base is log10(0.5 / 0.5) and words are scored by their spelling alone.
 """
 
 from __future__ import annotations
@@ -35,25 +35,27 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
 
-DEPTH = 6
-LEAST = 2e-5
-#: A state keeps symbols that carry LEAST / FLOOR of all.
-FLOOR = 8
-DIVERGENCE = 8.0
-STRENGTH = 4.0
+#: Occurrences that a state needs, and the divergence in nats.
+LEAST, DIVERGENCE = 2, 8.0
+#: The weight of a state's suffix.
+SCALE, POWER = 3.0, 0.75
 #: Tokens of a segment after which it is closed; a longer document is a segment of its own.
-SEGMENT_TOKENS = 2_900_000
-
-START, STOP = 1, 2
+SEGMENT_TOKENS = 1_500_000
+#: Buckets, at least, as a power of two; tokens of the corpus for each bucket, about.
+BUCKET_BITS, BUCKET_TOKENS = 7, 2_000_000
+SEED = 42
+#: The mark at both ends of a word's spelling.
+MARK = 256
 
 # --- segments -----------------------------------------------------------------------------------------
 
-SEGMENTS = "segment string, doc_ids array<long>, held_out array<boolean>, sizes array<int>, tokens array<int>, words array<binary>, counts array<long>"
+SEGMENTS = "segment string, doc_ids array<long>, held_out array<boolean>, sizes array<int>, tokens binary, words array<binary>, counts array<int>, n_train long, n_tokens long"
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -78,13 +80,14 @@ def _segmenter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = coded.indices.to_numpy().astype(np.int32)
         words = coded.dictionary.cast(pa.large_binary()).cast(pa.binary())
         out = t.column("held_out").combine_chunks().to_numpy(zero_copy_only=False)
-        counts = np.bincount(tokens[~out[owner]], minlength=len(words)) if len(tokens) else np.zeros(len(words), np.int64)
+        counts = np.bincount(tokens[~out[owner]], minlength=len(words)).astype(np.int32)
         sizes = np.bincount(owner, minlength=len(lists)).astype(np.int32)
-        row = [f"{part}-{number}", t.column("doc_id").to_pylist(), out, sizes, tokens, words, counts.astype(np.int64)]
-        lists_of = [pa.array([row[0]])] + [pa.array([c], k) for c, k in zip(row[1:5], (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)]
-        lists_of.append(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words))
-        lists_of.append(pa.array([row[6]], pa.list_(pa.int64())))
-        return pa.RecordBatch.from_arrays(lists_of, names=["segment", "doc_ids", "held_out", "sizes", "tokens", "words", "counts"])
+        # The bytes of one weight side by side compress best.
+        data = pa.compress(tokens.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+        cells = [f"{part}-{number}", t.column("doc_id").to_pylist(), out, sizes, data, words.to_pylist(), counts, int(counts.sum()), len(tokens)]
+        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
+        names = [c.split()[0] for c in SEGMENTS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=names)
 
     # About five characters a token; sizes only steer where a segment is cut.
     pieces, held = [], 0
@@ -103,218 +106,307 @@ def _segmenter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored segments. ``words[tokens[i]]`` is a word; ``sizes``: words of each document; ``counts``: in training."""
+    """The stored segments. ``tokens``: numbers of ``words``; ``sizes``: words of each document; ``counts``: in training."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _held_out(F.col(id_col)).alias("held_out"), F.coalesce(text_col, F.lit("")).alias("text"))
     return stored(rows.mapInArrow(_segmenter, SEGMENTS), "segments")
 
 
-# --- learning -----------------------------------------------------------------------------------------
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs of hashes, in their order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every symbol of every word: the (DEPTH + 1)-gram that ends with it, how many of its symbols are
-    within the word, and the word's place. Grams are packed into 64 bits, the last symbol lowest."""
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    joined = np.frombuffer(b"".join(w + b"\x02" for w in words), np.uint8).astype(np.uint64)
-    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    age = np.arange(len(joined)) - first
-    gram = joined.copy()
-    for back in range(1, DEPTH + 1):
-        before = np.zeros_like(joined)
-        inside = age >= back
-        before[inside] = joined[np.flatnonzero(inside) - back]
-        before[age == back - 1] = START
-        gram |= before << np.uint64(8 * back)
-    return gram, np.minimum(age + 2, DEPTH + 1), np.repeat(np.arange(len(words)), sizes)
-
-
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n) summed within each batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        gram, _, word = _symbols(batch.column(0).to_pylist())
-        weight = batch.column(1).to_numpy(zero_copy_only=False)[word]
-        order = np.argsort(gram)
-        gram, weight = gram[order], weight[order]
-        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        yield pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), pa.array(np.add.reduceat(weight, first).astype(np.int64))], names=["gram", "n"])
+class Segment:
+    """A segment's positions: its documents' words and ends, one after another.
 
+    ``symbol``, ``before``: numbers of words (V local ones), V the end, V + 1 the start; ``pair``, ``context``: places in ``pairs``, the
+    sorted hashes of the symbol with the one before it, and of the two before it (-1 next to the start).
+    """
 
-def learn(vocabulary: DataFrame) -> DataFrame:
-    """The tree as rows ``(depth, context, symbol, n, total)`` from ``vocabulary (word binary, c)``.
+    def __init__(self, held: pa.Table) -> None:
+        cell = lambda name: held.column(name)[0]
+        self.name, self.ids, self.out = cell("segment").as_py(), cell("doc_ids").values, cell("held_out").values.to_numpy(zero_copy_only=False)
+        self.words = cell("words").as_py()
+        self.sizes = cell("sizes").values.to_numpy().astype(np.int64) + 1
+        total, n = int(self.sizes.sum()), len(self.words)
+        tokens = np.frombuffer(pa.decompress(cell("tokens").as_py(), 4 * (total - len(self.sizes)), codec="zstd"), np.uint8)
+        tokens = np.ascontiguousarray(tokens.reshape(4, -1).T).view(np.int32).ravel()
+        self.ends = np.cumsum(self.sizes)
+        first = self.ends - self.sizes
+        self.symbol = np.full(total, n, np.int32)
+        inner = np.ones(total, bool)
+        inner[self.ends - 1] = False
+        self.symbol[inner] = tokens
+        self.before = np.empty_like(self.symbol)
+        self.before[1:] = self.symbol[:-1]
+        self.before[first] = n + 1
+        self.train = np.repeat(~self.out, self.sizes)
+        self.hashes = np.array([*map(xxhash.xxh64_intdigest, self.words, [SEED] * n), 1, 2], np.uint64)
+        self.order = np.argsort(self.hashes[:n], kind="stable")
+        self.pairs, self.pair = np.unique(_mix(self.hashes[self.before], self.hashes[self.symbol]), return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
+        self.context = np.empty_like(self.pair)
+        self.context[1:] = self.pair[:-1]
+        self.context[first] = -1
+
+    def triples(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(contexts, at, triples, triple): places in ``pairs`` of contexts that may be states by ``counts`` of pairs; positions of triples of
+        these whose last pair occurs; each distinct triple, sorted by its context's hash, and the triple of each of these positions."""
+        may = self.context >= 0
+        may[may] = counts[self.context[may]] >= LEAST
+        contexts = np.unique(self.context[may])
+        at = np.flatnonzero(may & (counts[self.pair] > 0))
+        above = self.pairs[self.context[at]]
+        key = (above & np.uint64(0xFFFFFFFF00000000)) | (_mix(above, self.hashes[self.symbol[at]]) >> np.uint64(32))
+        triples, triple = np.unique(key, return_inverse=True)
+        return contexts, at, triples, triple
+
+
+# --- exchanges ----------------------------------------------------------------------------------------
+
+#: What a segment asks of a bucket and what it is told. In the first exchange ``keys`` and ``counts`` are of words (level 1) or pairs (2); in
+#: the second ``keys`` are contexts, with their counts and parts of their divergence, and ``of``, ``grams``, ``times``, ``prior`` their triples.
+ASKED = "level int, bucket int, segment string, keys binary, counts binary, gains binary, of binary, grams binary, times binary, prior binary"
+TOLD = "level int, bucket int, segment string, a binary, b binary, fresh long"
+ASKED_NAMES, TOLD_NAMES = ([c.split()[0] for c in ddl.split(", ")] for ddl in (ASKED, TOLD))
+ASKED_KINDS = [pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 7]
+TOLD_SCHEMA = pa.schema(list(zip(TOLD_NAMES, [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64()], strict=True)))
+
+
+def _dealt(level: int, name: str, bits: int, hashes: np.ndarray, columns: list[np.ndarray], of: np.ndarray | None = None, grams: list[np.ndarray] | None = None) -> list[tuple]:
+    """Rows of ASKED, one for each bucket: sorted ``hashes`` with ``columns`` beside, and ``grams`` beside, which belong to hashes ``of``."""
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    keys = hashes if level == 1 and of is None else ((hashes >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    there, starts = np.unique(bucket, return_index=True)
+    cuts = [*starts.tolist(), len(hashes)]
+    inner = np.searchsorted(of, cuts).tolist() if of is not None else [0] * len(cuts)
+    rows = []
+    for k, b in enumerate(there.tolist()):
+        s, e, i, j = cuts[k], cuts[k + 1], inner[k], inner[k + 1]
+        beside = [c[s:e].tobytes() for c in columns] + [None] * (2 - len(columns))
+        more = [(of[i:j] - s).astype(np.int32).tobytes(), *(g[i:j].tobytes() for g in grams)] if of is not None else [None] * 4
+        rows.append((level, b, name, keys[s:e].tobytes(), *beside, *more))
+    return rows
+
+
+def _batch(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(ASKED_KINDS), ASKED_KINDS, strict=True)], names=ASKED_NAMES)
+
+
+def _counter(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Words and pairs of each segment with their counts in its training documents."""
 
-    ``context``: the packed symbols before; the root's depth is 0. Only retained states have rows.
-    """
-    grams = vocabulary.where("c > 0").select("word", "c").mapInArrow(_counter, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    deepest = stored(grams, "grams")
-    everything = deepest.agg(F.sum("n")).first()[0] or 0
-    least = LEAST * everything
-    # Each depth sums the next deeper one; contexts that the start mark cuts short aren't longer there.
-    by_depth, level = {}, deepest.select(F.col("gram"), "n")
-    for depth in range(DEPTH, -1, -1):
-        level = level.select(F.col("gram").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-        level = stored(level, f"depth{depth}")
-        entries = level.select(F.shiftrightunsigned("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n")
-        if depth:
-            full = F.shiftrightunsigned("context", 8 * (depth - 1)) > 0  # as long as this depth
-            entries = entries.where(full)
-        by_depth[depth] = entries
-    parent = by_depth[0].withColumn("total", F.lit(everything))
-    tree = parent.select(F.lit(0).alias("depth"), "context", "symbol", "n", "total")
-    for depth in range(1, DEPTH + 1):
-        # Totals and divergence are over all symbols of a context; only then are rare ones left to its suffix.
-        totals = by_depth[depth].groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-        own = stored(by_depth[depth].join(totals, "context"), f"states{depth}")
-        above = own.withColumn("suffix", F.col("context").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1))) if depth > 1 else own.withColumn("suffix", F.lit(0).cast("long"))
-        up = parent.select(F.col("context").alias("suffix"), "symbol", F.col("n").alias("up_n"), F.col("total").alias("up_total"))
-        log_ratio = F.log(F.col("n") / F.col("total")) - F.log(F.col("up_n") / F.col("up_total"))
-        gain = above.join(up, ["suffix", "symbol"]).groupBy("context").agg(F.sum(F.col("n") * log_ratio).alias("gain"))
-        kept = gain.where(F.col("gain") >= DIVERGENCE).select("context")
-        rows = own.where(F.col("n") >= least / FLOOR).join(kept, "context", "left_semi")
-        tree = tree.unionByName(rows.select(F.lit(depth).alias("depth"), "context", "symbol", "n", "total"))
-        parent = own
-    return tree
-
-
-class Tree:
-    """A learnt tree, ready to score. ``rows``: its rows by column."""
-
-    def __init__(self, rows: dict[str, np.ndarray]) -> None:
-        self.levels = []
-        for depth in range(DEPTH + 1):
-            own = rows["depth"] == depth
-            context, symbol, n = rows["context"][own].astype(np.uint64), rows["symbol"][own].astype(np.uint64), rows["n"][own].astype(float)
-            states, place = np.unique(context, return_inverse=True)
-            total = np.zeros(len(states))
-            total[place] = rows["total"][own]
-            # What goes to the suffix: the smoothing, and the counts of symbols that the state doesn't keep.
-            rest = STRENGTH + total - np.bincount(place, n, len(states))
-            entry = (context << np.uint64(8)) | symbol
-            order = np.argsort(entry)
-            self.levels.append([states, total, entry[order], n[order], place[order], None, rest])
-        self._smooth()
-
-    def _smooth(self) -> None:
-        root = self.levels[0]
-        self.base = np.full(256, 0.5)
-        self.base[(root[2] & np.uint64(255)).astype(int)] += root[3]
-        self.base /= self.base.sum()
-        for depth, (_, total, entry, n, place, _, rest) in enumerate(self.levels):
-            if depth:
-                symbol = entry & np.uint64(255)
-                suffix = (entry >> np.uint64(8)) & np.uint64((1 << 8 * (depth - 1)) - 1) if depth > 1 else np.zeros(len(entry), np.uint64)
-                prior = self._probability(suffix, symbol, depth - 1)
-                self.levels[depth][5] = (n + rest[place] * prior) / (total[place] + STRENGTH)
-
-    def _probability(self, context: np.ndarray, symbol: np.ndarray, depth: int) -> np.ndarray:
-        """P(symbol | longest state of at most ``depth`` symbols that is a suffix of the context)."""
-        out, share, left = np.empty(len(context)), np.ones(len(context)), np.arange(len(context))
-        for d in range(depth, 0, -1):
-            states, total, entry, _, _, smoothed, rest = self.levels[d]
-            if not len(states) or not len(left):
-                continue
-            own = context[left] & np.uint64((1 << 8 * d) - 1)
-            key = (own << np.uint64(8)) | symbol[left]
-            at = np.minimum(np.searchsorted(entry, key), len(entry) - 1)
-            hit = entry[at] == key
-            out[left[hit]] = share[left[hit]] * smoothed[at[hit]]
-            left, own = left[~hit], own[~hit]
-            state = np.minimum(np.searchsorted(states, own), len(states) - 1)
-            there = states[state] == own
-            share[left[there]] *= rest[state[there]] / (total[state[there]] + STRENGTH)
-        out[left] = share[left] * self.base[symbol[left].astype(int)]
-        return out
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with its stop mark."""
-        if not words:
-            return np.zeros(0)
-        gram, _, word = _symbols(words)
-        p = self._probability(gram >> np.uint64(8), gram & np.uint64(255), DEPTH)
-        return np.bincount(word, np.log10(p), len(words))
-
-
-def collected(tree: DataFrame) -> Tree:
-    """The tree on the driver; its size is bounded by LEAST and DEPTH alone."""
-    rows = tree.toArrow()
-    return Tree({c: rows.column(c).to_numpy() for c in ("depth", "context", "symbol", "n", "total")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = Segment(held := pa.Table.from_batches([batch.slice(i, 1)]))
+                counts = held.column("counts")[0].values.to_numpy().astype(np.uint32)
+                pairs = np.bincount(own.pair[own.train], minlength=len(own.pairs)).astype(np.uint32)
+                rows = _dealt(1, own.name, bits, own.hashes[own.order], [counts[own.order]]) + _dealt(2, own.name, bits, own.pairs, [pairs])
+                yield from _batch(rows).to_batches()
 
+    return run
 
-# --- scoring ------------------------------------------------------------------------------------------
 
+def _joined(group: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
 
-def blend(counts: np.ndarray, spelling: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 of (c + V * P(spelling)) / (N + V): a word's own frequency, smoothed by the tree."""
-    with np.errstate(divide="ignore"):
-        top = np.logaddexp(np.log(np.asarray(counts, float)), np.log(float(v)) + np.asarray(spelling) * np.log(10))
-    return top / np.log(10) - np.log10(n + v)
 
+def _told(group: pa.Table, a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray | None = None, sizes_b: np.ndarray | None = None, fresh: int = 0) -> pa.Table:
+    """Rows of TOLD: each asking segment's part of ``a`` and ``b``."""
 
-def _word_scorer(tree_of: Callable[[], Tree], n: int, v: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = tree_of()
-        for batch in batches:
-            lp = blend(batch.column(1).to_numpy(zero_copy_only=False), tree.log10(batch.column(0).to_pylist()), n, v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp)], names=["word", "c", "lp"])
+    def parts(x: np.ndarray | None, sizes: np.ndarray | None) -> list:
+        return [None] * group.num_rows if x is None else [p.tobytes() for p in np.split(x, np.cumsum(sizes)[:-1])]
+
+    columns = [group.column(k).to_pylist() for k in ("level", "bucket", "segment")]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, parts(a, sizes_a), parts(b, sizes_b), [fresh] + [0] * (group.num_rows - 1)], TOLD_SCHEMA, strict=True)], schema=TOLD_SCHEMA)
+
+
+def _summer(group: pa.Table) -> pa.Table:
+    """Counts of a bucket's words or pairs, summed over segments. ``fresh``: the distinct ones that training has."""
+    kind = np.uint64 if group.column("level")[0].as_py() == 1 else np.uint32
+    keys, counts = _joined(group, "keys", kind), _joined(group, "counts", np.uint32)
+    distinct, place = np.unique(keys, return_inverse=True)
+    sums = np.bincount(place, counts, len(distinct))
+    sizes = np.array([len(k) // kind().nbytes for k in group.column("keys").to_pylist()])
+    return _told(group, sums[place].astype(np.uint32), sizes, fresh=int((sums > 0).sum()))
+
+
+def _decider(group: pa.Table) -> pa.Table:
+    """Which of a bucket's contexts are states (``a``), and the counts of its triples (``b``), over all segments."""
+    keys, counts, gains = _joined(group, "keys", np.uint32), _joined(group, "counts", np.uint32), _joined(group, "gains", np.float32).astype(float)
+    sizes = np.array([len(k) // 4 for k in group.column("keys").to_pylist()])
+    inner = np.array([len(k) // 4 for k in group.column("grams").to_pylist()])
+    distinct, place = np.unique(keys, return_inverse=True)
+    gain, n = np.bincount(place, gains, len(distinct)), np.zeros(len(distinct))
+    n[place] = counts
+    of = place[_joined(group, "of", np.int32) + np.repeat(np.cumsum(sizes) - sizes, inner)]
+    grams, times, prior = _joined(group, "grams", np.uint32), _joined(group, "times", np.uint32), _joined(group, "prior", np.float32)
+    triples, triple = np.unique((of.astype(np.uint64) << np.uint64(32)) | grams, return_inverse=True)
+    sums, q = np.bincount(triple, times, len(triples)), np.zeros(len(triples))
+    q[triple] = prior
+    known = np.flatnonzero(sums > 0)
+    above = (triples[known] >> np.uint64(32)).astype(np.int64)
+    gain += np.bincount(above, sums[known] * (np.log(sums[known] / n[above]) - q[known]), len(distinct))
+    return _told(group, (gain >= DIVERGENCE)[place].astype(np.uint8), sizes, sums[triple].astype(np.uint32), inner)
+
+
+class Known:
+    """What a segment was told: counts of its symbols, also as contexts, and of its pairs."""
+
+    def __init__(self, own: Segment, told: pa.Table, n_docs: int) -> None:
+        parts = {k: sorted(zip(*(told.filter(pc.equal(told.column("level"), k)).column(c).to_pylist() for c in ("bucket", "a", "b")), strict=True)) for k in (1, 2, 11, 12)}
+        whole = lambda k, c, kind: np.frombuffer(b"".join(p[c] for p in parts[k]), kind)
+        self.words = np.empty(len(own.words) + 2)
+        self.words[own.order] = whole(1, 1, np.uint32)
+        self.words[-2:] = n_docs  # ends, and starts as contexts
+        self.pairs = whole(2, 1, np.uint32)
+        self.states, self.states2, self.times = (whole(k, c, kind) for k, c, kind in ((11, 1, np.uint8), (12, 1, np.uint8), (12, 2, np.uint32)))
+
+
+def _gainer(bits: int, n_docs: int, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Rows of ASKED of the second exchange from a segment and the counts it was told."""
+
+    def run(held: pa.Table, told: pa.Table) -> pa.Table:
+        if not held.num_rows:
+            return _batch([])
+        own = Segment(held)
+        known = Known(own, told, n_docs)
+        train, v = own.train, len(own.words)
+        prior = np.zeros(len(own.symbol))
+        seen = known.pairs[own.pair] > 0
+        prior[seen] = np.log(known.pairs[own.pair[seen]] / known.words[own.before[seen]])
+        # Contexts of one word: all of the divergence is known here but its sum.
+        gain = np.bincount(own.before[train], prior[train] - np.log(known.words[own.symbol[train]] / n), v + 2)[:v]
+        rows = _dealt(1, own.name, bits, own.hashes[own.order], [known.words[own.order].astype(np.uint32), gain[own.order].astype(np.float32)], np.zeros(0, np.int64), [np.zeros(0, np.uint32)] * 3)
+        # Contexts of two: what their triples add to the divergence is known where these are summed.
+        contexts, at, triples, triple = own.triples(known.pairs)
+        place = np.zeros(len(own.pairs), np.int64)
+        place[contexts] = np.arange(len(contexts))
+        one = np.zeros(len(triples), np.int64)
+        one[triple] = at
+        times = np.bincount(triple[train[at]], minlength=len(triples)).astype(np.uint32)
+        of = place[own.context[one]]
+        order = np.argsort(of, kind="stable")
+        grams = [(triples & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], times[order], prior[one].astype(np.float32)[order]]
+        rows += _dealt(2, own.name, bits, own.pairs[contexts], [known.pairs[contexts], np.zeros(len(contexts), np.float32)], of[order], grams)
+        return _batch(rows)
 
     return run
 
 
+# --- spelling -----------------------------------------------------------------------------------------
+
+
+def _byte_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(byte before * 257 + byte) along all words with their marks, and where each word's begin."""
+    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    last = np.cumsum(sizes) - 1
+    now = np.full(int(sizes.sum()), MARK, np.int64)
+    inner = np.ones(len(now), bool)
+    inner[last] = False
+    now[inner] = np.frombuffer(b"".join(words), np.uint8)
+    before = np.empty_like(now)
+    before[1:] = now[:-1]
+    before[:1] = MARK
+    return before * (MARK + 1) + now, last + 1 - sizes
+
+
+def _speller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            pair, first = _byte_pairs(words)
+            sums = np.bincount(pair, np.repeat(np.array(counts, float), np.diff([*first, len(pair)])), (MARK + 1) ** 2)
+            kept = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(sums[kept].astype(np.int64))], names=["pair", "n"])
+
+
+def spelling(held: DataFrame, n_docs: int) -> np.ndarray:
+    """log10 P(byte | byte before), flat; the end of a text is the word without bytes."""
+    rows = held.select("words", "counts").mapInArrow(_speller, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    n = np.full((MARK + 1) ** 2, 0.5)
+    for r in rows:  # at most 257 * 257
+        n[r["pair"]] += r["n"]
+    n[-1] += n_docs
+    n = n.reshape(MARK + 1, -1)
+    return np.log10(n / n.sum(axis=1, keepdims=True)).ravel()
+
+
+def spelt(table: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """log10 probability of each word among all strings."""
+    pair, first = _byte_pairs(words)
+    return np.add.reduceat(table[pair], first)
+
+
+# --- scoring ------------------------------------------------------------------------------------------
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 SCORES_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _summer(n_docs: int, n: int, v: int, end_log10: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Sums over a segment's documents from its row and its numbered words' counts and scores."""
-    whole = n + 0.5 * (v + 1)
+def smoothed(times: np.ndarray, n: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """P(s | c) from n(c, s), n(c) and the suffix's probability."""
+    weight = SCALE * n**POWER
+    return (times + weight * suffix) / (n + weight)
+
 
-    def base(c: np.ndarray | float) -> np.ndarray:
-        return np.log10((np.asarray(c, float) + 0.5) / whole)
+def _scorer(table_of: Callable[[], np.ndarray], n_docs: int, n: int, v: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    whole, weight = n + 0.5 * (v + 1), max(v, 1)
 
-    def run(held: pa.Table, words: pa.Table) -> pa.Table:
+    def run(held: pa.Table, told: pa.Table) -> pa.Table:
         if not held.num_rows:
-            return pa.Table.from_arrays([[]] * 6, schema=SCORES_ARROW)
-        ids, out, sizes, tokens = (held.column(k).chunk(0)[0].values for k in ("doc_ids", "held_out", "sizes", "tokens"))
-        sizes, tokens, at = sizes.to_numpy().astype(np.int64), tokens.to_numpy(), words.column("number").to_numpy()
-        c, lp = np.zeros(len(at)), np.zeros(len(at))
-        c[at], lp[at] = words.column("c").to_numpy(), words.column("lp").to_numpy()
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-
-        def total(x: np.ndarray) -> np.ndarray:
-            """Sums of a word's value over each document, a stretch of documents at a time."""
-            sums = np.zeros(len(sizes))
-            for i in range(0, len(sizes), 500):
-                j = min(i + 500, len(sizes))
-                sums[i:j] = np.bincount(np.repeat(np.arange(j - i), sizes[i:j]), x[tokens[ends[i] : ends[j]]], j - i)
-            return sums
-
-        known = total((c > 0).astype(float)).astype(np.int64) + (n_docs > 0)
-        return pa.Table.from_arrays([ids, out, pa.array(sizes + 1), pa.array(known), pa.array(total(base(c)) + base(n_docs)), pa.array(total(lp) + end_log10)], schema=SCORES_ARROW)
+            return SCORES_ARROW.empty_table()
+        own = Segment(held)
+        known = Known(own, told, n_docs)
+        base = np.log10((known.words + 0.5) / whole)
+        # A word's smallest probability is a float's smallest, however long the word.
+        root = np.log10(np.maximum(known.words[:-1] / (n + weight), 0) + 10 ** np.maximum(spelt(table_of(), [*own.words, b""]) + np.log10(weight / (n + weight)), -300))
+        p = 10 ** root[own.symbol]
+        states = np.zeros(len(own.words) + 2, bool)
+        states[own.order] = known.states
+        states &= known.words >= LEAST
+        states[-1] = n_docs > 0
+        at = np.flatnonzero(states[own.before])
+        p[at] = smoothed(known.pairs[own.pair[at]], known.words[own.before[at]], p[at])
+        contexts, where, triples, triple = own.triples(known.pairs)
+        deep, times = np.zeros(len(own.pairs) + 1, bool), np.zeros(len(own.symbol))
+        deep[contexts] = known.states2
+        # Triples came back in the order of their contexts.
+        one = np.zeros(len(triples), np.int64)
+        one[triple] = where
+        place = np.zeros(len(own.pairs), np.int64)
+        place[contexts] = np.arange(len(contexts))
+        counts = np.empty(len(triples))
+        counts[np.argsort(place[own.context[one]], kind="stable")] = known.times
+        times[where] = counts[triple]
+        at = np.flatnonzero(deep[own.context])
+        p[at] = smoothed(times[at], known.pairs[own.context[at]].astype(float), p[at])
+        sums = lambda x: np.add.reduceat(x, own.ends - own.sizes)
+        columns = [own.ids, own.out, own.sizes, sums((known.words > 0)[own.symbol].astype(np.int64)), sums(base[own.symbol]), sums(np.log10(p))]
+        return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=SCORES_ARROW)
 
     return run
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
-    sc = docs.sparkSession.sparkContext
     held = segments(docs, id_col, text_col)
-    numbered = held.select("segment", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "w")).select("segment", "number", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    vocabulary = stored(numbered.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    outs = held.select(F.explode("held_out").alias("o"))
-    train_docs = outs.where("not o").count()
-    row = vocabulary.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n, v = (row["n"] or 0) + train_docs, (row["v"] or 0) + (train_docs > 0)
-
-    # The end of a text is the word without symbols: its stop mark follows the start mark.
-    end = docs.sparkSession.createDataFrame([(bytearray(b""), train_docs)], "word binary, c long")
-    tree = collected(learn(vocabulary.unionByName(end)))
-    sent = sc.broadcast(tree)
-    scored = vocabulary.mapInArrow(_word_scorer(lambda: sent.value, n, max(v, 1)), "word binary, c long, lp double")
-
-    # A segment's words meet its documents in one task; both are bounded by the segment.
-    back = numbered.select("segment", "number", "word").join(scored, "word").select(F.col("segment").alias("of"), "number", "c", "lp")
-    rows = held.select("segment", "doc_ids", "held_out", "sizes", "tokens").groupBy("segment").cogroup(back.groupBy("of"))
-    end_log10 = float(blend(np.array([train_docs]), tree.log10([b""]), n, max(v, 1))[0])
-    found = rows.applyInArrow(_summer(train_docs, n, v, end_log10), SCORES)
+    outs = F.expr("aggregate(held_out, 0L, (n, x) -> n + if(x, 0, 1))")
+    row = held.agg(F.sum("n_train").alias("n"), F.sum("n_tokens").alias("tokens"), F.sum(outs).alias("docs")).first()
+    n_docs = row["docs"] or 0
+    n = (row["n"] or 0) + n_docs
+    bits = max(BUCKET_BITS, ((row["tokens"] or 0) // BUCKET_TOKENS).bit_length())
+    sent = docs.sparkSession.sparkContext.broadcast(spelling(held, n_docs))
+
+    lean = held.select("segment", "doc_ids", "held_out", "sizes", "tokens", "words")
+    counted = held.mapInArrow(_counter(bits), ASKED).groupBy("level", "bucket").applyInArrow(_summer, TOLD)
+    counted = stored(counted.select("segment", "level", "bucket", "a", "b", "fresh"), "counted")
+    v = (counted.where("level = 1").agg(F.sum("fresh")).first()[0] or 0) + (n_docs > 0)
+    asked = lean.groupBy("segment").cogroup(counted.groupBy("segment")).applyInArrow(_gainer(bits, n_docs, n), ASKED)
+    decided = asked.groupBy("level", "bucket").applyInArrow(_decider, TOLD).withColumn("level", F.col("level") + 10)
+    told = counted.unionByName(stored(decided.select(*counted.columns), "decided"))
+    found = lean.groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_scorer(lambda: sent.value, n_docs, n, v), SCORES)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

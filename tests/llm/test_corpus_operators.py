@@ -127,18 +127,77 @@ def test_suffix_tree_base_and_normalisation(spark):
         assert r["base_score"] == pytest.approx(base) and r["score"] < 0
 
 
-def test_suffix_tree_is_a_distribution_and_learns(spark):
-    rnd = random.Random(4)
-    stems = ["tra", "mon", "vel", "kit", "sor"]
-    words = collections.Counter("".join(rnd.choice(stems) for _ in range(rnd.randrange(1, 4))) for _ in range(5000))
-    vocabulary = spark.createDataFrame([(bytearray(w.encode()), c) for w, c in words.items()], "word binary, c long")
-    tree = suffix_tree.collected(suffix_tree.learn(vocabulary))
-    assert sum(len(level[0]) for level in tree.levels[1:]) > 10
-    context = np.array([int.from_bytes(b"\x01tra", "big")], np.uint64)
-    p = [float(tree._probability(context, np.array([s], np.uint64), suffix_tree.DEPTH)[0]) for s in range(256)]
-    assert sum(p) == pytest.approx(1)
-    likely, unlike = tree.log10([b"travelkit", b"xqzwvyjpu"])
-    assert likely > unlike + 8
+def plain_tree(texts):
+    """The log10 score of each text by a suffix tree in its plainest form."""
+    start, end = object(), object()
+    told = [[start, start, *blank(t), end] for t in texts]
+    train = [w for i, w in enumerate(told) if zlib.crc32(str(i).encode()) % 5 != 1]
+    one, of = collections.Counter(), collections.defaultdict(collections.Counter)
+    for w in train:
+        for k in range(2, len(w)):
+            one[w[k]] += 1
+            of[(w[k - 1],)][w[k]] += 1
+            if k > 2:
+                of[w[k - 2], w[k - 1]][w[k]] += 1
+    n, v = sum(one.values()), len(one)
+    total = {c: sum(x.values()) for c, x in of.items()}
+    ml = lambda c, s: of[c][s] / total[c] if c else one[s] / n
+    gain = {c: sum(m * math.log(ml(c, s) / ml(c[1:], s)) for s, m in x.items()) for c, x in of.items()}
+    states = {c for c in of if c == (start,) or total[c] >= suffix_tree.LEAST and gain[c] >= suffix_tree.DIVERGENCE}
+    spell = [[0.5] * 257 for _ in range(257)]
+    mark = suffix_tree.MARK
+    spelt_as = lambda s: [mark, *(b"" if s is end else s.encode()), mark]
+    for s, m in one.items():
+        b = spelt_as(s)
+        for x, y in zip(b, b[1:]):
+            spell[x][y] += m
+
+    def p(c, s):
+        if not c:
+            b = spelt_as(s)
+            return (one[s] + v * math.prod(spell[x][y] / sum(spell[x]) for x, y in zip(b, b[1:]))) / (n + v)
+        if c not in states:
+            return p(c[1:], s)
+        weight = suffix_tree.SCALE * total[c] ** suffix_tree.POWER
+        return (of[c][s] + weight * p(c[1:], s)) / (total[c] + weight)
+
+    return [sum(math.log10(p((w[k - 1],) if k == 2 else (w[k - 2], w[k - 1]), w[k])) for k in range(2, len(w))) for w in told], len([c for c in states if len(c) == 2])
+
+
+def test_suffix_tree_against_a_plain_one(spark):
+    rnd = random.Random(12)
+    words = ["tra", "mon", "é", "a\x02b", "\x00", "\x01", "kit", "sor", "vel"]
+    texts = corpus(3, 20)
+    for _ in range(60):
+        k, w = rnd.randrange(9), []
+        for _ in range(rnd.randrange(1, 80)):
+            k = (k * 2 + rnd.choice([1, 1, 1, 2, 4])) % 9
+            w.append(words[k])
+        texts.append(" ".join(w))
+    texts += texts[-3:]
+    want, deep = plain_tree(texts)
+    assert deep > 20
+    for parts in (1, 5):
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score(table(spark, texts).repartition(parts)).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-6)
+
+
+def test_suffix_tree_heeds_the_order_of_words(spark):
+    rnd = random.Random(2)
+    said = [" ".join(x for k in range(30) for x in rnd.choice(["one two three", "red green blue"]).split()) for _ in range(40)]
+    shuffled = said[0].split()
+    rnd.shuffle(shuffled)
+    texts = [*said, said[0], " ".join(shuffled), "zebra " * 30_000, "q" * 70_000]
+    got = {r["doc_id"]: r for r in suffix_tree.score(table(spark, texts)).collect()}
+    assert got[40]["score"] > got[41]["score"] + 10 and got[40]["base_score"] == pytest.approx(got[41]["base_score"])
+    held = [r for i, r in got.items() if r["held_out"] and i < 40]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_spelling_is_a_distribution(spark):
+    held = suffix_tree.segments(table(spark, ["tramon a", "vel\x02 \x01"]))
+    table_of = suffix_tree.spelling(held, 2).reshape(257, 257)
+    assert np.power(10, table_of).sum(axis=1) == pytest.approx(np.ones(257))
 
 
 def test_tokens_and_pieces(spark):
@@ -373,16 +432,3 @@ def test_near_copies_at_the_threshold(spark):
     links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(links) > 60
     assert [got[i] for i in range(len(texts))] == united(len(texts), links)
-
-
-def test_suffix_tree_totals_count_rare_symbols(spark, monkeypatch):
-    monkeypatch.setattr(suffix_tree, "LEAST", 0.02)
-    monkeypatch.setattr(suffix_tree, "FLOOR", 2)
-    words = {"ab": 300, "cd": 300} | {f"a{c}": 12 for c in "efghijkl"}
-    vocabulary = spark.createDataFrame([(bytearray(w.encode()), c) for w, c in words.items()], "word binary, c long")
-    tree = suffix_tree.collected(suffix_tree.learn(vocabulary))
-    states, total = tree.levels[1][:2]
-    assert float(total[states == ord("a")][0]) == 300 + 8 * 12
-    context = np.array([int.from_bytes(b"\x01a", "big")], np.uint64)
-    p = [float(tree._probability(context, np.array([s], np.uint64), suffix_tree.DEPTH)[0]) for s in range(256)]
-    assert sum(p) == pytest.approx(1) and p[ord("b")] < 0.9
