@@ -21,7 +21,8 @@ All that is learnt grows with the corpus, so nothing of the tree is collected or
    holds all of a context, sums triples and divergence, decides on the state, and answers with states and counts.
 4. Every segment scores its documents. Copies of a gram in a segment travel once, so a frequent word or passage is a row per segment.
 
-Words are known by 64-bit hashes; pairs and triples by the 32 bits after those of their bucket, whose size is bounded.
+Words are known by 64-bit hashes, pairs and contexts by the 32 bits after those of their bucket, whose size is bounded, and what follows a
+context by 24 bits.
 
 Defined results: null and empty texts are the end alone; documents without id are trained on as id '' would be (their remainder is taken
 from the empty string); repeated rows each count and get a row; any byte may stand in a word; extra columns are ignored. Without any
@@ -36,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,16 +48,31 @@ LEAST, DIVERGENCE = 2, 8.0
 #: The weight of a state's suffix.
 SCALE, POWER = 3.0, 0.75
 #: Tokens of a segment after which it is closed; a longer document is a segment of its own.
-SEGMENT_TOKENS = 1_500_000
+SEGMENT_TOKENS = 2_000_000
 #: Buckets, at least, as a power of two; tokens of the corpus for each bucket, about.
 BUCKET_BITS, BUCKET_TOKENS = 7, 2_000_000
 SEED = 42
+#: The bits that tell apart what follows a context.
+GRAM = np.uint64((1 << 24) - 1)
 #: The mark at both ends of a word's spelling.
 MARK = 256
 
 # --- segments -----------------------------------------------------------------------------------------
 
-SEGMENTS = "segment string, doc_ids array<long>, held_out array<boolean>, sizes array<int>, tokens binary, words array<binary>, counts array<int>, n_train long, n_tokens long"
+SEGMENTS = "segment string, doc_ids array<long>, held_out array<boolean>, sizes array<int>, tokens binary, words binary, counts binary, n_train long, n_tokens long"
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers compressed, the bytes of one weight side by side."""
+    planes = numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes() if len(numbers) else b""
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpacked(cells: list[bytes | None], kind: type) -> list[np.ndarray]:
+    """The numbers of each cell of :func:`packed`."""
+    size, open_ = np.dtype(kind).itemsize, zstandard.ZstdDecompressor().decompress
+    bytes_of = [np.frombuffer(open_(c), np.uint8) if c else np.zeros(0, np.uint8) for c in cells]
+    return [np.ascontiguousarray(b.reshape(size, -1).T).view(kind).ravel() for b in bytes_of]
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -82,10 +99,9 @@ def _segmenter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = t.column("held_out").combine_chunks().to_numpy(zero_copy_only=False)
         counts = np.bincount(tokens[~out[owner]], minlength=len(words)).astype(np.int32)
         sizes = np.bincount(owner, minlength=len(lists)).astype(np.int32)
-        # The bytes of one weight side by side compress best.
-        data = pa.compress(tokens.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
-        cells = [f"{part}-{number}", t.column("doc_id").to_pylist(), out, sizes, data, words.to_pylist(), counts, int(counts.sum()), len(tokens)]
-        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
+        spaced = zstandard.ZstdCompressor(level=1).compress(b" ".join(words.to_pylist()))
+        cells = [f"{part}-{number}", t.column("doc_id").to_pylist(), out, sizes, packed(tokens), spaced, packed(counts), int(counts.sum()), len(tokens)]
+        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 3, pa.int64(), pa.int64()]
         names = [c.split()[0] for c in SEGMENTS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=names)
 
@@ -106,11 +122,16 @@ def _segmenter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored segments. ``tokens``: numbers of ``words``; ``sizes``: words of each document; ``counts``: in training."""
+    """The stored segments. ``tokens``: numbers of ``words``; ``sizes``: words of each document; ``counts``: of words in training."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _held_out(F.col(id_col)).alias("held_out"), F.coalesce(text_col, F.lit("")).alias("text"))
     return stored(rows.mapInArrow(_segmenter, SEGMENTS), "segments")
 
 
+def words_of(cell: bytes) -> list[bytes]:
+    """The words of a segment's cell; no word holds a space."""
+    return zstandard.ZstdDecompressor().decompress(cell).split(b" ") if len(cell) > 0 and zstandard.frame_content_size(cell) else []
+
+
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of pairs of hashes, in their order."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + b
@@ -129,17 +150,15 @@ class Segment:
     def __init__(self, held: pa.Table) -> None:
         cell = lambda name: held.column(name)[0]
         self.name, self.ids, self.out = cell("segment").as_py(), cell("doc_ids").values, cell("held_out").values.to_numpy(zero_copy_only=False)
-        self.words = cell("words").as_py()
+        self.words = words_of(cell("words").as_py())
         self.sizes = cell("sizes").values.to_numpy().astype(np.int64) + 1
         total, n = int(self.sizes.sum()), len(self.words)
-        tokens = np.frombuffer(pa.decompress(cell("tokens").as_py(), 4 * (total - len(self.sizes)), codec="zstd"), np.uint8)
-        tokens = np.ascontiguousarray(tokens.reshape(4, -1).T).view(np.int32).ravel()
         self.ends = np.cumsum(self.sizes)
         first = self.ends - self.sizes
         self.symbol = np.full(total, n, np.int32)
         inner = np.ones(total, bool)
         inner[self.ends - 1] = False
-        self.symbol[inner] = tokens
+        self.symbol[inner] = unpacked([cell("tokens").as_py()], np.int32)[0]
         self.before = np.empty_like(self.symbol)
         self.before[1:] = self.symbol[:-1]
         self.before[first] = n + 1
@@ -160,7 +179,7 @@ class Segment:
         contexts = np.unique(self.context[may])
         at = np.flatnonzero(may & (counts[self.pair] > 0))
         above = self.pairs[self.context[at]]
-        key = (above & np.uint64(0xFFFFFFFF00000000)) | (_mix(above, self.hashes[self.symbol[at]]) >> np.uint64(32))
+        key = (above & ~GRAM) | (_mix(above, self.hashes[self.symbol[at]]) >> np.uint64(40))
         triples, triple = np.unique(key, return_inverse=True)
         return contexts, at, triples, triple
 
@@ -168,27 +187,26 @@ class Segment:
 # --- exchanges ----------------------------------------------------------------------------------------
 
 #: What a segment asks of a bucket and what it is told. In the first exchange ``keys`` and ``counts`` are of words (level 1) or pairs (2); in
-#: the second ``keys`` are contexts, with their counts and parts of their divergence, and ``of``, ``grams``, ``times``, ``prior`` their triples.
-ASKED = "level int, bucket int, segment string, keys binary, counts binary, gains binary, of binary, grams binary, times binary, prior binary"
+#: the second ``keys`` are contexts: of one word with ``gains``, parts of their divergence; of two with their ``counts``, the counts of their last
+#: word, and the number of their triples, which follow with their counts and those of their last pair. Cells are packed numbers.
+ASKED = "level int, bucket int, segment string, keys binary, counts binary, gains binary, lasts binary, inner binary, grams binary, times binary, ends binary"
 TOLD = "level int, bucket int, segment string, a binary, b binary, fresh long"
 ASKED_NAMES, TOLD_NAMES = ([c.split()[0] for c in ddl.split(", ")] for ddl in (ASKED, TOLD))
-ASKED_KINDS = [pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 7]
+ASKED_KINDS = [pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 8]
 TOLD_SCHEMA = pa.schema(list(zip(TOLD_NAMES, [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64()], strict=True)))
 
 
-def _dealt(level: int, name: str, bits: int, hashes: np.ndarray, columns: list[np.ndarray], of: np.ndarray | None = None, grams: list[np.ndarray] | None = None) -> list[tuple]:
-    """Rows of ASKED, one for each bucket: sorted ``hashes`` with ``columns`` beside, and ``grams`` beside, which belong to hashes ``of``."""
+def _dealt(level: int, name: str, bits: int, hashes: np.ndarray, counts: np.ndarray | None = None, gains: np.ndarray | None = None, lasts: np.ndarray | None = None, inner: np.ndarray | None = None, grams: tuple = ()) -> list[tuple]:
+    """Rows of ASKED, one for each bucket: sorted ``hashes`` with columns beside; ``inner``: how many of the ``grams`` each has, in order."""
     bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    keys = hashes if level == 1 and of is None else ((hashes >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    keys = hashes if level == 1 and counts is not None else ((hashes >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     there, starts = np.unique(bucket, return_index=True)
     cuts = [*starts.tolist(), len(hashes)]
-    inner = np.searchsorted(of, cuts).tolist() if of is not None else [0] * len(cuts)
+    below = np.concatenate([[0], np.cumsum(inner, dtype=np.int64)])[cuts].tolist() if inner is not None else []
     rows = []
     for k, b in enumerate(there.tolist()):
-        s, e, i, j = cuts[k], cuts[k + 1], inner[k], inner[k + 1]
-        beside = [c[s:e].tobytes() for c in columns] + [None] * (2 - len(columns))
-        more = [(of[i:j] - s).astype(np.int32).tobytes(), *(g[i:j].tobytes() for g in grams)] if of is not None else [None] * 4
-        rows.append((level, b, name, keys[s:e].tobytes(), *beside, *more))
+        beside = [None if c is None else packed(c[cuts[k] : cuts[k + 1]]) for c in (keys, counts, gains, lasts, inner)]
+        rows.append((level, b, name, *beside, *([packed(g[below[k] : below[k + 1]]) for g in grams] or [None] * 3)))
     return rows
 
 
@@ -203,55 +221,54 @@ def _counter(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         for batch in batches:
             for i in range(batch.num_rows):
                 own = Segment(held := pa.Table.from_batches([batch.slice(i, 1)]))
-                counts = held.column("counts")[0].values.to_numpy().astype(np.uint32)
+                counts = unpacked([held.column("counts")[0].as_py()], np.int32)[0].astype(np.uint32)
                 pairs = np.bincount(own.pair[own.train], minlength=len(own.pairs)).astype(np.uint32)
-                rows = _dealt(1, own.name, bits, own.hashes[own.order], [counts[own.order]]) + _dealt(2, own.name, bits, own.pairs, [pairs])
+                rows = _dealt(1, own.name, bits, own.hashes[own.order], counts[own.order]) + _dealt(2, own.name, bits, own.pairs, pairs)
                 yield from _batch(rows).to_batches()
 
     return run
 
 
-def _joined(group: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-
-
-def _told(group: pa.Table, a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray | None = None, sizes_b: np.ndarray | None = None, fresh: int = 0) -> pa.Table:
-    """Rows of TOLD: each asking segment's part of ``a`` and ``b``."""
+def _joined(group: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' numbers one after another, and how many each row has."""
+    parts = unpacked(group.column(name).to_pylist(), kind)
+    return np.concatenate(parts), np.array([len(p) for p in parts])
 
-    def parts(x: np.ndarray | None, sizes: np.ndarray | None) -> list:
-        return [None] * group.num_rows if x is None else [p.tobytes() for p in np.split(x, np.cumsum(sizes)[:-1])]
 
+def _told(group: pa.Table, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None = None, fresh: int = 0) -> pa.Table:
+    """Rows of TOLD: each asking segment's part of ``a`` and ``b``, which are numbers and how many are whose."""
+    parts = lambda x: [None] * group.num_rows if x is None else [packed(p) for p in np.split(x[0], np.cumsum(x[1])[:-1])]
     columns = [group.column(k).to_pylist() for k in ("level", "bucket", "segment")]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, parts(a, sizes_a), parts(b, sizes_b), [fresh] + [0] * (group.num_rows - 1)], TOLD_SCHEMA, strict=True)], schema=TOLD_SCHEMA)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, parts(a), parts(b), [fresh] + [0] * (group.num_rows - 1)], TOLD_SCHEMA, strict=True)], schema=TOLD_SCHEMA)
 
 
 def _summer(group: pa.Table) -> pa.Table:
     """Counts of a bucket's words or pairs, summed over segments. ``fresh``: the distinct ones that training has."""
-    kind = np.uint64 if group.column("level")[0].as_py() == 1 else np.uint32
-    keys, counts = _joined(group, "keys", kind), _joined(group, "counts", np.uint32)
+    keys, sizes = _joined(group, "keys", np.uint64 if group.column("level")[0].as_py() == 1 else np.uint32)
     distinct, place = np.unique(keys, return_inverse=True)
-    sums = np.bincount(place, counts, len(distinct))
-    sizes = np.array([len(k) // kind().nbytes for k in group.column("keys").to_pylist()])
-    return _told(group, sums[place].astype(np.uint32), sizes, fresh=int((sums > 0).sum()))
+    sums = np.bincount(place, _joined(group, "counts", np.uint32)[0], len(distinct))
+    return _told(group, (sums[place].astype(np.uint32), sizes), fresh=int((sums > 0).sum()))
 
 
 def _decider(group: pa.Table) -> pa.Table:
     """Which of a bucket's contexts are states (``a``), and the counts of its triples (``b``), over all segments."""
-    keys, counts, gains = _joined(group, "keys", np.uint32), _joined(group, "counts", np.uint32), _joined(group, "gains", np.float32).astype(float)
-    sizes = np.array([len(k) // 4 for k in group.column("keys").to_pylist()])
-    inner = np.array([len(k) // 4 for k in group.column("grams").to_pylist()])
+    keys, sizes = _joined(group, "keys", np.uint32)
     distinct, place = np.unique(keys, return_inverse=True)
-    gain, n = np.bincount(place, gains, len(distinct)), np.zeros(len(distinct))
-    n[place] = counts
-    of = place[_joined(group, "of", np.int32) + np.repeat(np.cumsum(sizes) - sizes, inner)]
-    grams, times, prior = _joined(group, "grams", np.uint32), _joined(group, "times", np.uint32), _joined(group, "prior", np.float32)
-    triples, triple = np.unique((of.astype(np.uint64) << np.uint64(32)) | grams, return_inverse=True)
-    sums, q = np.bincount(triple, times, len(triples)), np.zeros(len(triples))
-    q[triple] = prior
+    if group.column("level")[0].as_py() == 1:
+        gain = np.bincount(place, _joined(group, "gains", np.float32)[0].astype(float), len(distinct))
+        return _told(group, ((gain >= DIVERGENCE)[place].astype(np.uint8), sizes))
+    n, last = np.zeros(len(distinct)), np.zeros(len(distinct))
+    n[place], last[place] = _joined(group, "counts", np.uint32)[0], _joined(group, "lasts", np.uint32)[0]
+    of = np.repeat(place, _joined(group, "inner", np.uint32)[0])
+    grams, inner = _joined(group, "grams", np.uint32)
+    triples, triple = np.unique((of.astype(np.uint64) << np.uint64(24)) | grams, return_inverse=True)
+    sums, ends = np.bincount(triple, _joined(group, "times", np.uint32)[0], len(triples)), np.ones(len(triples))
+    ends[triple] = _joined(group, "ends", np.uint32)[0]
     known = np.flatnonzero(sums > 0)
-    above = (triples[known] >> np.uint64(32)).astype(np.int64)
-    gain += np.bincount(above, sums[known] * (np.log(sums[known] / n[above]) - q[known]), len(distinct))
-    return _told(group, (gain >= DIVERGENCE)[place].astype(np.uint8), sizes, sums[triple].astype(np.uint32), inner)
+    above = (triples[known] >> np.uint64(24)).astype(np.int64)
+    ratio = np.log(sums[known] / n[above]) - np.log(ends[known] / last[above])
+    gain = np.bincount(above, sums[known] * ratio, len(distinct))
+    return _told(group, ((gain >= DIVERGENCE)[place].astype(np.uint8), sizes), (sums[triple].astype(np.uint32), inner))
 
 
 class Known:
@@ -259,7 +276,7 @@ class Known:
 
     def __init__(self, own: Segment, told: pa.Table, n_docs: int) -> None:
         parts = {k: sorted(zip(*(told.filter(pc.equal(told.column("level"), k)).column(c).to_pylist() for c in ("bucket", "a", "b")), strict=True)) for k in (1, 2, 11, 12)}
-        whole = lambda k, c, kind: np.frombuffer(b"".join(p[c] for p in parts[k]), kind)
+        whole = lambda k, c, kind: np.concatenate(unpacked([p[c] for p in parts[k]], kind) or [np.zeros(0, kind)])
         self.words = np.empty(len(own.words) + 2)
         self.words[own.order] = whole(1, 1, np.uint32)
         self.words[-2:] = n_docs  # ends, and starts as contexts
@@ -281,7 +298,7 @@ def _gainer(bits: int, n_docs: int, n: int) -> Callable[[pa.Table, pa.Table], pa
         prior[seen] = np.log(known.pairs[own.pair[seen]] / known.words[own.before[seen]])
         # Contexts of one word: all of the divergence is known here but its sum.
         gain = np.bincount(own.before[train], prior[train] - np.log(known.words[own.symbol[train]] / n), v + 2)[:v]
-        rows = _dealt(1, own.name, bits, own.hashes[own.order], [known.words[own.order].astype(np.uint32), gain[own.order].astype(np.float32)], np.zeros(0, np.int64), [np.zeros(0, np.uint32)] * 3)
+        rows = _dealt(1, own.name, bits, own.hashes[own.order], gains=gain[own.order].astype(np.float32))
         # Contexts of two: what their triples add to the divergence is known where these are summed.
         contexts, at, triples, triple = own.triples(known.pairs)
         place = np.zeros(len(own.pairs), np.int64)
@@ -291,8 +308,13 @@ def _gainer(bits: int, n_docs: int, n: int) -> Callable[[pa.Table, pa.Table], pa
         times = np.bincount(triple[train[at]], minlength=len(triples)).astype(np.uint32)
         of = place[own.context[one]]
         order = np.argsort(of, kind="stable")
-        grams = [(triples & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], times[order], prior[one].astype(np.float32)[order]]
-        rows += _dealt(2, own.name, bits, own.pairs[contexts], [known.pairs[contexts], np.zeros(len(contexts), np.float32)], of[order], grams)
+        grams = ((triples & GRAM).astype(np.uint32)[order], times[order], known.pairs[own.pair[one]].astype(np.uint32)[order])
+        counts = known.pairs[contexts].astype(np.uint32)
+        at = np.flatnonzero(own.context >= 0)
+        last = np.zeros(len(own.pairs), np.int32)
+        last[own.context[at]] = own.before[at]
+        lasts = known.words[last[contexts]].astype(np.uint32)
+        rows += _dealt(2, own.name, bits, own.pairs[contexts], counts, None, lasts, np.bincount(of, minlength=len(contexts)).astype(np.uint32), grams)
         return _batch(rows)
 
     return run
@@ -317,9 +339,9 @@ def _byte_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _speller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            pair, first = _byte_pairs(words)
-            sums = np.bincount(pair, np.repeat(np.array(counts, float), np.diff([*first, len(pair)])), (MARK + 1) ** 2)
+        for words, counts in zip(batch.column(0).to_pylist(), unpacked(batch.column(1).to_pylist(), np.int32), strict=True):
+            pair, first = _byte_pairs(words_of(words))
+            sums = np.bincount(pair, np.repeat(counts.astype(float), np.diff([*first, len(pair)])), (MARK + 1) ** 2)
             kept = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(sums[kept].astype(np.int64))], names=["pair", "n"])
 
@@ -407,6 +429,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     v = (counted.where("level = 1").agg(F.sum("fresh")).first()[0] or 0) + (n_docs > 0)
     asked = lean.groupBy("segment").cogroup(counted.groupBy("segment")).applyInArrow(_gainer(bits, n_docs, n), ASKED)
     decided = asked.groupBy("level", "bucket").applyInArrow(_decider, TOLD).withColumn("level", F.col("level") + 10)
-    told = counted.unionByName(stored(decided.select(*counted.columns), "decided"))
+    # Both cogroups are of one plan, so that the segments move once for both.
+    told = counted.unionByName(decided.select(*counted.columns))
     found = lean.groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(_scorer(lambda: sent.value, n_docs, n, v), SCORES)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
