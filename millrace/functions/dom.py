@@ -1,11 +1,14 @@
 """A tolerant HTML tree, small: what the extractors need of it, and Markdown of a node.
 
+Nothing recurses, so that no nesting is too deep, and every node is rendered once.
+
 Selectors: compounds of tag, ``#id`` and ``.class``, joined by spaces (descendant); commas for alternatives.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -25,13 +28,28 @@ class Node:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
     def walk(self):
-        for child in self.children:
-            if isinstance(child, Node):
+        """Descendants in document order."""
+        open_ = [iter(self.children)]
+        while open_:
+            child = next(open_[-1], None)
+            if child is None:
+                open_.pop()
+            elif isinstance(child, Node):
                 yield child
-                yield from child.walk()
-
-    def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+                open_.append(iter(child.children))
+
+    def text(self, without: frozenset[str] = frozenset(), deep: bool = True) -> str:
+        """The text, without that of elements ``without``; only of own children unless ``deep``."""
+        out, open_ = [], [iter(self.children)]
+        while open_:
+            child = next(open_[-1], None)
+            if child is None:
+                open_.pop()
+            elif isinstance(child, str):
+                out.append(child)
+            elif child.tag not in without or (len(open_) > 1 and not deep):
+                open_.append(iter(child.children))
+        return "".join(out)
 
     def remove(self) -> None:
         if self.parent:
@@ -74,19 +92,26 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
+        #: How many elements of each kind are open, so that none is sought in vain.
+        self.open = Counter()
+
+    def _close_to(self, node: Node) -> None:
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         kinds, walls = CLOSES.get(tag, ((), ()))
-        n = self.at
-        while n.parent and n.tag not in walls and kinds:
-            if n.tag in kinds:
-                self.at = n.parent
+        n = to = self.at
+        while n.parent and n.tag not in walls and any(self.open[k] for k in kinds):
+            to = n.parent if n.tag in kinds else to
             n = n.parent
-        if tag in BLOCKS:
+        self._close_to(to)
+        if tag in BLOCKS and self.open["p"]:
             n = self.at
             while n.parent and n.tag not in {"td", "th", "div", "li", "button"}:
                 if n.tag == "p":
-                    self.at = n.parent
+                    self._close_to(n.parent)
                     break
                 n = n.parent
         if tag == "tr" and self.at.tag == "table":
@@ -95,7 +120,7 @@ class _Builder(HTMLParser):
             self.handle_starttag("tr", [])
         self._open(tag, attrs)
         if tag in VOID:
-            self.at = self.at.parent
+            self._close_to(self.at.parent)
 
     def _open(self, tag: str, attrs: list) -> None:
         node = Node(tag, {}, self.at)
@@ -103,20 +128,21 @@ class _Builder(HTMLParser):
             node.attrs.setdefault(k, v or "")
         self.at.children.append(node)
         self.at = node
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag in ("svg", "path"):
-            self.at = self.at.parent
+            self._close_to(self.at.parent)
 
     def handle_endtag(self, tag: str) -> None:
         n = self.at
-        while n.parent and n.tag != tag:
+        while n.parent and n.tag != tag and self.open[tag]:
             if n.tag in ("td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                 return
             n = n.parent
-        if n.parent:
-            self.at = n.parent
+        if n.parent and n.tag == tag:
+            self._close_to(n.parent)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -133,10 +159,8 @@ def trim(s: str) -> str:
     return s.strip(" \t\n\r\f\v                 　﻿")
 
 
-def _inline(n: Node | str) -> str:
-    if isinstance(n, str):
-        return re.sub(r"[ \t\r\n]+", " ", n)
-    inner = "".join(map(_inline, n.children))
+def _inline(n: Node, inner: str, items: list[str]) -> str:
+    """Markdown of an element from that of its content; ``items``: of its list items."""
     if n.tag in ("script", "style", "head", "noscript"):
         return ""
     if n.tag == "br":
@@ -151,11 +175,10 @@ def _inline(n: Node | str) -> str:
         return f"[{inner.strip()}]({n.attrs['href']})"
     if n.tag == "img":
         return f"![{n.attrs.get('alt', '')}]({n.attrs['src']})" if n.attrs.get("src") else ""
-    return inner if n.tag not in BLOCKS and n.tag not in ("li", "tr", "td", "th") else f"\n\n{_block(n)}\n\n"
+    return inner if n.tag not in BLOCKS and n.tag not in ("li", "tr", "td", "th") else f"\n\n{_block(n, inner.strip(), items)}\n\n"
 
 
-def _block(n: Node) -> str:
-    inner = "".join(map(_inline, n.children)).strip()
+def _block(n: Node, inner: str, items: list[str]) -> str:
     if re.fullmatch("h[1-6]", n.tag):
         return f"{'#' * int(n.tag[1])} {inner}"
     if n.tag == "hr":
@@ -165,15 +188,34 @@ def _block(n: Node) -> str:
     if n.tag == "blockquote":
         return "\n".join(f"> {line}".rstrip() for line in inner.split("\n"))
     if n.tag in ("ul", "ol"):
-        items = [c for c in n.children if isinstance(c, Node) and c.tag == "li"]
         marks = [f"{i}.  " if n.tag == "ol" else "*   " for i in range(1, len(items) + 1)]
-        return "\n".join(m + _block(c).replace("\n", "\n    ") for m, c in zip(marks, items, strict=True))
+        return "\n".join(m + x.replace("\n", "\n    ") for m, x in zip(marks, items, strict=True))
     return inner
 
 
+def _content(top: Node) -> str:
+    """Markdown of a node's content, each descendant from its own content as soon as that is whole."""
+    open_ = [(top, iter(top.children), [], [])]
+    while True:
+        n, left, parts, items = open_[-1]
+        child = next(left, None)
+        if isinstance(child, str):
+            parts.append(re.sub(r"[ \t\r\n]+", " ", child))
+        elif child is not None:
+            open_.append((child, iter(child.children), [], []))
+        else:
+            inner = "".join(parts)
+            open_.pop()
+            if not open_:
+                return inner
+            open_[-1][2].append(_inline(n, inner, items))
+            if n.tag == "li":
+                open_[-1][3].append(inner.strip())
+
+
 def markdown(n: Node | None) -> str:
     """Markdown of a node's content: headings, lists, links, images, emphasis, code, quotes and rules."""
     if n is None:
         return ""
-    text = "".join(map(_inline, n.children))
+    text = _content(n)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n(?!\S)", "\n", text)).strip()

@@ -20,7 +20,7 @@ from millrace.sources import catalog
 from millrace.sources.specs import DETAIL_SPECS, LIST_SPECS, DetailSpec, ListSpec
 
 RAW_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("href", "on_click", "title", "date", "end_date")])
-DETAIL = T.StructType([T.StructField("detail_content", T.StringType()), T.StructField("has_attached_file", T.BooleanType()), T.StructField("has_attached_image", T.BooleanType())])
+DETAIL = T.StructType([T.StructField("detail_content", T.StringType()), T.StructField("has_attached_file", T.BooleanType()), T.StructField("has_attached_image", T.BooleanType()), T.StructField("error", T.StringType())])
 
 # --- lists --------------------------------------------------------------------------------------------
 
@@ -30,10 +30,7 @@ def _texts(nodes: list[Node]) -> str:
 
 
 def _without(nodes: list[Node], tags: set[str], deep: bool) -> str:
-    def of(n: Node) -> str:
-        return "".join(c if isinstance(c, str) else "" if c.tag in tags else of(c) if deep else c.text() for c in n.children)
-
-    return "".join(map(of, nodes))
+    return "".join(n.text(frozenset(tags), deep) for n in nodes)
 
 
 def _title(spec: ListSpec, cell: Node, anchors: list[Node], cells: list[Node]) -> str:
@@ -153,6 +150,10 @@ def list_items(pages: DataFrame, as_of: Column) -> DataFrame:
 # --- details ------------------------------------------------------------------------------------------
 
 
+#: A journal issue's heading and the word before its authors.
+HEADING, AUTHOR = "## 논문 목록", "저자"
+
+
 def _journal(root: Node) -> str:
     for n in root.find("script, style"):
         n.remove()
@@ -162,8 +163,8 @@ def _journal(root: Node) -> str:
         text = [trim(cells[i].text()) if i < len(cells) else "" for i in (0, 2)]
         title = trim(_texts(cells[1].find("a"))) if len(cells) > 1 else ""
         if title and text[1]:
-            lines.append(f"{text[0]}. **{title}**\n   저자: {text[1]}")
-    return "\n\n".join(["## 논문 목록", *lines]) if lines else ""
+            lines.append(f"{text[0]}. **{title}**\n   {AUTHOR}: {text[1]}")
+    return "\n\n".join([HEADING, *lines]) if lines else ""
 
 
 def _detail(spec: DetailSpec, page: str, compat: bool) -> dict:
@@ -189,17 +190,27 @@ def _detail(spec: DetailSpec, page: str, compat: bool) -> dict:
 
 
 def _detail_udf(compat: bool):
+    def of(page: str | None, name: str | None) -> dict:
+        spec = DETAIL_SPECS.get(name)
+        if spec is None:
+            return {"error": f"no such layout: {name}"}
+        try:
+            return _detail(spec, page or "", compat)
+        except Exception as e:  # a page's failure is a row, not the job's end
+            return {"error": f"{type(e).__name__}: {e}"}
+
     @F.pandas_udf(DETAIL)
     def details(html: pd.Series, layout: pd.Series) -> pd.DataFrame:
-        rows = [_detail(DETAIL_SPECS[n], p or "", compat) for p, n in zip(html, layout, strict=True)]
-        return pd.DataFrame(rows, columns=["detail_content", "has_attached_file", "has_attached_image"])
+        return pd.DataFrame([of(p, n) for p, n in zip(html, layout, strict=True)], columns=DETAIL.names, dtype=object)
 
     return details
 
 
 def details(pages: DataFrame, compat: bool = False) -> DataFrame:
-    """``page_id, detail_content, has_attached_file, has_attached_image`` of ``pages (page_id, html, detail_spec)``.
+    """``pages (html, detail_spec)`` with ``detail_content, has_attached_file, has_attached_image, error`` in place of these two.
 
+    Other columns come along, so that nothing need be joined back. A page of an unknown layout is a row with an error.
     ``compat``: keep the one layout's attachment flag that is set where there is none.
     """
-    return pages.select("page_id", _detail_udf(compat)("html", "detail_spec").alias("d")).select("page_id", "d.*")
+    rest = [c for c in pages.columns if c not in ("html", "detail_spec", *DETAIL.names)]
+    return pages.select(*rest, _detail_udf(compat)("html", "detail_spec").alias("d")).select(*rest, "d.*")

@@ -10,10 +10,10 @@ ARTICLES, PRIORITY = 5, 8
 
 
 def one_per_url(crawled: DataFrame, key: str = "detail_url", order: tuple[str, ...] = ("crawled_at", "page_id", "pos")) -> DataFrame:
-    """The first row of each address, in a total order."""
-    known = [F.col(c) for c in order if c in crawled.columns]
-    first = Window.partitionBy(key).orderBy(*known, *[F.col(c) for c in sorted(crawled.columns) if c not in order and c != key and crawled.schema[c].dataType.typeName() in ("string", "long", "integer")])
-    return crawled.withColumn("millrace_n", F.row_number().over(first)).where("millrace_n = 1").drop("millrace_n")
+    """The first row of each address, in a total order. Rows meet as an aggregate, so each task sends one row of an address."""
+    rest = [c for c in sorted(crawled.columns) if c not in order and c != key and crawled.schema[c].dataType.typeName() in ("string", "long", "integer")]
+    by = F.struct(F.lit(0), *[F.col(c) for c in order if c in crawled.columns], *rest)
+    return crawled.groupBy(F.col(key).alias("millrace_key")).agg(F.min_by(F.struct(*crawled.columns), by).alias("r")).select("r.*")
 
 
 def new_articles(crawled: DataFrame, existing: DataFrame, key: str = "detail_url") -> DataFrame:
@@ -32,11 +32,11 @@ def unscored(articles: DataFrame, analysis: DataFrame, key: str = "detail_url")
 
 
 def latest(rows: DataFrame, key: str | list[str], newest: Column) -> DataFrame:
-    """The newest row of each key: an upsert as it is read. Ties go to the largest row by its text."""
+    """The newest row of each key: an upsert as it is read, by an aggregate. Ties go to the largest row by its text."""
     keys = [key] if isinstance(key, str) else key
     rest = F.to_json(F.struct(*[c for c in rows.columns if c not in keys]))
-    order = Window.partitionBy(*keys).orderBy(newest.desc_nulls_last(), rest.desc())
-    return rows.withColumn("millrace_n", F.row_number().over(order)).where("millrace_n = 1").drop("millrace_n")
+    newest_of = F.max_by(F.struct(*rows.columns), F.struct(newest.alias("a"), rest.alias("b")))
+    return rows.groupBy(*[F.col(k).alias(f"millrace_{i}") for i, k in enumerate(keys)]).agg(newest_of.alias("r")).select("r.*")
 
 
 def with_details(items: DataFrame, details: DataFrame, key: str = "detail_url", how: str = "inner") -> DataFrame:

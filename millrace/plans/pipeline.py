@@ -77,18 +77,24 @@ def analyse(articles: DataFrame, analyst: Analyst, known_tags: list[str], attemp
 
 
 def crawl(lists: DataFrame, detail_pages: Callable[[DataFrame], DataFrame], store: Store, as_of: date, task_id: int) -> int:
-    """Saves the new articles of ``lists (target_id, html)``; ``detail_pages`` gives (detail_url, html) of new items."""
+    """Saves the new articles of ``lists (target_id, html)``; ``detail_pages`` gives (detail_url, html) of new items.
+
+    New items and their pages are stored before they are used, so that no page is asked for twice. List rows and pages that
+    fail are kept in the store's ``failures`` and not saved as articles.
+    """
     spark = lists.sparkSession
     boards = catalog.targets(spark)
     pages = lists.join(F.broadcast(boards), "target_id").withColumn("page_id", F.col("target_id"))
-    items = extract.list_items(pages, F.lit(as_of)).where("error is null").withColumnRenamed("page_id", "target_id")
+    items = store.scratch(extract.list_items(pages, F.lit(as_of)).withColumnRenamed("page_id", "target_id"), "items")
     # Known addresses go before any detail page is read.
-    fresh = R.new_articles(R.one_per_url(items), store.read("articles"))
+    fresh = R.new_articles(R.one_per_url(items.where("error is null")).drop("error"), store.read("articles"))
     fresh = R.with_context(fresh, boards, task_id)
-    layouts = fresh.join(F.broadcast(boards.select("target_id", "detail_spec")), "target_id").select("detail_url", "detail_spec")
-    read = detail_pages(fresh.select("detail_url")).join(layouts, "detail_url").withColumn("page_id", F.col("detail_url"))
-    details = extract.details(read).withColumnRenamed("page_id", "detail_url")
-    return store.save_articles(R.with_details(fresh, details))
+    fresh = store.scratch(fresh.join(F.broadcast(boards.select("target_id", "detail_spec")), "target_id"), "fresh")
+    read = store.scratch(detail_pages(fresh.select("detail_url")), "read").select("detail_url", "html")
+    details = store.scratch(extract.details(R.with_details(fresh, read)), "details")
+    failed = lambda rows, key: rows.where("error is not null").select(F.lit(task_id).cast("long").alias("task_id"), F.col(key).alias("source"), "error")
+    store.append("failures", failed(items, "target_id").unionByName(failed(details, "detail_url")))
+    return store.save_articles(details.where("error is null"))
 
 
 def publish(store: Store, writer: Writer) -> str | None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scalars as S
 from millrace.operators import extract
 from millrace.operators import relational as R
-from millrace.plans import render
+from millrace.plans import layout_pages, render
 from millrace.sources import catalog, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,9 +133,8 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def detail_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _table(spark, sf_dir, "pages").select("page_id", "url", "html", F.lit("generic").alias("detail_spec"))
-    found = extract.details(own)
-    return own.select("page_id", S.clean_url(F.col("url")).alias("detail_url")).join(found, "page_id")
+    own = _table(spark, sf_dir, "pages").select("page_id", S.clean_url(F.col("url")).alias("detail_url"), "html", F.lit("generic").alias("detail_spec"))
+    return extract.details(own).drop("error")
 
 
 @query(r"""
@@ -206,8 +205,7 @@ f AS (SELECT source, max(m) AS m FROM (VALUES {FLOOR_VALUES}) AS v(source, m) GR
 s AS (SELECT d.doc_id, d.source, d.lang, CAST(l.quality * 5 + l.toxic AS INTEGER) AS score, CAST(greatest(l.quality * 5 + l.toxic, coalesce(f.m, -1)) AS INTEGER) AS effective_score
       FROM documents d JOIN labels l USING (doc_id) LEFT JOIN f ON f.source = d.source)"""
 _GATE = """
-c AS (SELECT * FROM s WHERE lang = 'es'),
-g AS (SELECT source, count(*) AS n_articles, max(effective_score) AS max_score, count(*) > 5 OR max(effective_score) >= 8 AS publish FROM c GROUP BY source)"""
+g AS (SELECT source, lang, count(*) AS n_articles, max(effective_score) AS max_score, count(*) > 5 OR max(effective_score) >= 8 AS publish FROM s GROUP BY source, lang)"""
 
 
 @query(f"WITH {_SCORED} SELECT doc_id, source, score, effective_score FROM s")
@@ -217,13 +215,13 @@ def effective_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SCORED}, {_GATE} SELECT * FROM g")
 def publication_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.publication_gate(_scored(spark, sf_dir).where("lang = 'es'"), ["source"])
+    return R.publication_gate(_scored(spark, sf_dir), ["source", "lang"])
 
 
-@query(f"WITH {_SCORED}, {_GATE} SELECT doc_id, source FROM c WHERE source NOT IN (SELECT source FROM g WHERE publish)")
+@query(f"WITH {_SCORED}, {_GATE} SELECT doc_id, source FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE publish AND g.source = s.source AND g.lang = s.lang)")
 def carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir).where("lang = 'es'")
-    return R.carry_over(rows, R.publication_gate(rows, ["source"]), ["source"]).select("doc_id", "source")
+    rows = _scored(spark, sf_dir)
+    return R.carry_over(rows, R.publication_gate(rows, ["source", "lang"]), ["source", "lang"]).select("doc_id", "source")
 
 
 @query(f"WITH {_SCORED} SELECT doc_id, effective_score FROM s WHERE doc_id NOT IN (SELECT item_id FROM benchmark) ORDER BY effective_score DESC, doc_id LIMIT 20")
@@ -282,3 +280,38 @@ def journal_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || '}' AS json FROM documents")
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("json"))
+
+
+# --- every board layout -------------------------------------------------------------------------------
+
+#: The days of a page by its number: (SQL, Spark).
+_FIRST, _LAST = ("DATE '2023-12-01' + CAST(page_id % 60 AS INTEGER)", "date_add(DATE'2023-12-01', cast(page_id % 60 as int))"), ("DATE '2023-12-01' + CAST(page_id % 60 + page_id % 45 AS INTEGER)", "date_add(DATE'2023-12-01', cast(page_id % 60 + page_id % 45 as int))")
+_LIST_DAY = "2024-01-01"
+
+
+@query(f"""
+WITH l AS (SELECT * FROM {layout_pages.values(layout_pages.LISTS, "layout, url, shown, kind")}),
+p AS (SELECT CAST(page_id AS VARCHAR) AS n, {_FIRST[0]} AS a, {_LAST[0]} AS b FROM pages),
+x AS (SELECT l.*, p.*, CASE kind WHEN 'period' THEN TRUE WHEN 'later' THEN b > DATE '{_LIST_DAY}' WHEN 'range' THEN a <> b ELSE FALSE END AS period FROM p, l)
+SELECT layout || '/' || n AS page_id, n AS uniq_id, 'T' || n AS title,
+  CASE WHEN kind = 'range' AND NOT period THEN strftime(a, '%Y-%m-%d') ELSE replace(replace(shown, '{{d}}', strftime(a, '%Y-%m-%d')), '{{e}}', strftime(b, '%Y-%m-%d')) END AS date,
+  CAST(a AS DATE) AS start_date, replace(url, '{{n}}', n) AS detail_url, CASE WHEN period THEN 'DURATION' ELSE 'REGISTERED' END AS date_type FROM x""")
+def list_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each of the 31 list layouts for every page's number, through the whole list extraction."""
+    made = layout_pages.list_pages(_table(spark, sf_dir, "pages"), "page_id", F.expr(_FIRST[1]), F.expr(_LAST[1]))
+    return extract.list_items(made, F.lit(_LIST_DAY).cast("date")).select("page_id", "uniq_id", "title", "date", "start_date", "detail_url", "date_type")
+
+
+@query(f"""
+WITH l AS (SELECT * FROM {layout_pages.values(layout_pages.DETAILS, "layout, files, images")}),
+p AS (SELECT page_id, CAST(page_id AS VARCHAR) AS n FROM pages)
+SELECT page_id, layout, CASE WHEN files = 'journal' THEN '## 논문 목록' || chr(10) || chr(10) || n || '. **T' || n || '**' || chr(10) || '   저자: kim'
+    ELSE '## head ' || n || chr(10) || chr(10) || '**bold** and [link](/a?b=' || n || ')' || chr(10) || chr(10) || '*   one' || chr(10) || '*   two' || CASE WHEN page_id % 2 = 0 THEN chr(10) || chr(10) || '![](/i' || n || '.png)' ELSE '' END END AS detail_content,
+  CASE files WHEN 'yes' THEN TRUE WHEN 'journal' THEN TRUE WHEN 'no' THEN FALSE ELSE page_id % 3 = 0 END AS has_attached_file, images AND page_id % 2 = 0 AS has_attached_image FROM p, l""")
+def detail_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each of the 25 detail layouts for every page's number: flags and Markdown."""
+    n = F.col("page_id").cast("string")
+    image = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<p><img src="/i'), n, F.lit('.png"></p>'))).otherwise("")
+    content = F.concat(F.lit("<h2>head "), n, F.lit('</h2><p><b>bold</b>\n and <a href="/a?b='), n, F.lit('">link</a></p><ul><li>one</li><li>two</li></ul>'), image)
+    made = layout_pages.detail_pages(_table(spark, sf_dir, "pages"), "page_id", content, F.col("page_id") % 3 == 0)
+    return extract.details(made).select("page_id", "layout", "detail_content", "has_attached_file", "has_attached_image")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ SCHEMAS = {
     "analysis": "detail_url string, tags array<string>, image_context string, score int, analysed_at timestamp",
     "newsletters": "id string, issue_order int, title string, html string",
     "newsletter_articles": "issue_order int, detail_url string",
+    "failures": "task_id long, source string, error string",
     "tasks": "task_id long, started_at timestamp, completed_at timestamp",
 }
 
@@ -49,6 +51,12 @@ class Store:
         (writer.partitionBy("group_id") if name == "articles" else writer).parquet(f"{self.root}/{name}")
         return seen.get["n"]
 
+    def scratch(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` written below the store and read again, so that what made them runs once."""
+        path = f"{self.root}/scratch/{uuid.uuid4().hex}/{name}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def find_by_urls(self, urls: DataFrame) -> DataFrame:
         return R.existing_articles(self.read("articles"), urls)
 

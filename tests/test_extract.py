@@ -1,6 +1,7 @@
 """Extraction from small hand-written pages, a layout each, with the traps of real markup."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,7 +110,7 @@ def test_details(spark):
     assert (r.has_attached_file, r.has_attached_image) == (True, True)
     assert "**there**" in r.detail_content and "![A](a.png)" in r.detail_content and "share" not in r.detail_content
     r = detail(spark, "khs", "<p>nothing here</p>")
-    assert tuple(r)[1:] == ("", False, False)
+    assert tuple(r)[1:] == ("", False, False, None)
 
 
 def test_detail_rows_and_removals(spark):
@@ -144,3 +145,18 @@ def test_markdown():
     md = dom.markdown(dom.parse(html))
     for part in ("## T", "a _b_  \nc", "*   x\n*   y", "1.  z", "```\nk\n v\n```", "> q", "* * *", "[l](/u)", "`d`"):
         assert part in md, part
+
+
+def test_deep_nesting_is_linear(spark):
+    for tag in ("div", "section", "span", "b", "blockquote"):
+        began = time.time()
+        root = dom.parse(f"<{tag}>" * 5000 + "x" + f"</{tag}>" * 5000)
+        text = dom.markdown(root)
+        assert "x" in text and root.text() == "x" and time.time() - began < (1 if tag != "blockquote" else 10), tag
+
+
+def test_unknown_layouts_are_errors_of_their_rows(spark):
+    rows = spark.createDataFrame([(1, "<p>x</p>", "none", "u"), (2, "<article>x</article>", "generic", "v"), (3, "x", None, "w"), (4, None, "generic", "z")], "page_id int, html string, detail_spec string, beside string")
+    got = {r["page_id"]: r for r in extract.details(rows).collect()}
+    assert [got[i]["error"] for i in (1, 2, 3, 4)] == ["no such layout: none", None, "no such layout: None", None]
+    assert got[2]["detail_content"] == "x" and got[1]["detail_content"] is None and got[3]["beside"] == "w"
