@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +42,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers compressed, the bytes of one weight side by side."""
+    planes = numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes() if len(numbers) else b""
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpacked(cells: list[bytes | None], kind: type) -> list[np.ndarray]:
+    """The numbers of each cell of :func:`packed`."""
+    size, open_ = np.dtype(kind).itemsize, zstandard.ZstdDecompressor().decompress
+    bytes_of = [np.frombuffer(open_(c), np.uint8) if c else np.zeros(0, np.uint8) for c in cells]
+    return [np.ascontiguousarray(b.reshape(size, -1).T).view(kind).ravel() for b in bytes_of]
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where that is unset (a local session, as in tests) a temporary folder of this machine stands in.
+    Only where that is unset in a local session, as in tests, a temporary folder of this machine stands in.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/millrace/{uuid.uuid4().hex}"
@@ -63,11 +80,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links (a, b)`` as ``(node, component)``, component: the smallest node.
 
     Alternates large-star and small-star steps, each a minimum by key and an equi-join, until nothing
-    changes. Every round's links are a stored table. Nodes without a link have no row.
+    changes, which takes about as many rounds as a component's diameter has bits. Every round's links are a stored
+    table. Nodes without a link have no row.
     """
 
     def neighbours(e: DataFrame, both: bool) -> DataFrame:
@@ -80,7 +98,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = state(edges)
-    for _ in range(rounds if before[0] else 0):
+    while before[0]:
         n = neighbours(edges, True)
         low = n.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = n.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -1,21 +1,22 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-1. The benchmark's vocabulary is small and known; the corpus is cut into segments of bounded size, and each
-   segment's positional postings of that vocabulary are stored as one row of an index table: for every
-   term the sorted list of token positions, with the documents' borders.
-2. Term frequencies over the whole corpus are summed from the index, not from a second pass over the texts.
-3. Each window of a benchmark item is looked up from its rarest term: that term's list, shifted by its offset
-   in the window, is intersected with the shifted list of the next rarer term, and so on to the last.
-   What remains are exact phrase matches. Windows whose three rarest terms stand within ``slop`` words of
-   their places without an exact match are proximity matches.
+1. The corpus is cut into segments of bounded size, and each segment's positional postings are stored as one row of
+   an index table: for every term of its documents the sorted list of token positions, beside the documents' borders.
+   The index knows nothing of a benchmark; any number of them are looked up in it without reading texts again.
+2. The benchmark's distinct windows, with the items that hold them, are dealt to blocks of ``BLOCK_WORDS`` words; only
+   one block at a time is sent to the executors, whatever the benchmark's size.
+3. How often a block's terms stand in the corpus is summed from the index's list lengths.
+4. Each window is looked up from its rarest term: that term's list, shifted by its offset in the window, is
+   intersected with the shifted list of the next rarer term, and so on to the last. What remains are exact phrase
+   matches. Windows whose three rarest terms stand within ``slop`` words of their places without an exact match there
+   are proximity matches.
 
 Lists are only ever intersected within a segment, which holds whole documents, so no step shuffles by term
-and frequent terms or passages make no hot key. The benchmark is taken in blocks of ``BLOCK_WORDS`` words at
-most; only one block at a time is sent to the executors, whatever the benchmark's size.
+and frequent terms or passages make no hot key.
 
 Defined results: a null text has no words; an item without words has no window; an item of fewer than
-``window`` words is one window; an item without id marks words but isn't named; repeated rows each get a row;
-extra columns are ignored.
+``window`` words is one window; an item without id marks words but isn't named; repeated rows each get a row, also
+those that share an id or have none; extra columns are ignored; results don't depend on the number of blocks.
 """
 
 from __future__ import annotations
@@ -26,29 +27,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import alnum_words, stored
+from millrace.llm.common import alnum_words, packed, stored, unpacked
 
-#: Words of benchmark items that are looked up together, and so the bound of what is sent to executors.
-BLOCK_WORDS = 400_000
+#: Words of windows, and names of their items, that are looked up together, and so the bound of what is sent to executors.
+BLOCK_WORDS = 2_000_000
 #: Words of a segment after which it is closed; a longer document is a segment of its own.
 SEGMENT_WORDS = 1_500_000
 #: Candidate positions that are held at once.
 CANDIDATES = 2_000_000
 
+#: ``terms``: a segment's distinct words; ``lengths``: of their lists; ``steps``: the lists, one after another, each position as its distance from the
+#: one before it in its list.
 INDEX = pa.schema(
     [
+        ("segment", pa.string()),
         ("doc_ids", pa.list_(pa.int64())),
         ("n_words", pa.list_(pa.int64())),
         ("text_hash", pa.list_(pa.int64())),
-        ("terms", pa.list_(pa.int32())),
-        ("lengths", pa.list_(pa.int32())),
-        ("positions", pa.list_(pa.int32())),
+        ("terms", pa.binary()),
+        ("lengths", pa.binary()),
+        ("steps", pa.binary()),
     ]
 )
-INDEX_DDL = "doc_ids array<long>, n_words array<long>, text_hash array<long>, terms array<int>, lengths array<int>, positions array<int>"
+INDEX_DDL = "segment string, doc_ids array<long>, n_words array<long>, text_hash array<long>, terms binary, lengths binary, steps binary"
 
 
 @dataclass
@@ -62,65 +67,94 @@ class Phrases:
     items: list[list[str]]
 
 
-def phrases(items: list[tuple[object, str | None]], window: int) -> Phrases:
+def phrases(windows: list[tuple[str, list[str]]]) -> Phrases:
+    """From windows, as words with single spaces, and the names of their items."""
     vocabulary: dict[bytes, int] = {}
-    seen: dict[tuple[int, ...], set[str]] = {}
-    for item_id, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in alnum_words(text)]
-        for i in range(max(1, len(ids) - window + 1) if ids else 0):
-            names = seen.setdefault(tuple(ids[i : i + window]), set())
-            if item_id is not None:
-                names.add(str(item_id))
-    size = np.array([len(k) for k in seen], np.int64)
-    terms = np.array([t for k in seen for t in k], np.int64)
-    return Phrases(vocabulary, terms, np.cumsum(size) - size, size, [sorted(v) for v in seen.values()])
+    coded = [[vocabulary.setdefault(w, len(vocabulary)) for w in words.encode().split(b" ")] for words, _ in windows]
+    size = np.array([len(k) for k in coded], np.int64)
+    return Phrases(vocabulary, np.array([t for k in coded for t in k], np.int64), np.cumsum(size) - size, size, [sorted(names) for _, names in windows])
 
 
-# --- building the index -------------------------------------------------------------------------------
-
-
-def _indexer(vocabulary: dict[bytes, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def close(ids: list, sizes: list, hashes: list, codes: list) -> pa.RecordBatch:
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-        at = np.flatnonzero(flat >= 0).astype(np.int32)
-        order = np.argsort(flat[at], kind="stable")
-        terms, lengths = np.unique(flat[at], return_counts=True)
-        columns = [ids, sizes, hashes, terms.astype(np.int32), lengths.astype(np.int32), at[order]]
-        return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, INDEX, strict=True)], schema=INDEX)
+def windows_of(items: DataFrame, window: int) -> DataFrame:
+    """``(words, names)``: the distinct windows of ``items (item_id, text)`` and the items that hold each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, hashes, codes, held = [], [], [], [], 0
-        find = vocabulary.get
         for batch in batches:
-            for doc_id, text, text_hash in zip(*(c for c in batch.columns), strict=True):
-                words = alnum_words(text.as_py())
-                ids.append(doc_id.as_py())
-                sizes.append(len(words))
-                hashes.append(text_hash.as_py())
-                codes.append(np.array([find(w, -1) for w in words], np.int32))
-                held += len(words)
-                if held >= SEGMENT_WORDS:
-                    yield close(ids, sizes, hashes, codes)
-                    ids, sizes, hashes, codes, held = [], [], [], [], 0
-        if ids:
-            yield close(ids, sizes, hashes, codes)
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = alnum_words(text)
+                grams = {b" ".join(words[i : i + window]).decode() for i in range(max(1, len(words) - window + 1))} if words else set()
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array([name] * len(grams), pa.string())], names=["words", "name"])
 
-    return run
+    own = items.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "words string, name string")
+    return own.groupBy("words").agg(F.collect_set("name").alias("names"))
+
+
+# --- building the index -------------------------------------------------------------------------------
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: one row per segment, with the postings of ``vocabulary``."""
+def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    part, number = context.partitionId() if context else 0, 0
+
+    def close(ids: list, sizes: list, hashes: list, words: list) -> pa.RecordBatch:
+        coded = pa.array([w for own in words for w in own], pa.binary()).dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        places = np.argsort(code, kind="stable")
+        lengths = np.bincount(code, minlength=len(coded.dictionary)).astype(np.int32)
+        steps = np.diff(places, prepend=0)
+        first = np.cumsum(lengths) - lengths
+        steps[first] = places[first]
+        terms = zstandard.ZstdCompressor(level=1).compress(b" ".join(coded.dictionary.to_pylist()))
+        cells = [f"{part}-{number}", ids, sizes, hashes, terms, packed(lengths), packed(steps.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, INDEX, strict=True)], schema=INDEX)
+
+    ids, sizes, hashes, held, total = [], [], [], [], 0
+    for batch in batches:
+        for doc_id, text, text_hash in zip(*batch.columns, strict=True):
+            words = alnum_words(text.as_py())
+            ids.append(doc_id.as_py())
+            sizes.append(len(words))
+            hashes.append(text_hash.as_py())
+            held.append(words)
+            total += len(words)
+            if total >= SEGMENT_WORDS:
+                yield close(ids, sizes, hashes, held)
+                ids, sizes, hashes, held, total, number = [], [], [], [], 0, number + 1
+    if ids:
+        yield close(ids, sizes, hashes, held)
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index: one row per segment, with the postings of all its terms."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return stored(rows.mapInArrow(_indexer(vocabulary), INDEX_DDL), "postings")
+    return stored(rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_indexer, INDEX_DDL), "postings")
 
 
-def frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
+def _terms(cell: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(cell).split(b" ") if zstandard.frame_content_size(cell) else []
+
+
+def _known(cell: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """The vocabulary's number of each of a segment's terms, -1 for others."""
+    find = vocabulary.get
+    return np.array([find(w, -1) for w in _terms(cell)], np.int64)
+
+
+def frequencies(index: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
     """How often each term stands in the corpus; at most a row per term of the block comes to the driver."""
-    pairs = index.select(F.explode(F.arrays_zip("terms", "lengths")).alias("p"))
-    sums = pairs.groupBy(F.col("p.terms").alias("term")).agg(F.sum("p.lengths").alias("n")).collect()
-    found = np.zeros(n_terms, np.int64)
-    for row in sums:
+    sent = index.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for terms, lengths in zip(batch.column(0).to_pylist(), unpacked(batch.column(1).to_pylist(), np.int32), strict=True):
+                number = _known(terms, sent.value)
+                kept = number >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(number[kept]), pa.array(lengths[kept].astype(np.int64))], names=["term", "n"])
+
+    found = np.zeros(len(vocabulary), np.int64)
+    for row in index.select("terms", "lengths").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         found[row["term"]] = row["n"]
     return found
 
@@ -138,6 +172,7 @@ class Plan:
     window_of: np.ndarray
     first_of_term: np.ndarray
     items: list[list[str]]
+    vocabulary: dict[bytes, int]
 
 
 def plan(p: Phrases, counts: np.ndarray, window: int) -> Plan:
@@ -152,7 +187,7 @@ def plan(p: Phrases, counts: np.ndarray, window: int) -> Plan:
     rarest = terms[np.arange(n), order[:, 0]] if n else np.zeros(0, np.int64)
     window_of = np.argsort(rarest, kind="stable")
     first = np.searchsorted(rarest[window_of], np.arange(len(p.vocabulary) + 1))
-    return Plan(terms, p.size, order, window_of, first, p.items)
+    return Plan(terms, p.size, order, window_of, first, p.items, p.vocabulary)
 
 
 def _spread(counts: np.ndarray) -> np.ndarray:
@@ -161,36 +196,42 @@ def _spread(counts: np.ndarray) -> np.ndarray:
 
 
 def match(plan: Plan, n_words: np.ndarray, terms: np.ndarray, lengths: np.ndarray, positions: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Exact matches (start, window) and proximity matches (start, window) in a segment."""
-    n = int(n_words.sum())
-    code = np.full(n, -1, np.int64)
-    code[positions] = np.repeat(terms, lengths)
+    """Exact matches (start, window) and proximity matches (start, window) in a segment.
+
+    ``positions``: the lists of ``terms``, ascending, one after another, each sorted.
+    """
     ends = np.cumsum(n_words)
-    owner = np.repeat(np.arange(len(n_words)), n_words)
+    # All lists as one sorted one: a term's list is a stretch of it, sought by halving.
+    posts = (np.repeat(terms, lengths) << 32) | positions
+
+    def stands(term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        key = (term << 32) | place
+        at = np.minimum(np.searchsorted(posts, key), len(posts) - 1)
+        return posts[at] == key
+
     per_term = plan.first_of_term[terms + 1] - plan.first_of_term[terms]
     exact, near = ([], []), ([], [])
-    list_start = np.cumsum(lengths) - lengths
-    used = np.flatnonzero(per_term)
-    at = np.repeat(list_start[used], lengths[used]) + _spread(lengths[used])
-    posts, times, first = positions[at].astype(np.int64), np.repeat(per_term[used], lengths[used]), np.repeat(plan.first_of_term[terms[used]], lengths[used])
+    times, first = np.repeat(per_term, lengths), np.repeat(plan.first_of_term[terms], lengths)
+    used = np.flatnonzero(times)
+    seeds, times, first = positions[used], times[used], first[used]
     total = np.cumsum(times)
     cut = 0
-    while cut < len(posts):
+    while cut < len(seeds):
         to = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + CANDIDATES)))
         t = times[cut:to]
         window = plan.window_of[np.repeat(first[cut:to], t) + _spread(t)]
-        post = np.repeat(posts[cut:to], t)
-        start = post - plan.order[window, 0]
-        doc = owner[post]
+        seed = np.repeat(seeds[cut:to], t)
+        start = seed - plan.order[window, 0]
+        doc = np.searchsorted(ends, seed, side="right")
         ok = (start >= (ends - n_words)[doc]) & (start + plan.size[window] <= ends[doc])
         start, window, doc = start[ok], window[ok], doc[ok]
         cut = to
         left = np.arange(len(start))
         for k in range(1, plan.terms.shape[1]):
             offset = plan.order[window[left], k]
-            there = k >= plan.size[window[left]]
-            place = np.where(there, start[left], start[left] + offset)
-            left = left[there | (code[place] == plan.terms[window[left], offset])]
+            over = k >= plan.size[window[left]]
+            there = over | stands(plan.terms[window[left], np.where(over, 0, offset)], start[left] + offset)
+            left = left[there]
         exact[0].append(start[left])
         exact[1].append(window[left])
         if slop and len(start):
@@ -198,22 +239,21 @@ def match(plan: Plan, n_words: np.ndarray, terms: np.ndarray, lengths: np.ndarra
             other[left] = False
             other &= plan.size[window] >= 3
             s, w, d = start[other], window[other], doc[other]
-            close = np.ones(len(s), bool)
             for k in (1, 2):
                 offset = plan.order[w, k]
                 found = np.zeros(len(s), bool)
                 for shift in range(-slop, slop + 1):
                     place = s + offset + shift
                     inside = (place >= (ends - n_words)[d]) & (place < ends[d])
-                    found |= inside & (code[np.where(inside, place, 0)] == plan.terms[w, offset])
-                close &= found
-            near[0].append(s[close])
-            near[1].append(w[close])
+                    found |= inside & stands(plan.terms[w, offset], np.maximum(place, 0))
+                s, w, d = s[found], w[found], d[found]
+            near[0].append(s)
+            near[1].append(w)
     join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
     return join(exact[0]), join(exact[1]), join(near[0]), join(near[1])
 
 
-RESULT_DDL = "doc_id long, text_hash long, n_words long, n_hit long, n_near long, hit_runs array<int>, items array<string>"
+RESULT_DDL = "segment string, place int, doc_id long, text_hash long, n_words long, n_hit long, n_near long, hit_runs array<int>, items array<string>"
 
 
 def _seeker(plan_of: Callable[[], Plan], slop: int, keep_runs: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -222,11 +262,17 @@ def _seeker(plan_of: Callable[[], Plan], slop: int, keep_runs: bool) -> Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = plan_of()
         for batch in batches:
-            for row in range(batch.num_rows):
-                cell = lambda k, row=row, batch=batch: batch.column(k)[row].values
-                ids, hashes = cell(0), cell(2)
-                n_words, terms, lengths, positions = (cell(k).to_numpy().astype(np.int64) for k in (1, 3, 4, 5))
-                start, window, near_at, near_window = match(plan, n_words, terms, lengths, positions, slop)
+            for row in batch.to_pylist():
+                n_words = np.array(row["n_words"], np.int64)
+                number, lengths, steps = _known(row["terms"], plan.vocabulary), *unpacked([row["lengths"], row["steps"]], np.int32)
+                # A list's positions are the sums of its steps.
+                sums, borders = np.cumsum(steps, dtype=np.int64), np.cumsum(lengths, dtype=np.int64)
+                before = np.concatenate([[0], sums])[borders - lengths] if len(lengths) else borders
+                places = sums - np.repeat(before, lengths)
+                kept = np.flatnonzero(number >= 0)
+                kept = kept[np.argsort(number[kept])]
+                at = np.repeat((borders - lengths)[kept], lengths[kept]) + _spread(lengths[kept])
+                start, window, near_at, near_window = match(plan, n_words, number[kept], lengths[kept], places[at], slop)
                 first = np.cumsum(n_words) - n_words
                 mark = np.zeros(int(n_words.sum()) + 1, np.int64)
                 np.add.at(mark, start, 1)
@@ -246,69 +292,56 @@ def _seeker(plan_of: Callable[[], Plan], slop: int, keep_runs: bool) -> Callable
                     runs[d] = np.flatnonzero(own[1:] != own[:-1]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids,
-                        hashes,
+                        pa.array([row["segment"]] * len(first), pa.string()),
+                        pa.array(np.arange(len(first), dtype=np.int32)),
+                        pa.array(row["doc_ids"], pa.int64()),
+                        pa.array(row["text_hash"], pa.int64()),
                         pa.array(n_words),
                         pa.array(n_hit),
                         pa.array(n_near.astype(np.int64)),
                         pa.array(runs, pa.list_(pa.int32())),
                         pa.array([sorted(items.get(d, ())) for d in range(len(first))], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "text_hash", "n_words", "n_hit", "n_near", "hit_runs", "items"],
+                    names=["segment", "place", "doc_id", "text_hash", "n_words", "n_hit", "n_near", "hit_runs", "items"],
                 )
 
     return run
 
 
-def _merged(parts: list[DataFrame], docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The blocks' rows as one row per document; copies of a row are alike in every block."""
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+def _merged(rows: DataFrame) -> DataFrame:
+    """The blocks' rows as one row per document. No two blocks have a window in common."""
     runs = F.expr("flatten(collect_list(transform(sequence(0, size(hit_runs) div 2 - 1), i -> struct(hit_runs[2 * i] as a, hit_runs[2 * i + 1] as b))))")
     rows = rows.withColumn("hit_runs", F.when(F.size("hit_runs") > 0, F.col("hit_runs")))
-    one = rows.groupBy("doc_id", "text_hash").agg(
-        F.first("n_words").alias("n_words"), F.max("n_near").alias("n_near"), runs.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    one = rows.groupBy("segment", "place").agg(
+        *[F.first(c).alias(c) for c in ("doc_id", "text_hash", "n_words")], F.sum("n_near").alias("n_near"), runs.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
     covered = "aggregate(array_sort(r), struct(0L as n, 0 as upto), (s, x) -> struct(s.n + greatest(x.b - greatest(x.a, s.upto), 0) as n, greatest(x.b, s.upto) as upto), s -> s.n)"
-    one = one.select("doc_id", "text_hash", "n_words", F.expr(covered).alias("n_hit"), "n_near", "items")
-    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash")).alias("k")
-    same = F.col("k.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("k.text_hash") == F.col("o.text_hash"))
-    return keys.join(one.alias("o"), same).select("o.*")
-
-
-def find_contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    window: int = 10,
-    slop: int = 2,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    block_words: int = BLOCK_WORDS,
-) -> DataFrame:
-    """A row per document: ``doc_id, text_hash, n_words, n_hit, n_near, items``.
-
-    ``items``: sorted ids, as strings, of the items with a window in the document. ``n_near``: windows with a
-    proximity match that isn't exact (the most in any one block, where there are several).
+    return one.select("doc_id", "text_hash", "n_words", F.expr(covered).alias("n_hit"), "n_near", "items")
+
+
+def look_up(index: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 2, item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """A row per document of the index: ``doc_id, text_hash, n_words, n_hit, n_near, items``.
+
+    ``items``: sorted ids, as strings, of the items with a window in the document. ``n_near``: distinct windows with a
+    proximity match.
     """
-    sc = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
-    words = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + words // 4 // block_words
-    if blocks > 1:
-        items = stored(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
-    parts = []
+    sc = index.sparkSession.sparkContext
+    own = stored(windows_of(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), window), "windows")
+    words = own.agg(F.sum(F.size(F.split("words", " ")) + F.size("names"))).first()[0] or 0
+    blocks = 1 + words // block_words
+    rows = None
     for b in range(blocks):
-        own = items.where(F.col("block") == b).select("item_id", "text") if blocks > 1 else items
-        p = phrases([tuple(r) for r in own.collect()], window)
-        index = build_index(docs, p.vocabulary, id_col, text_col)
-        sent = sc.broadcast(plan(p, frequencies(index, len(p.vocabulary)), window))
-        parts.append(index.mapInArrow(_seeker(lambda sent=sent: sent.value, slop, blocks > 1), RESULT_DDL))
-    if blocks > 1:
-        return _merged(parts, docs, id_col, text_col)
-    return parts[0].drop("hit_runs")
+        mine = own.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b) if blocks > 1 else own
+        p = phrases([tuple(r) for r in mine.orderBy("words").collect()])
+        sent = sc.broadcast(plan(p, frequencies(index, p.vocabulary), window))
+        part = index.mapInArrow(_seeker(lambda sent=sent: sent.value, slop, blocks > 1), RESULT_DDL)
+        rows = part if rows is None else rows.unionByName(part)
+    return _merged(rows) if blocks > 1 else rows.drop("segment", "place", "hit_runs")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 2, id_col: str = "doc_id", text_col: str = "text", **of_items: object) -> DataFrame:
+    """:func:`look_up` of a benchmark in the index of ``docs``."""
+    return look_up(build_index(docs, id_col, text_col), benchmark, window, slop, **of_items)
 
 
 def items_digest(items: list[str]) -> str:

@@ -25,9 +25,19 @@ s AS (SELECT DISTINCT size FROM z),
 o AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS k, unnest(list_transform(range(1, len(w) - size + 2), lambda k: array_to_string(w[k:k + size - 1], ' '))) AS gram FROM d, s WHERE len(w) >= size),
 q AS (SELECT DISTINCT doc_id, o.size, k, item_id FROM o JOIN z ON o.gram = z.gram AND o.size = z.size),
 n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM q) GROUP BY doc_id),
+p AS (SELECT doc_id, len(w) AS n, unnest(range(0, len(w))) AS k, unnest(w) AS word FROM d),
+c AS (SELECT word, count(*) AS times FROM p GROUP BY word),
+u AS (SELECT DISTINCT size, gram FROM z WHERE size >= 3),
+r AS (SELECT gram, size, o, x.word, row_number() OVER (PARTITION BY gram ORDER BY coalesce(times, 0), o) AS rare
+      FROM (SELECT gram, size, unnest(range(0, size)) AS o, unnest(string_split(gram, ' ')) AS word FROM u) x LEFT JOIN c ON c.word = x.word),
+e AS (SELECT p.doc_id, r.gram, p.k - r.o AS start FROM p JOIN r ON p.word = r.word AND r.rare = 1 WHERE p.k >= r.o AND p.k - r.o + r.size <= p.n),
+y AS (SELECT e.* FROM e ANTI JOIN o ON o.doc_id = e.doc_id AND o.gram = e.gram AND o.k - 1 = e.start),
+v AS (SELECT y.* FROM y JOIN r ON r.gram = y.gram AND r.rare = 2 SEMI JOIN p ON p.doc_id = y.doc_id AND p.word = r.word AND abs(p.k - y.start - r.o) <= 2),
+b AS (SELECT v.* FROM v JOIN r ON r.gram = v.gram AND r.rare = 3 SEMI JOIN p ON p.doc_id = v.doc_id AND p.word = r.word AND abs(p.k - v.start - r.o) <= 2),
+m AS (SELECT doc_id, count(DISTINCT gram) AS n_near FROM b GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM q) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 
 def _secret_spans() -> str:

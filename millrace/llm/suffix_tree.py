@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import packed, stored, unpacked
 
 #: Occurrences that a state needs, and the divergence in nats.
 LEAST, DIVERGENCE = 2, 8.0
@@ -62,19 +62,6 @@ MARK = 256
 SEGMENTS = "segment string, doc_ids array<long>, held_out array<boolean>, sizes array<int>, tokens binary, words binary, counts binary, n_train long, n_tokens long"
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Numbers compressed, the bytes of one weight side by side."""
-    planes = numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes() if len(numbers) else b""
-    return zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def unpacked(cells: list[bytes | None], kind: type) -> list[np.ndarray]:
-    """The numbers of each cell of :func:`packed`."""
-    size, open_ = np.dtype(kind).itemsize, zstandard.ZstdDecompressor().decompress
-    bytes_of = [np.frombuffer(open_(c), np.uint8) if c else np.zeros(0, np.uint8) for c in cells]
-    return [np.ascontiguousarray(b.reshape(size, -1).T).view(kind).ravel() for b in bytes_of]
-
-
 def _held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 

@@ -214,6 +214,40 @@ def test_proximity_is_near_but_not_exact(spark):
     assert got == {0: (10, 0), 1: (0, 1), 2: (0, 0)}
 
 
+def brute_near(texts, items, window=10, slop=2):
+    """Distinct windows of each text whose three rarest words stand near their places, without an exact match there."""
+    told = [alnum(t) for t in texts]
+    times = collections.Counter(w for t in told for w in t)
+    windows = {tuple(w[i : i + window]) for _, t in items for w in [alnum(t)] if w for i in range(max(1, len(w) - window + 1))}
+    out = [set() for _ in told]
+    for p in windows:
+        rare = sorted(range(len(p)), key=lambda o: (times[p[o]], o))
+        for d, w in enumerate(told):
+            for s in range(len(w) - len(p) + 1) if len(p) > 2 else ():
+                near = all(p[o] in w[max(0, s + o - slop) : s + o + slop + 1] for o in rare[1:3])
+                if w[s + rare[0]] == p[rare[0]] and near and tuple(w[s : s + len(p)]) != p:
+                    out[d].add(p)
+    return [len(x) for x in out]
+
+
+def test_one_index_serves_benchmarks_in_any_number_of_blocks(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(12)] + [None, "", "w1 w2"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, "other text"), (None, texts[0]), (None, texts[0])], "doc_id long, text string")
+    index = decontaminate.build_index(docs.repartition(3))
+    for seed in (1, 2):
+        rnd = random.Random(seed)
+        items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.choice([3, 5, 12])))) for k in range(10)] + [(10, texts[1][6:60])]
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        whole = [texts[0] if r["doc_id"] is None else "other text" if r["text"] == "other text" else texts[r["doc_id"]] for r in docs.collect()]
+        want = sorted(zip([x[:3] for x in brute_contamination(whole, items)], brute_near(whole, items), strict=True))
+        assert max(n for _, n in want) > 0
+        for block in (1_000_000, 30):
+            found = decontaminate.look_up(index, bench, block_words=block).collect()
+            assert sorted(((r["n_words"], r["n_hit"], len(r["items"])), r["n_near"]) for r in found) == want
+
+
 @pytest.mark.parametrize("run", [
     lambda d: licenses.labelled(licenses.scan(d)),
     lambda d: quality_rules.judge(d),
