@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages archived as WARC records by content, and read back."""
-    found = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    """All pages archived by content, written to WARC files, and read back from these."""
+    found = warc.read(warc.files(warc.write(table(spark, sf_dir, "pages"))))
     return found.select("page_id", F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 

@@ -1,13 +1,14 @@
 """A content-addressed WARC archive.
 
-The archive is two tables: payloads, each distinct one once under its SHA-256, and records, each with its exact
-header block (the WARC header and, for responses, the HTTP header), the payload's digest and its place. A
-record's bytes are its header, its payload unless it is a revisit, and the two closing line ends; joins on the
-digest reconstruct them. Reading verifies every stored payload: length and both digests are taken anew from
-its bytes, and a record whose payload is missing or doesn't match is an error.
+The archive is two tables: payloads, each distinct one once, compressed, under its SHA-256, and records, each with its
+exact header block (the WARC header and, for responses, the HTTP header), the payload's digest and whether it goes
+without. A join on the digest reconstructs a response's bytes: its header, its payload and the two closing line ends;
+every payload is verified as it is taken. Records are written to WARC files of bounded size, compressed, as rows of a
+table; reading goes through the bytes of a file from record to record by their lengths.
 
 The first page of a payload, by page id, is its response; the others are revisits of it, if the payload has at
-least ``least`` bytes. Choosing it moves ids and digests only; a payload's bytes move once, when it is stored.
+least ``least`` bytes. Choosing it moves ids and digests only. A revisit has no payload, so a payload that many pages
+share is no large group anywhere.
 
 Defined results: a null html is the empty payload; a null url an empty target; rows that repeat the first
 page's id and payload are responses to the one stored payload; a page without id is never first if another
@@ -17,8 +18,14 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +35,8 @@ CRLF = "\r\n"
 #: The digits of base 32 (RFC 4648), and those that ``conv`` writes.
 BASE32, CONV32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 DATE = "2024-01-01T00:00:00Z"
+#: Bytes of records after which a file is closed; a larger record is a file of its own.
+FILE_BYTES = 16_000_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -39,7 +48,7 @@ def base32_sha1(payload: Column) -> Column:
 
 @dataclass
 class Archive:
-    """``payloads (sha256, payload)`` and ``records (page_id, sha256, header, bare)``; bare: no payload follows."""
+    """``payloads (sha256, packed)`` and ``records (page_id, sha256, header, bare)``; bare: no payload follows."""
 
     payloads: DataFrame
     records: DataFrame
@@ -75,10 +84,19 @@ def _headers(url: Column) -> Column:
     )
 
 
+def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, sha256, packed) of (page_id, html) rows."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        bodies = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        names = [hashlib.sha256(b).hexdigest() for b in bodies]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(names, pa.string()), pa.array(map(pack, bodies), pa.binary())], names=["page_id", "sha256", "packed"])
+
+
 def write(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> Archive:
     """Archives every row of ``pages`` as a record."""
     body = F.encode(F.coalesce(F.col(body_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
     named = rows.select("page_id", "url", F.sha2("payload", 256).alias("sha256"), base32_sha1(F.col("payload")).alias("sha1"), F.length("payload").cast("long").alias("n_bytes"))
     named = stored(named, "named")
     firsts = stored(named.groupBy("sha256").agg(F.min("page_id").alias("first_id")), "firsts")
@@ -87,51 +105,114 @@ def write(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: st
     records = records.select("page_id", "sha256", F.encode(_headers(F.col("url")), "UTF-8").alias("header"), F.col("is_revisit").alias("bare"))
     # Each first row brings its payload; repeated rows of one id and payload bring it once.
     keys = firsts.select(F.col("sha256").alias("of"), F.col("first_id")).hint("shuffle_hash")
-    bodies = rows.select("page_id", F.sha2("payload", 256).alias("sha256"), "payload")
-    bodies = bodies.join(keys, F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("sha256") == F.col("of"))).select("sha256", "payload")
+    bodies = pages.select(F.col(id_col).cast("long"), body_col).mapInArrow(_packer, "page_id long, sha256 string, packed binary")
+    bodies = bodies.join(keys, F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("sha256") == F.col("of"))).select("sha256", "packed")
     repeated = named.groupBy("page_id", "sha256").count().where("count > 1").limit(1).count()
     return Archive(stored(bodies.dropDuplicates(["sha256"]) if repeated else bodies, "payloads"), stored(records, "records"))
 
 
-def verified(archive: Archive) -> DataFrame:
-    """``(sha256, payload, n_bytes, sha1)`` of each stored payload, its digest taken anew and compared."""
-    fresh = F.sha2("payload", 256)
-    sound = F.when(fresh == F.col("sha256"), F.length("payload").cast("long")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("sha256"))).cast("long"))
-    return archive.payloads.select("sha256", "payload", sound.alias("n_bytes"), base32_sha1(F.col("payload")).alias("sha1"))
-
-
-def _field(header: Column, name: str) -> Column:
-    """A WARC header field's value; null if absent. The block's first empty line ends the WARC header."""
-    own = F.substring_index(header, CRLF + CRLF, 1)
-    return F.nullif(F.regexp_extract(own, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1), F.lit(""))
-
-
-def read(archive: Archive) -> DataFrame:
-    """Every record as parsed from its header, beside its verified payload's facts:
-
-    ``page_id, record_type, refers_to, target, digest, n_bytes, sha1``. A record without a stored payload, or
-    whose header names another digest than its payload has, is an error.
-    """
-    header = F.decode("header", "UTF-8")
-    page = lambda name: F.regexp_extract(_field(header, name), r"<urn:x-page:(-?\d+)>", 1)
-    number = lambda s: F.nullif(s, F.lit("")).cast("long")
-    parsed = archive.records.select(
-        "sha256",
-        number(page("WARC-Record-ID")).alias("page_id"),
-        _field(header, "WARC-Type").alias("record_type"),
-        number(page("WARC-Refers-To")).alias("refers_to"),
-        _field(header, "WARC-Target-URI").alias("target"),
-        F.substring(_field(header, "WARC-Payload-Digest"), 6, 32).alias("digest"),
-    )
-    facts = verified(archive).select("sha256", "n_bytes", "sha1")
-    joined = parsed.join(facts, "sha256", "left")
-    sound = F.when(F.col("sha1") == F.col("digest"), F.col("n_bytes")).otherwise(F.raise_error(F.concat(F.lit("no sound payload for "), F.col("sha256"))).cast("long"))
-    return joined.select("page_id", "record_type", "refers_to", "target", "digest", sound.alias("n_bytes"))
+def _recorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, record) of (page_id, sha256, header, bare, packed) rows, each payload verified."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        made = []
+        for row in batch.to_pylist():
+            payload = b""
+            if not row["bare"]:
+                if row["packed"] is None:
+                    raise ValueError(f"no payload for {row['sha256']}")
+                payload = unpack(row["packed"])
+                if hashlib.sha256(payload).hexdigest() != row["sha256"]:
+                    raise ValueError(f"payload does not match its digest {row['sha256']}")
+            made.append(row["header"] + payload + b"\r\n\r\n")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["page_id", "record"])
 
 
 def reconstruct(archive: Archive) -> DataFrame:
-    """``(page_id, record, content)``: each record's exact bytes, and the whole HTTP content it stands for."""
-    joined = archive.records.join(verified(archive).select("sha256", "payload"), "sha256")
-    end = F.encode(F.lit(CRLF + CRLF), "UTF-8")
-    http = F.encode(F.concat(F.element_at(F.split(F.decode("header", "UTF-8"), "\r\n\r\n"), 2), F.lit(CRLF + CRLF)), "UTF-8")
-    return joined.select("page_id", F.when(F.col("bare"), F.concat("header", end)).otherwise(F.concat("header", "payload", end)).alias("record"), F.concat(http, "payload").alias("content"))
+    """``(page_id, record)``: each record's exact bytes, by a join of headers and payloads."""
+    columns = ["page_id", "sha256", "header", "bare"]
+    bare = archive.records.where("bare").select(*columns, F.lit(None).cast("binary").alias("packed"))
+    whole = archive.records.where("not bare").select(*columns).join(archive.payloads, "sha256", "left").select(*columns, "packed")
+    return whole.unionByName(bare).mapInArrow(_recorder, "page_id long, record binary")
+
+
+def _filer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(content) of (record) rows: files of records one after another, compressed."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    held, size = [], 0
+
+    def close() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([pack(b"".join(held))], pa.binary())], names=["content"])
+
+    for batch in batches:
+        for record in batch.column(0):
+            held.append(record.as_py())
+            size += len(held[-1])
+            if size >= FILE_BYTES:
+                yield close()
+                held, size = [], 0
+    if held:
+        yield close()
+
+
+def files(archive: Archive) -> DataFrame:
+    """``(content)``: the stored WARC files of all records."""
+    return stored(reconstruct(archive).select("record").mapInArrow(_filer, "content binary"), "files")
+
+
+def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of each record of a WARC file; anything else in it is an error."""
+    at = 0
+    while at < len(data):
+        head = data.index(b"\r\n\r\n", at)
+        version, *lines = data[at:head].decode().split(CRLF)
+        fields = dict(line.split(": ", 1) for line in lines)
+        start = head + 4
+        at = start + int(fields["Content-Length"])
+        if version != "WARC/1.1" or data[at : at + 4] != b"\r\n\r\n":
+            raise ValueError(f"no WARC record ends at byte {at}")
+        yield fields, data[start:at]
+        at += 4
+
+
+#: ``n_bytes`` and ``sha1``: of the payload as it stands in the file; null for revisits.
+PARSED = "page_id long, record_type string, refers_to long, target string, digest string, n_bytes long, sha1 string"
+
+
+def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def page(name: str | None) -> int | None:
+        found = re.fullmatch(r"<urn:x-page:(-?\d+)>", name or "")
+        return int(found[1]) if found else None
+
+    names, kinds = [c.split()[0] for c in PARSED.split(", ")], {"long": pa.int64(), "string": pa.string()}
+    for batch in batches:
+        for content in batch.column(0):
+            rows = []
+            for fields, block in records_of(unpack(content.as_py())):
+                kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                payload = block.partition(b"\r\n\r\n")[2]
+                fresh = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                if kind == "response" and fresh != digest:
+                    raise ValueError(f"payload does not match its digest {digest}")
+                own = (len(payload), fresh) if kind == "response" else (None, None)
+                rows.append((page(fields["WARC-Record-ID"]), kind, page(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"], digest, *own))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k.split()[1]]) for c, k in zip(zip(*rows, strict=True), PARSED.split(", "), strict=True)], names=names)
+
+
+def parse(written: DataFrame) -> DataFrame:
+    """A row of PARSED for every record of :func:`files`."""
+    return written.mapInArrow(_parser, PARSED)
+
+
+def read(written: DataFrame) -> DataFrame:
+    """``page_id, record_type, refers_to, target, digest, n_bytes`` of every record of :func:`files`.
+
+    A revisit's payload is that of the response with its digest; a revisit without one is an error.
+    """
+    parsed = stored(parse(written), "parsed")
+    known = parsed.where("record_type = 'response'").groupBy("digest").agg(F.first("n_bytes").alias("found"))
+    joined = parsed.join(known, "digest", "left")
+    size = F.coalesce("n_bytes", "found", F.raise_error(F.concat(F.lit("no response for "), F.col("digest"))).cast("long"))
+    return joined.select("page_id", "record_type", "refers_to", "target", "digest", size.alias("n_bytes"))

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 import corpus_pipeline
 from millrace.llm import chat, near_copies, ordinal, packing, simhash, suffix_tree, warc
@@ -302,7 +303,8 @@ def test_warc_round_trip(spark):
     df = spark.createDataFrame([(*p, b"x") for p in pages], "page_id long, url string, html string, payload binary")
     archive = warc.write(df)
     assert archive.payloads.count() == 4
-    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["n_bytes"], r["digest"]) for r in warc.read(archive).collect()), key=repr)
+    written = warc.files(archive)
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["n_bytes"], r["digest"]) for r in warc.read(written).collect()), key=repr)
     sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
     one, none, odd = b"<p>one</p>", b"", "ünï\r\n\r\nx".encode()
     want = [(3, "revisit", 1, 10, sha(one)), (1, "response", None, 10, sha(one)), (1, "response", None, 10, sha(one)), (None, "revisit", 1, 10, sha(one)), (2, "response", None, 0, sha(none)),
@@ -312,14 +314,26 @@ def test_warc_round_trip(spark):
         block, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
         fields = dict(line.split(b": ", 1) for line in block.split(b"\r\n")[1:])
         assert len(rest) == int(fields[b"Content-Length"]) + 4 and rest.endswith(b"\r\n\r\n")
-        assert sha(bytes(r["content"]).partition(b"\r\n\r\n")[2]).encode() == fields[b"WARC-Payload-Digest"][5:]
+        if fields[b"WARC-Type"] == b"response":
+            assert sha(rest[:-4].partition(b"\r\n\r\n")[2]).encode() == fields[b"WARC-Payload-Digest"][5:]
+    whole = b"".join(zstandard.decompress(bytes(r["content"])) for r in written.collect())
+    assert sorted(f["WARC-Record-ID"] for f, _ in warc.records_of(whole)) == sorted(f"<urn:x-page:{'' if p[0] is None else p[0]}>" for p in pages)
+
+
+def test_warc_takes_long_payloads_and_small_ones_as_responses(spark):
+    pages = [(1, "u", "x" * 20_000_000), (2, "u", "x" * 20_000_000), (3, "v", "ab"), (4, "v", "ab")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["n_bytes"]) for r in warc.read(warc.files(warc.write(df, least=10))).collect()}
+    assert got == {1: ("response", None, 20_000_000), 2: ("revisit", 1, 20_000_000), 3: ("response", None, 2), 4: ("response", None, 2)}
 
 
 def test_warc_detects_a_changed_payload(spark):
     archive = warc.write(spark.createDataFrame([(1, "u", "good")], "page_id long, url string, html string"))
-    broken = warc.Archive(archive.payloads.selectExpr("sha256", "encode('evil', 'UTF-8') as payload"), archive.records)
+    evil = spark.createDataFrame([(archive.payloads.first()["sha256"], bytearray(zstandard.compress(b"evil")))], "sha256 string, packed binary")
     with pytest.raises(Exception, match="does not match its digest"):
-        warc.read(broken).collect()
+        warc.files(warc.Archive(evil, archive.records))
+    with pytest.raises(Exception, match="no payload for"):
+        warc.files(warc.Archive(evil.where("false"), archive.records))
 
 
 def labelled_corpus(n, seed):
@@ -363,7 +377,7 @@ def test_classifier_without_labels_keeps_all(spark):
     near_copies.groups,
     suffix_tree.score,
     lambda d: packing.best_fit(packing.pieces(d)),
-    lambda d: warc.read(warc.write(d.selectExpr("doc_id as page_id", "text as url", "text as html"))),
+    lambda d: warc.read(warc.files(warc.write(d.selectExpr("doc_id as page_id", "text as url", "text as html")))),
     lambda d: chat.digest(chat.windows(d.selectExpr("doc_id as conv_id", "doc_id as turn", "text as role", "text"))),
 ])
 def test_empty_tables(spark, run):
