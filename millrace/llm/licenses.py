@@ -15,6 +15,7 @@ extra columns are ignored; long texts are scanned whole.
 from __future__ import annotations
 
 import json
+import string
 from dataclasses import dataclass
 from functools import reduce
 
@@ -38,7 +39,7 @@ class Rule:
 
 #: Families of licenses: label, keyword, expression of the license's name, expression of its short tag.
 #: Names and tags are over lower-case words. An entry without a tag has no tag rules.
-FAMILIES: list[tuple[str, str, str, str | None]] = [
+FAMILIES: list[tuple[str, str, str, str | tuple[str, ...] | None]] = [
     ("mit", "mit", "(the )?mit( x11)?( licen[cs]e)", "mit"),
     ("mit-0", "mit", "mit no attribution( licen[cs]e)?", "mit 0"),
     ("expat", "expat", "(the )?expat licen[cs]e", "expat"),
@@ -78,7 +79,7 @@ FAMILIES: list[tuple[str, str, str, str | None]] = [
     ("zlib", "zlib", "zlib( libpng)? licen[cs]e", "zlib"),
     ("unlicense", "unlicense", "the unlicense", "unlicense"),
     ("wtfpl", "wtfpl", "(the )?wtfpl", "wtfpl"),
-    ("psf-2", "python", "python software foundation licen[cs]e( version| v)?( 2( 0)?)?", "psf 2 0|python 2 0"),
+    ("psf-2", "python", "python software foundation licen[cs]e( version| v)?( 2( 0)?)?", ("psf 2 0", "python 2 0")),
     ("ruby", "ruby", "(the )?ruby licen[cs]e", "ruby"),
     ("php-3", "php", "(the )?php licen[cs]e( version| v)?( 3( 0| 01)?)?", "php 3 0|php 3 01"),
     ("postgresql", "postgresql", "(the )?postgresql licen[cs]e", "postgresql"),
@@ -125,8 +126,8 @@ SENTENCES: list[tuple[str, str, str]] = [
     ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("wtfpl", "what the", "do what the fuck you want to( public license)?"),
     ("boost", "boost", "distributed under the boost software license version 1 0"),
-    ("unknown", "see the license", "see the licen[cs]e( file)? for (the )?(more )?(details|information)"),
-    ("unknown", "see license", "see licen[cs]e( md| txt)? (file )?for (details|information)"),
+    ("unknown", "see the licen", "see the licen[cs]e( file)? for (the )?(more )?(details|information)"),
+    ("unknown", "see licen", "see licen[cs]e( md| txt)? (file )?for (details|information)"),
 ]
 
 #: Web addresses, as words.
@@ -152,22 +153,24 @@ ADDRESSES: list[tuple[str, str, str]] = [
 
 
 def rules() -> list[Rule]:
-    """All rules in order. Priorities: 0 tags, 1 sentences and addresses, 2 notices, 3 names, 4 hints."""
+    """All rules in order; every match of a rule holds its keyword. Priorities: 0 tags, 1 sentences and addresses, 2 notices, 3 names, 4 hints."""
     out: list[Rule] = []
     for label, _, _, tag in FAMILIES:
-        if tag:
-            out.append(Rule(label, f"spdx license identifier ({tag})", "spdx", 0, 1.0))
-            out.append(Rule(label, f"(license|licence|licenses) ({tag})", tag.split()[0].split("|")[0], 2, 0.8))
+        for own in (tag,) if isinstance(tag, str) else tag or ():
+            out.append(Rule(label, f"spdx license identifier ({own})", "spdx", 0, 1.0))
+            out.append(Rule(label, f"(license|licence|licenses) ({own})", own.split()[0], 2, 0.8))
     for kind in CC_KINDS:
         parts = kind.split()
         name = " ".join(CC_ELEMENTS[p] for p in parts)
         plain = "cc-" + "-".join(parts)
         for version in CC_VERSIONS:
             label = f"{plain}-{version.replace(' 0', '').replace(' ', '-')}"
-            out.append(Rule(label, f"(cc|creative commons) {kind} {version}", "cc" if kind == "by" else kind, 2, 0.95))
+            out.append(Rule(label, f"cc {kind} {version}", f"cc {kind}", 2, 0.95))
+            out.append(Rule(label, f"creative commons {kind} {version}", "creative commons", 2, 0.95))
             out.append(Rule(label, f"creativecommons org licenses {kind} {version}", "creativecommons", 1, 1.0))
             out.append(Rule(label, f"creative commons {name} {version}", "creative commons", 2, 0.95))
-        out.append(Rule(plain, f"(cc|creative commons) {kind}", "cc" if kind == "by" else kind, 3, 0.7))
+        out.append(Rule(plain, f"cc {kind}", f"cc {kind}", 3, 0.7))
+        out.append(Rule(plain, f"creative commons {kind}", "creative commons", 3, 0.7))
         out.append(Rule(plain, f"creative commons {name}( licen[cs]e)?", "creative commons", 3, 0.8))
     out += [Rule(label, pattern, keyword, 1, 1.0) for label, keyword, pattern in SENTENCES]
     out += [Rule(label, pattern, keyword, 1, 0.95) for label, keyword, pattern in ADDRESSES]
@@ -260,7 +263,7 @@ def scan(docs: DataFrame, table: list[Rule] | None = None, id_col: str = "doc_id
     table = rules() if table is None else table
     rows = docs.select(F.col(id_col).alias("doc_id"), words_column(F.col(text_col)).alias("w"))
     n_words = F.when(F.col("w") == "  ", 0).otherwise(_spaces(F.col("w")) - 1)
-    rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), F.lower("w").alias("low"))
+    rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), F.translate("w", string.ascii_uppercase, string.ascii_lowercase).alias("low"))
     hinted = reduce(lambda a, b: a | b, [F.contains("low", F.lit(h)) for h in HINTS])
     rows = rows.select("doc_id", "n_words", F.when(hinted, F.col("low")).alias("w"))
     w = F.col("w")
