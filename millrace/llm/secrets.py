@@ -136,13 +136,16 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule]
     rules = RULES if rules is None else rules
     rows = named(docs, id_col, text_col)
     paths = stored(rows.select("doc_id", "blob"), "paths")
-    # One row of each blob scans it. Rows that share an id and a text scan alike and merge below.
+    # One row of each blob scans it.
     firsts = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     due = unseen_pairs(firsts, empty_ledger(docs) if ledger is None else ledger, rules).join(firsts, "blob")
     due = due.select(F.col("doc_id").alias("at"), F.col("blob").alias("due_blob"), "unseen")
     here = F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("blob") == F.col("due_blob"))
     due = due.hint("shuffle_hash")
-    texts = rows.join(due, here).select("blob", "text", "unseen", F.lower("text").alias("low"))
+    texts = rows.join(due, here).select("blob", "text", "unseen")
+    # Only where rows share both id and text is a second step needed to leave one of them.
+    repeated = paths.groupBy("doc_id", "blob").count().where("count > 1").limit(1).count()
+    texts = (texts.dropDuplicates(["blob"]) if repeated else texts).withColumn("low", F.lower("text"))
     return paths, texts.select("blob", F.col("unseen").alias("versions"), spans_of(F.col("text"), F.col("low"), rules, F.col("unseen")).alias("spans"))
 
 
