@@ -11,7 +11,8 @@ executors and the fit is a bounded piece of work. Scoring is a map over all text
 
 Defined results: a null text is empty and scored by its shares alone; texts without label are scored like others; a
 label without text is ignored, null ratings count as clean; repeated labels of a text each weigh; without
-labels every text gets the top grade; repeated rows each get a row; extra columns are ignored.
+labels every text gets the top grade; repeated rows each get a row; an id that stands in several rows is learnt from the text of the
+smallest hash; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,8 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     least = known.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     chosen = known.where(F.xxhash64("doc_id") <= F.lit(least if least is not None else 0)).limit(sample) if least is not None else known
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # ``chosen`` has at most ``sample`` rows of two numbers, so sending it costs less than moving texts.
-    held = texts.join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(_featuriser, "grade int, places array<int>").toArrow().combine_chunks()
+    # ``chosen`` has at most ``sample`` rows of two numbers, so sending it costs less than moving texts. One text of each id is left.
+    own = texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("t"))
+    held = own.join(F.broadcast(chosen), "doc_id").select("grade", "t.text").mapInArrow(_featuriser, "grade int, places array<int>").toArrow().combine_chunks()
     if not held.num_rows:
         return fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
     lists = held.column("places").chunk(0)
