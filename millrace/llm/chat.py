@@ -1,12 +1,12 @@
 """Chat formatting in budgeted windows, in DataFrame functions only.
 
 Prefix sums of turn tokens cut a conversation into turn-aligned spans: a turn belongs to the window on whose
-stretch of ``budget // 4`` tokens its last token lies. A window holds, in this order, the system turn (the
+stretch of ``budget // 2`` tokens its last token lies. A window holds, in this order, the system turn (the
 conversation's first turn, where its role is system), history (turns of the window before, within
-``budget // 4`` tokens of the span's start), and its own turns. Only assistant texts among its own turns are
+``budget // 8`` tokens of the span's start), and its own turns. Only assistant texts among its own turns are
 under the loss mask, so every target counts once, whatever is repeated as context. Turns of up to
-``budget // 4`` tokens leave every window within the budget; a longer turn stays whole and its window is
-marked ``over``.
+``budget // 8`` tokens leave every window within the budget; a longer turn stays whole and its window is
+marked ``over``. Tokens are measured by built-in functions, as these have no vocabulary: see :func:`tokens`.
 
 Sums are taken in two levels, over stretches of ``STRETCH`` turn numbers and then within them, and windows are
 groups of their own, so a very long conversation is spread over tasks. Only its digest, which is defined over
@@ -31,6 +31,8 @@ from millrace.llm.common import stored
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 BUDGET = 2048
 STRETCH = 256
+#: A window's own turns take this part of the budget, and its history this.
+OWN, HISTORY = 2, 8
 
 
 def escape(s: Column) -> Column:
@@ -50,8 +52,11 @@ def unescape_role(s: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The budget's measure: a token for every four characters begun, and four for a turn's marks."""
-    return (F.ceil(F.length(text) / 4) + 4).cast("long")
+    """The budget's measure: a token for every four characters begun, one for every byte beyond a character's first, and four for a turn's marks.
+
+    So letters beyond ASCII, which byte-level vocabularies cut finely, count in full.
+    """
+    return (F.ceil(F.length(text) / 4) + F.octet_length(text) - F.length(text) + 4).cast("long")
 
 
 def placed(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -64,7 +69,7 @@ def placed(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     rows = rows.join(sums, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s")))
     within = Window.partitionBy("conv_id", "stretch").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"upto": F.col("n_before") + F.sum("n").over(within), "pos": F.col("rows_before") + F.count(F.lit(1)).over(within)})
-    return rows.select("conv_id", "pos", "role", "text", (F.col("upto") - F.col("n")).alias("start"), "upto", F.floor((F.col("upto") - 1) / (budget // 4)).cast("long").alias("window"))
+    return rows.select("conv_id", "pos", "role", "text", (F.col("upto") - F.col("n")).alias("start"), "upto", F.floor((F.col("upto") - 1) / (budget // OWN)).cast("long").alias("window"))
 
 
 def windows(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -83,7 +88,7 @@ def windows(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     size = (F.col("upto") - F.col("start")).alias("n")
     own = rows.select("conv_id", "window", F.lit(2).alias("kind"), "pos", "role", "text", size)
     history = rows.join(following, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w")))
-    history = history.where(~leads & (F.col("start") >= F.col("next_start") - budget // 4))
+    history = history.where(~leads & (F.col("start") >= F.col("next_start") - budget // HISTORY))
     history = history.select("conv_id", F.col("next").alias("window"), F.lit(1).alias("kind"), "pos", "role", "text", size)
     system = rows.where(leads).select(F.col("conv_id").alias("c"), "role", "text", size)
     system = spans.where("last is not null").join(system, F.col("conv_id").eqNullSafe(F.col("c")))

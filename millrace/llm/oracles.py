@@ -68,13 +68,13 @@ _ESCAPED = "length({c}) + length({c}) - length(replace({c}, chr(92), '')) + (len
 CHAT = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', {_SAID} UNION ALL SELECT -1, 1, 'assistant', {_SAID}),
-n AS (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) + 4 AS n, 24 + {_ESCAPED.format(c="text")} + {_ESCAPED.format(c="role")} + 3 * (length(role) - length(replace(role, chr(10), ''))) AS chars FROM t),
+n AS (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) + octet_length(encode(text)) - length(text) + 4 AS n, 24 + {_ESCAPED.format(c="text")} + {_ESCAPED.format(c="role")} + 3 * (length(role) - length(replace(role, chr(10), ''))) AS chars FROM t),
 r AS (SELECT *, row_number() OVER o AS pos, sum(n) OVER o AS upto FROM n WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
-w AS (SELECT *, upto - n AS start, (upto - 1) // {chat.BUDGET // 4} AS win FROM r),
+w AS (SELECT *, upto - n AS start, (upto - 1) // {chat.BUDGET // chat.OWN} AS win FROM r),
 s AS (SELECT conv_id, win, min(start) AS first FROM w GROUP BY conv_id, win),
 x AS (SELECT *, lag(win) OVER (PARTITION BY conv_id ORDER BY win) AS last FROM s),
 m AS (SELECT conv_id, chars FROM w
-  UNION ALL SELECT w.conv_id, chars FROM w JOIN x ON w.conv_id = x.conv_id AND w.win = x.last WHERE NOT (pos = 1 AND role = 'system') AND w.start >= x.first - {chat.BUDGET // 4}
+  UNION ALL SELECT w.conv_id, chars FROM w JOIN x ON w.conv_id = x.conv_id AND w.win = x.last WHERE NOT (pos = 1 AND role = 'system') AND w.start >= x.first - {chat.BUDGET // chat.HISTORY}
   UNION ALL SELECT w.conv_id, chars FROM w JOIN x ON w.conv_id = x.conv_id AND x.last IS NOT NULL WHERE pos = 1 AND role = 'system'),
 f AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM m GROUP BY conv_id),
 a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS said, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss FROM r GROUP BY conv_id)
