@@ -8,7 +8,8 @@ Packing: pieces that fill a sequence are one. The others are dealt evenly by has
 functions certifies its number of sequences. Partitions whose number is above their bound have a gap: the
 loosest sequences of all of them are opened, their pieces are dealt anew into fewer, mixed partitions, and
 these are packed again; the new packing is kept where it needs fewer sequences. This repeats until no two
-partitions have a gap or a round gains nothing.
+partitions have a gap or a round gains nothing. :func:`certificates` gives every partition's sequences, bound and
+gap, :func:`utilisation` those of the whole.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; extra columns are
 ignored; a document of exactly ``capacity`` tokens isn't cut.
@@ -16,8 +17,8 @@ ignored; a document of exactly ``capacity`` tokens isn't cut.
 
 from __future__ import annotations
 
-import base64
 import importlib
+import os
 import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -69,14 +70,17 @@ class Encoder:
     Units repeat very often; their ids are remembered. Other texts are encoded whole.
     """
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are as many as cores
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._encode = lambda text: whole.encode(text, add_special_tokens=False).ids
+        vocabulary = whole.get_vocab()
+        # A byte-level token is written with a character for each of its bytes.
+        self._sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
             self._sizes[i] = len(token)
         self._known: dict[str, bytes] = {}
 
@@ -108,14 +112,14 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(ranks_path: str, pattern: str) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One encoder per worker process."""
-    if (ranks_path, pattern) not in _ENCODERS:
-        _ENCODERS[ranks_path, pattern] = Encoder(ranks_path, pattern)
-    return _ENCODERS[ranks_path, pattern]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -138,8 +142,7 @@ def _encoded(own: Encoder, texts: pa.Array) -> Iterator[np.ndarray]:
 
 def _tokeniser(tokenizer: str, capacity: int, end: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = importlib.import_module("public_tokenizers").PATTERN
-        own = encoder(tokenizers_path(tokenizer), pattern)
+        own = encoder(tokenizers_path(tokenizer))
         tail = np.array([end], np.uint32)
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for batch in batches:
@@ -157,9 +160,9 @@ def _tokeniser(tokenizer: str, capacity: int, end: int, with_ids: bool) -> Calla
 
 
 def pieces(
-    docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY, end: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Pieces of every document. ``tokenizer``: the ranks file of the vocabulary (byte_bpe_50k.json holds the same)."""
+    """Pieces of every document. ``tokenizer``: the file of a byte-level vocabulary."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col)
     return rows.mapInArrow(_tokeniser(tokenizer, capacity, end, with_ids), PIECES_IDS if with_ids else PIECES)
 
@@ -196,7 +199,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(left, np.int64)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
     """The best of three families of dual feasible functions: identity, threshold and rounding.
 
     Each maps lengths so that whatever fits one bin has a mapped sum of at most the mapped capacity; the
@@ -204,7 +207,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """
     if not len(lengths):
         return 0
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    counts = np.bincount(lengths, times, minlength=capacity + 1).astype(np.int64)
     sizes = np.arange(capacity + 1)
     best = -(-int((counts * sizes).sum()) // capacity)
     many, mass = np.cumsum(counts), np.cumsum(counts * sizes)
@@ -221,12 +224,13 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-PACKED = PIECES + ", part long, bin long, offset long, room long, gap long"
+ROWS = "row long, length long"
+PACKED = ROWS + ", part long, bin long, offset long, room long, gap long"
 
 
 def _packer(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], kind="stable", ignore_index=True)
+        group = group.sort_values(["length", "row"], kind="stable", ignore_index=True)
         lengths = group["length"].to_numpy(np.int64)
         bins, offsets, left = best_fit_decreasing(lengths, capacity)
         return group.assign(bin=bins, offset=offsets, room=left[bins], gap=len(left) - lower_bound(lengths, capacity))
@@ -235,37 +239,26 @@ def _packer(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def _deal(rows: DataFrame, n: int, capacity: int, turn: int) -> DataFrame:
-    """Packs ``rows`` in even partitions of about PARTITION."""
+    """Packs ``rows`` in even partitions of about PARTITION, by their stored numbers, which no two rows share."""
     parts = max(1, -(-n // PARTITION))
-    key = F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.lit(turn)), F.lit(parts)) + F.lit(turn << 40)
-    rows = rows.select("doc_id", "piece", "start", "length", "ids_crc32", key.alias("part"))
-    return rows.groupBy("part").applyInPandas(_packer(capacity), PACKED)
-
-
-def _summary(packed: DataFrame) -> list:
-    """A row per partition: its sequences and its gap. One row stands for PARTITION pieces."""
-    return packed.groupBy("part").agg(F.countDistinct("bin").alias("bins"), F.first("gap").alias("gap")).collect()
+    key = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)) + F.lit(turn << 40)
+    return rows.select("row", "length", key.alias("part")).groupBy("part").applyInPandas(_packer(capacity), PACKED)
 
 
-def best_fit(table: DataFrame, capacity: int = CAPACITY, rounds: int = 3, opened: float = 0.1) -> DataFrame:
-    """``table`` (of :func:`pieces`) with ``sequence_id`` and ``offset``, gapless from 0 in each sequence.
+def best_fit(table: DataFrame, capacity: int = CAPACITY, opened: float = 0.1) -> DataFrame:
+    """``table`` (of :func:`pieces`) with ``sequence_id``, ``offset``, gapless from 0 in each sequence, and ``part``.
 
-    ``opened``: share of a gapped partition's sequences, the loosest, that a round packs anew.
+    ``opened``: share of a gapped partition's sequences, the loosest, that a round packs anew. ``part``: the partition
+    that a sequence was packed in, null for pieces that fill one.
     """
-    table = stored(table, "pieces")
-    whole = table.where(F.col("length") == capacity).select(
-        *table.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
+    table = stored(table.withColumn("row", F.monotonically_increasing_id()), "pieces")
     rest = table.where(F.col("length") < capacity)
     packed = stored(_deal(rest, rest.count(), capacity, 0), "packed")
-    done = []
-    for turn in range(1, rounds + 1):
-        gapped = [r for r in _summary(packed) if r["gap"] > 0]
-        if len(gapped) < 2:
-            break
-        # A partition's number names its turn and place, so this list is as short as there are partitions.
-        with_gap = packed.where("gap > 0")
-        bins = with_gap.groupBy("part", "bin").agg(F.first("room").alias("room"), F.count("*").alias("n"))
+    done, turn = [], 0
+    while packed.where("gap > 0").select("part").distinct().limit(2).count() > 1:
+        turn += 1
+        # A partition's number names its turn and place.
+        bins = packed.where("gap > 0").groupBy("part", "bin").agg(F.first("room").alias("room"), F.count("*").alias("n"))
         share = bins.groupBy("part").agg(F.expr(f"percentile_approx(room, {1 - opened}, 1000)").alias("least"))
         loose = stored(bins.join(share, "part").where("room >= least and room > 0").select("part", "bin", "n"), "loose")
         before = loose.agg(F.count("*").alias("bins"), F.sum("n").alias("n")).first()
@@ -273,27 +266,37 @@ def best_fit(table: DataFrame, capacity: int = CAPACITY, rounds: int = 3, opened
             break
         taken = packed.join(loose.select("part", "bin"), ["part", "bin"], "left_semi")
         again = stored(_deal(taken, before["n"], capacity, turn), "again")
-        after = sum(r["bins"] for r in _summary(again))
-        if after >= before["bins"]:
+        if again.select("part", "bin").distinct().count() >= before["bins"]:
             break
         done.append(packed.join(loose.select("part", "bin"), ["part", "bin"], "left_anti"))
         packed = again
-    done.append(packed)
+    placed = packed
     for part in done:
-        sequence = F.col("part") * F.lit(1 << 20) + F.col("bin")
-        whole = whole.unionByName(part.select(*table.columns, sequence.alias("sequence_id"), "offset"))
-    return whole
+        placed = placed.unionByName(part)
+    sequence = F.col("part") * F.lit(1 << 20) + F.col("bin")
+    placed = placed.select(F.col("row").alias("at"), sequence.alias("sequence_id"), "offset", "part")
+    columns = [c for c in table.columns if c != "row"]
+    whole = table.where(F.col("length") == capacity).select(*columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(None).cast("long").alias("part"))
+    return whole.unionByName(rest.join(placed, F.col("row") == F.col("at")).select(*columns, "sequence_id", "offset", "part"))
+
+
+def certificates(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``part, sequences, bound, gap`` of every partition of :func:`best_fit`, of what it holds in the end."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        n, bound = group["sequence_id"].nunique(), lower_bound(group["length"].to_numpy(np.int64), capacity)
+        return pd.DataFrame([(group["part"].iloc[0], n, bound, n - bound)], columns=["part", "sequences", "bound", "gap"])
+
+    return packed.where("part is not null").select("part", "sequence_id", "length").groupBy("part").applyInPandas(run, "part long, sequences long, bound long, gap long")
 
 
 def utilisation(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: sequences, tokens, the bound of the whole table's histogram, and the share of room in use."""
-    counts = packed.groupBy("length").count()
-    sizes = counts.collect()  # at most ``capacity`` rows
+    """One row: sequences, tokens, the certified bound of all pieces, the gap, and the share of room in use."""
+    sizes = packed.groupBy("length").count().collect()  # at most ``capacity`` rows
     lengths, n = np.array([r["length"] for r in sizes], np.int64), np.array([r["count"] for r in sizes], np.int64)
-    tokens = int((lengths * n).sum())
+    tokens, least = int((lengths * n).sum()), lower_bound(lengths, capacity, n)
     row = packed.agg(F.countDistinct("sequence_id").alias("sequences"))
-    least = -(-tokens // capacity)
-    return row.select("sequences", F.lit(tokens).alias("tokens"), F.lit(least).alias("least"), (F.lit(tokens) / (F.col("sequences") * capacity)).alias("used"))
+    return row.select("sequences", F.lit(tokens).alias("tokens"), F.lit(least).alias("bound"), (F.col("sequences") - least).alias("gap"), (F.lit(tokens) / (F.col("sequences") * capacity)).alias("used"))
 
 
 def plain_fit(lengths: list[int], capacity: int) -> int:
