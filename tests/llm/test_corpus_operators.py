@@ -240,11 +240,24 @@ def test_packing_with_exchange(spark, monkeypatch, seed):
     rnd = random.Random(seed)
     lengths = [rnd.choice([2048, rnd.randrange(1, 2048), rnd.randrange(600, 1100)]) for _ in range(700)]
     df = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECES)
-    rows = packing.best_fit(df).collect()
+    packed = packing.best_fit(df).cache()
+    rows = packed.collect()
     assert sorted((r["doc_id"], r["length"]) for r in rows) == list(enumerate(lengths))
     n = check_packing(rows, 2048)
     bound = packing.lower_bound(np.array(lengths), 2048)
     assert bound <= packing.plain_fit(lengths, 2048) <= n <= 1.03 * bound + 12
+    found, whole = packing.certificates(packed).collect(), packing.utilisation(packed).first()
+    assert (whole["sequences"], whole["bound"], whole["gap"]) == (n, bound, n - bound)
+    assert sum(r["sequences"] for r in found) + lengths.count(2048) == n and all(r["gap"] == r["sequences"] - r["bound"] >= 0 for r in found)
+    packed.unpersist()
+
+
+def test_repeated_pieces_are_dealt_evenly(spark):
+    docs = spark.createDataFrame([(None, "", "x", 1)] * 50_000 + [(1, "a b", "x", 1)] * 3, "doc_id long, text string, part string, row int")
+    packed = packing.best_fit(packing.pieces(docs)).cache()
+    assert packed.count() == 50_003 and packed.groupBy("part").count().agg({"count": "max"}).first()[0] < 1.2 * packing.PARTITION
+    assert check_packing(packed.collect(), 2048) <= packing.utilisation(packed).first()["bound"] + 3
+    packed.unpersist()
 
 
 def test_lower_bound_and_best_fit():
@@ -293,11 +306,21 @@ def test_chat_round_trip(spark, budget):
         system = want[w["conv_id"]][0]
         if system[1] == "system":
             assert w["formatted"].startswith("<|im_start|>system\n")
-        size = sum(-(-len(t) // 4) + 4 for _, _, t in want[w["conv_id"]])
-        assert not w["over"] or max(-(-len(t) // 4) + 4 for _, _, t in want[w["conv_id"]]) > budget // 4 or size > budget
+        size = [-(-len(t) // 4) + len(t.encode()) - len(t) + 4 for _, _, t in want[w["conv_id"]]]
+        assert not w["over"] or max(size) > budget // 8
     made.unpersist()
 
 
+def test_chat_windows_fill_their_budget_and_long_turns_stay_whole(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", "word " * 40) for t in range(400)] + [(2, 0, "user", "q"), (2, 1, "assistant", "漢" * 200_000), (2, 2, "user", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = {(r["conv_id"], r["window"]): r for r in chat.windows(df, 2048).collect()}
+    inner = [len(r["formatted"]) / 4 for (c, w), r in made.items() if c == 1 and w not in (0, max(w for c, w in made if c == 1))]
+    assert min(inner) > 0.55 * 2048 and not any(r["over"] for (c, _), r in made.items() if c == 1)
+    long = [r for (c, _), r in made.items() if c == 2 and "漢" * 200_000 in r["formatted"]]
+    assert len(long) == 1 and long[0]["over"]
+
+
 def test_warc_round_trip(spark):
     pages = [(3, "http://h/a", "<p>one</p>"), (1, "http://h/b c\r\nX: y", "<p>one</p>"), (2, None, None), (5, "u", ""), (4, "http://h/é", "ünï\r\n\r\nx"), (1, "again", "<p>one</p>"), (None, "u", "<p>one</p>"), (None, "u", "alone")]
     df = spark.createDataFrame([(*p, b"x") for p in pages], "page_id long, url string, html string, payload binary")
