@@ -76,7 +76,8 @@ class Encoder:
 
         whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._encode = lambda text: whole.encode(text, add_special_tokens=False).ids
+        # Places in the text, which a plain call also finds, take as long as the ids themselves.
+        self._encode = lambda text: whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
         vocabulary = whole.get_vocab()
         # A byte-level token is written with a character for each of its bytes.
         self._sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
