@@ -1,4 +1,8 @@
-"""Groups of near copies: all pairs of texts of exact shingle similarity, by a prefix filter on rare shingles.
+"""Groups of near copies: SimHash by multi-index hashing first, then all pairs of exact shingle similarity that are left.
+
+Every distinct text has a SimHash fingerprint over its five-word shingles; :mod:`millrace.llm.simhash` finds all fingerprints
+within ``RADIUS`` bits and their components. Each text is compared with its component's first one, and counts as its near copy
+if the shingle sets have the similarity. A ball of a few bits can't hold all pairs of that similarity; the rest is found exactly:
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Put all
 shingles in one order, rarest first. Texts of that similarity share a shingle among the first ``m // 5 + 1`` of
@@ -9,7 +13,7 @@ first shared shingle stands in both texts bounds what they can share, which drop
 How often a shingle occurs is counted in buckets of shingles, as arrays; what comes back are those of two texts or
 more. Large groups would make a square of pairs. So first each text only meets two leaders of each shingle it is
 filed under, a number of pairs that is linear in the texts: one at random, and the text with the fewest shingles of
-its own, which stands nearest to the middle of its group. Verified links collapse large groups. Then all pairs are
+its own, which stands nearest to the middle of its group. Verified links of both kinds collapse large groups. Then all pairs are
 sought, but only between texts that aren't in one group yet. Copies of a text are one node throughout.
 
 Defined results: texts of equal words (A-Z lowered, white space apart) are copies; a text of fewer words than a
@@ -28,18 +32,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import blank_words, components, stored
-from millrace.llm.simhash import SEED, shingle_hashes
+from millrace.llm.simhash import FLUSH, SEED, links, majority, shingle_hashes
 
 WIDTH = 5
+#: Bits by which fingerprints of linked texts differ at most.
+RADIUS = 4
 #: Bits of a shingle's hash that are its key. Keys that clash by chance are one shingle everywhere.
 KEY_BITS = 40
 #: Buckets of shingles, at least, as powers of two; the bits of a key beside its bucket fit 32. Shingles of a bucket, about.
 BUCKET_BITS, BUCKET_SHINGLES = 8, 2_000_000
 
 
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
 def shingle_keys(text: str | None) -> np.ndarray:
     """The distinct keys of a text's shingles, in order."""
-    return np.unique(np.array(shingle_hashes(text, WIDTH), np.uint64) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+    return _keys(np.array(shingle_hashes(text, WIDTH), np.uint64))
 
 
 def _copy(text: str | None) -> int:
@@ -48,16 +58,32 @@ def _copy(text: str | None) -> int:
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        copies = np.array([_copy(t) for t in texts], np.uint64).view(np.int64)
-        sizes = np.array([len(shingle_keys(t)) for t in texts], np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copies), pa.array(sizes)], names=["doc_id", "copy", "m"])
+        copies, sizes, prints, held = [], [], [], []
+        for i, value in enumerate(batch.column(1)):
+            text = value.as_py()
+            copies.append(_copy(text))
+            held.append(np.array(shingle_hashes(text, WIDTH), np.uint64))
+            sizes.append(len(_keys(held[-1])))
+            if i == batch.num_rows - 1 or sum(map(len, held)) >= FLUSH:
+                prints.append(majority(np.concatenate(held), np.array([len(h) for h in held])))
+                held = []
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        fp = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), signed(copies), pa.array(sizes, pa.int32()), signed(fp)], names=["doc_id", "copy", "m", "fp"])
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, copy, m)``: a hash of the words, and the number of shingles."""
+    """``(doc_id, copy, m, fp)``: a hash of the words, the number of shingles, and the SimHash fingerprint."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_col)
-    return rows.mapInArrow(_signer, "doc_id long, copy long, m int")
+    return rows.mapInArrow(_signer, "doc_id long, copy long, m int, fp long")
+
+
+def ball_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of a text and the first of its fingerprint's component, a pair at most for each text."""
+    classes = stored(nodes.groupBy("fp").agg(F.min("node").alias("node")), "classes")
+    tops = components(links(classes, RADIUS)).select(F.col("node").alias("of"), "component")
+    first = classes.withColumnRenamed("node", "of").join(tops, "of", "left").select("fp", F.coalesce("component", "of").alias("first"))
+    return nodes.join(first, "fp").where("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
 
 
 def _own_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -177,9 +203,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``(doc_id, group_id)`` of every row with an id; group_id: the smallest id of its group."""
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     signed = stored(signatures(docs, id_col, text_col), "signatures")
-    nodes = stored(signed.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("m").alias("m")), "nodes")
+    nodes = stored(signed.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("m").alias("m"), F.first("fp").alias("fp")), "nodes")
     posted = stored(postings(nodes, texts), "postings")
-    inner = stored(verified(leader_pairs(posted), nodes, texts), "inner")
+    inner = stored(verified(leader_pairs(posted).union(ball_pairs(nodes)).distinct(), nodes, texts), "inner")
     tops = components(inner)
     grouped = stored(nodes.join(tops, "node", "left").select("node", "copy", F.coalesce("component", "node").alias("grp")), "grouped")
     outer = verified(outer_pairs(posted, grouped), nodes, texts)
@@ -187,7 +213,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     between = outer.join(of("a"), "a").join(of("b"), "b").select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b")).distinct()
     tops = components(between).select(F.col("node").alias("grp"), "component")
     final = grouped.join(tops, "grp", "left").select("copy", F.coalesce("component", "grp").alias("group_id"))
-    return signed.join(final, "copy").select("doc_id", "group_id")
+    return signed.select("doc_id", "copy").join(final, "copy").select("doc_id", "group_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -112,6 +112,26 @@ def test_near_copies(spark):
     assert kept == set(got.values())
 
 
+def test_near_copies_of_one_large_group(spark):
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    middle = [rnd.choice(words) for _ in range(150)]
+    texts = [" ".join(rnd.choice(words) for _ in range(120)) for _ in range(200)]
+    for _ in range(2500):
+        w = list(middle)
+        w[rnd.randrange(len(w))] = f"own{rnd.randrange(10**9)}"
+        texts.append(" ".join(w))
+    docs = table(spark, texts)
+    signed = near_copies.signatures(docs)
+    nodes = signed.groupBy("copy").agg({"doc_id": "min", "m": "first", "fp": "first"}).toDF("copy", "node", "m", "fp")
+    balls = near_copies.ball_pairs(nodes)
+    posted = near_copies.postings(nodes, docs.selectExpr("cast(doc_id as long) as node", "text"))
+    # Pairs stay in proportion to texts, and every text of the group is found.
+    assert 500 < balls.count() < len(texts) and near_copies.leader_pairs(posted).count() < 70 * len(texts)
+    got = collections.Counter(r["group_id"] for r in near_copies.groups(docs).collect())
+    assert got[200] == 2500 and len(got) == 201
+
+
 def test_suffix_tree_base_and_normalisation(spark):
     texts = corpus(3)
     got = {r["doc_id"]: r for r in suffix_tree.score(table(spark, texts)).collect()}
