@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from millrace.operators import extract
 from millrace.operators import relational as R
 from millrace.plans import render
-from millrace.sources import catalog
+from millrace.sources import catalog, pages
 from millrace.sources.store import Store
 
 
@@ -51,52 +52,74 @@ class KeywordAnalyst:
 ANALYSIS = "detail_url string, tags array<string>, image_context string, score int, analysed_at timestamp"
 
 
-def analyse(articles: DataFrame, analyst: Analyst, known_tags: list[str], attempts: int = 3) -> DataFrame:
+#: Tries of one model call, and of an article's whole chain of calls.
+CALLS, ATTEMPTS = 5, 3
+
+
+def tried(times: int, pause: float, f: Callable, *args: object) -> object:
+    """``f(*args)``, tried again after growing pauses; its last failure stands."""
+    for turn in range(times - 1):
+        try:
+            return f(*args)
+        except Exception:
+            time.sleep(pause * (turn + 1))
+    return f(*args)
+
+
+def analyse(articles: DataFrame, analyst: Analyst, known_tags: list[str], calls: int = CALLS, attempts: int = ATTEMPTS, pause: float = 0.5) -> DataFrame:
     """Analysis of every article. Save it before it is used again: a model's call isn't free."""
 
     def call(f: Callable, *args: object) -> object:
-        for turn in range(attempts):
-            try:
-                return f(*args)
-            except Exception:
-                if turn == attempts - 1:
-                    raise
-        return None
+        return tried(calls, pause, f, *args)
+
+    def chain(r: object) -> tuple:
+        title, content = r.title or "", r.detail_content or ""
+        tags = list(call(analyst.tags, title, content, known_tags))
+        image = call(analyst.image_context, title, content) if r.has_attached_image else None
+        return r.detail_url, tags, image, call(analyst.score, title, content, tags), pd.Timestamp.now(tz="UTC")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for r in rows.itertuples():
-                title, content = r.title or "", r.detail_content or ""
-                tags = list(call(analyst.tags, title, content, known_tags))
-                image = call(analyst.image_context, title, content) if r.has_attached_image else None
-                out.append((r.detail_url, tags, image, call(analyst.score, title, content, tags), pd.Timestamp.now(tz="UTC")))
+            out = [tried(attempts, pause, chain, r) for r in rows.itertuples()]
             yield pd.DataFrame(out, columns=["detail_url", "tags", "image_context", "score", "analysed_at"])
 
     return articles.select("detail_url", "title", "detail_content", "has_attached_image").mapInPandas(run, ANALYSIS)
 
 
 def crawl(lists: DataFrame, detail_pages: Callable[[DataFrame], DataFrame], store: Store, as_of: date, task_id: int) -> int:
-    """Saves the new articles of ``lists (target_id, html)``; ``detail_pages`` gives (detail_url, html) of new items.
+    """Saves the new articles of ``lists (target_id, html)``; ``detail_pages`` gives (detail_url, html) of new items
+    (detail_url, uniq_id, detail_spec, params).
 
     New items and their pages are stored before they are used, so that no page is asked for twice. List rows and pages that
     fail are kept in the store's ``failures`` and not saved as articles.
     """
     spark = lists.sparkSession
     boards = catalog.targets(spark)
-    pages = lists.join(F.broadcast(boards), "target_id").withColumn("page_id", F.col("target_id"))
-    items = store.scratch(extract.list_items(pages, F.lit(as_of)).withColumnRenamed("page_id", "target_id"), "items")
+    held = lists.join(F.broadcast(boards), "target_id").withColumn("page_id", F.col("target_id"))
+    items = store.scratch(extract.list_items(held, F.lit(as_of)).withColumnRenamed("page_id", "target_id"), "items")
     # Known addresses go before any detail page is read.
     fresh = R.new_articles(R.one_per_url(items.where("error is null")).drop("error"), store.read("articles"))
     fresh = R.with_context(fresh, boards, task_id)
-    fresh = store.scratch(fresh.join(F.broadcast(boards.select("target_id", "detail_spec")), "target_id"), "fresh")
-    read = store.scratch(detail_pages(fresh.select("detail_url")), "read").select("detail_url", "html")
-    details = store.scratch(extract.details(R.with_details(fresh, read)), "details")
+    fresh = store.scratch(fresh.join(F.broadcast(boards.select("target_id", "detail_spec", "params")), "target_id"), "fresh")
+    read = store.scratch(detail_pages(fresh.select("detail_url", "uniq_id", "detail_spec", "params")), "read").select("detail_url", "html")
+    details = store.scratch(extract.details(R.with_details(fresh.drop("params"), read)), "details")
     failed = lambda rows, key: rows.where("error is not null").select(F.lit(task_id).cast("long").alias("task_id"), F.col(key).alias("source"), "error")
     store.append("failures", failed(items, "target_id").unionByName(failed(details, "detail_url")))
     return store.save_articles(details.where("error is null"))
 
 
+def crawl_boards(store: Store, fetcher: pages.Fetcher, as_of: date, task_id: int) -> int:
+    """:func:`crawl` of all enabled boards with pages that ``fetcher`` gets, by form where a board takes one. Pages that fail are the store's ``failures``."""
+
+    def got(requests: DataFrame) -> DataFrame:
+        good, bad = pages.sound(store.scratch(pages.fetch(requests, fetcher), "pages"))
+        store.append("failures", bad.select(F.lit(task_id).cast("long").alias("task_id"), F.col("key").alias("source"), "error"))
+        return good.select("key", "html")
+
+    lists = got(pages.list_requests(catalog.targets(store.spark))).withColumnRenamed("key", "target_id")
+    return crawl(lists, lambda fresh: got(pages.detail_requests(fresh)).withColumnRenamed("key", "detail_url"), store, as_of, task_id)
+
+
 def publish(store: Store, writer: Writer) -> str | None:
     """Saves the next issue if the gate opens, else None: candidates then stay for a later one."""
     spark = store.spark

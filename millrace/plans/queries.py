@@ -16,6 +16,7 @@ from millrace.operators import extract
 from millrace.operators import relational as R
 from millrace.plans import layout_pages, render
 from millrace.sources import catalog, pages
+from millrace.sources.store import Store, scratch_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -315,3 +316,46 @@ def detail_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.lit("<h2>head "), n, F.lit('</h2><p><b>bold</b>\n and <a href="/a?b='), n, F.lit('">link</a></p><ul><li>one</li><li>two</li></ul>'), image)
     made = layout_pages.detail_pages(_table(spark, sf_dir, "pages"), "page_id", content, F.col("page_id") % 3 == 0)
     return extract.details(made).select("page_id", "layout", "detail_content", "has_attached_file", "has_attached_image")
+
+
+# --- repositories -------------------------------------------------------------------------------------
+
+
+def _article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.lit("u/"), "doc_id").alias("detail_url"), F.col("doc_id").cast("string").alias("uniq_id"), F.col("lang").alias("target_id"), F.col("source").alias("group_id"), F.lit(7).alias("task_id"))
+
+
+@query("""
+SELECT source AS group_id, lang AS target_id, 7 AS task_id, count(*) AS n_articles, (SELECT count(*) FROM documents) AS n_saved, 0 AS n_again FROM documents GROUP BY source, lang""")
+def save_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles saved with their context, once more to no effect, and read back from the store."""
+    store = Store(spark, scratch_root(spark))
+    first, again = store.save_articles(_article_rows(spark, sf_dir)), store.save_articles(_article_rows(spark, sf_dir))
+    held = store.read("articles").groupBy("group_id", "target_id", F.col("task_id").cast("int").alias("task_id")).agg(F.count("*").alias("n_articles"))
+    return held.select("*", F.lit(first).cast("long").alias("n_saved"), F.lit(again).alias("n_again"))
+
+
+@query("""
+SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 0 UNION ALL SELECT -1 UNION ALL SELECT -2""")
+def save_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An issue saved with the articles of quality 1 as used, twice to one effect: candidates that are left, the issue (-1), the next number (-2)."""
+    store = Store(spark, scratch_root(spark))
+    store.save_articles(_article_rows(spark, sf_dir))
+    labels = _table(spark, sf_dir, "labels").select(F.concat(F.lit("u/"), "doc_id").alias("detail_url"), F.col("quality").cast("int").alias("score"))
+    store.append("analysis", labels)
+    used = labels.where("score = 1")
+    issue = spark.createDataFrame([("n1", 1, "t", "h")], "id string, issue_order int, title string, html string")
+    names = [store.save_newsletter(issue, used) for _ in range(2)]
+    left = store.find_candidates(catalog.score_floors(spark)).select(F.substring("detail_url", 3, 20).cast("long").alias("doc_id"))
+    told = [(-1,)] * (names == ["n1", "n1"]) + [(-2,)] * (store.next_issue() == 2)
+    return left.unionByName(spark.createDataFrame(told, "doc_id long"))
+
+
+@query("SELECT * FROM (VALUES (1, TRUE), (2, FALSE)) AS t(task_id, completed)")
+def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task created and completed, and a second one under way."""
+    store = Store(spark, scratch_root(spark))
+    store.complete_task(store.create_task())
+    store.create_task()
+    return store.read("tasks").groupBy(F.col("task_id").cast("int").alias("task_id")).agg(F.max(F.col("completed_at").isNotNull()).alias("completed"))

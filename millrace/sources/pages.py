@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -14,7 +16,22 @@ from pyspark.sql import functions as F
 TTL, CONCURRENCY = 300, 5
 
 REQUESTS = "url string, method string, body string"
-PAGE = "url string, html string, status int, error string"
+PAGE = "key string, url string, html string, status int, error string"
+
+#: Where the boards that are rendered by script take their forms, and the layout of these boards.
+FORM_LIST, FORM_DETAIL = "http://www.yngogo.or.kr/module/ntt/unity/selectNttListAjax.ink", "http://www.yngogo.or.kr/module/ntt/unity/selectNttDetailAjax.ink"
+FORM_LAYOUT = "yngogo"
+
+
+def http_get(url: str, method: str, body: str | None, headers: dict) -> tuple[int, str]:
+    """A request over HTTP, for :class:`Fetcher`: its status and text. A body goes as a form."""
+    form = {"Content-Type": "application/x-www-form-urlencoded"} if body is not None else {}
+    request = urllib.request.Request(url, body.encode() if body is not None else None, {**headers, **form}, method=method)
+    try:
+        with urllib.request.urlopen(request, timeout=30) as answer:
+            return answer.status, answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+    except urllib.error.HTTPError as e:
+        return e.code, ""
 
 
 @dataclass(frozen=True)
@@ -24,7 +41,7 @@ class Fetcher:
     Failures are retried ``attempts`` times with growing pauses; a status beyond 2xx is an error, not a page.
     """
 
-    get: Callable[[str, str, str | None, dict], tuple[int, str]]
+    get: Callable[[str, str, str | None, dict], tuple[int, str]] = http_get
     attempts: int = 3
     pause: float = 0.5
     headers: dict = field(default_factory=lambda: {"User-Agent": "millrace"})
@@ -47,14 +64,18 @@ class Fetcher:
 
 
 def fetch(requests: DataFrame, fetcher: Fetcher, concurrency: int = CONCURRENCY) -> DataFrame:
-    """Pages of ``requests`` (of REQUESTS), by at most ``concurrency`` tasks at a time; store the result before parsing."""
+    """Pages of ``requests`` (of REQUESTS), by at most ``concurrency`` tasks at a time; store the result before parsing.
+
+    A ``key`` of the requests comes back with their pages, as one address may take many forms; without one it is the address.
+    """
+    asked = requests if "key" in requests.columns else requests.withColumn("key", F.col("url"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             got = [fetcher.one(r.url, r.method, r.body) for r in rows.itertuples()]
-            yield pd.DataFrame({"url": rows["url"], "html": [g[0] for g in got], "status": pd.array([g[1] for g in got], "Int32"), "error": [g[2] for g in got]})
+            yield pd.DataFrame({"key": rows["key"], "url": rows["url"], "html": [g[0] for g in got], "status": pd.array([g[1] for g in got], "Int32"), "error": [g[2] for g in got]})
 
-    return requests.select("url", "method", "body").repartition(concurrency).mapInPandas(run, PAGE)
+    return asked.select("key", "url", "method", "body").repartition(concurrency).mapInPandas(run, PAGE)
 
 
 def form_body(values: dict[str, Column]) -> Column:
@@ -79,6 +100,22 @@ def detail_form(params: Column, post: Column) -> Column:
     })
 
 
+def list_requests(boards: DataFrame) -> DataFrame:
+    """``(key, url, method, body)`` of every board's list; key: the board."""
+    formed = F.col("list_spec") == FORM_LAYOUT
+    return boards.select(
+        F.col("target_id").alias("key"), F.when(formed, FORM_LIST).otherwise(F.col("url")).alias("url"), F.when(formed, "POST").otherwise("GET").alias("method"), F.when(formed, list_form(F.col("params"))).alias("body")
+    )
+
+
+def detail_requests(items: DataFrame) -> DataFrame:
+    """``(key, url, method, body)`` of items (detail_url, uniq_id, detail_spec, params); key: the item's address."""
+    formed = F.col("detail_spec") == FORM_LAYOUT
+    return items.select(
+        F.col("detail_url").alias("key"), F.when(formed, FORM_DETAIL).otherwise(F.col("detail_url")).alias("url"), F.when(formed, "POST").otherwise("GET").alias("method"), F.when(formed, detail_form(F.col("params"), F.col("uniq_id"))).alias("body")
+    )
+
+
 def sound(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages to parse, and those that failed."""
     good = F.coalesce(F.col("status").between(200, 299), F.lit(False))

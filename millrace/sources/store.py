@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -21,6 +22,14 @@ SCHEMAS = {
 }
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """A new folder below the shared one that ``spark.checkpoint.dir`` names; in a local session without it, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='millrace-')).rstrip('/')}/millrace/{uuid.uuid4().hex}"
+
+
 class TaskRunning(RuntimeError):
     """A task is under way already, or none is."""
 

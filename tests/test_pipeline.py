@@ -135,3 +135,43 @@ def test_stream_saves_each_page_once(spark, tmp_path):
         incremental.ingest(incremental.pages(spark, source), store, str(tmp_path / "cp")).awaitTermination()
     got = store.read("articles").collect()
     assert sorted(r["detail_url"] for r in got) == ["u1", "u2", "u3"] and all(r["has_attached_image"] for r in got)
+
+
+def test_boards_are_crawled_by_page_and_by_form(spark, tmp_path):
+    listing = board(2)
+
+    def get(url, method, body, headers):
+        if url == pages.FORM_LIST:
+            assert method == "POST"
+            return (200, "<table class='basic-table01'><tr><td>1<td><a onclick=\"fnView('77', 'a')\">dig</a><td><td>2024.01.02</tr></table>") if "bbsSeq=32000001157" in body else (200, "")
+        if url == pages.FORM_DETAIL:
+            return (200, "<div class='conM_txt'>by form</div>") if "nttSeq=77" in body else (500, "")
+        if url.startswith("https://www.kras.or.kr/?") and "uid=" not in url:
+            return (200, listing) if "notice" in url or "bbs" in url else (200, "")
+        return (200, "<div id='vContent'>by page</div>") if url.endswith("uid=0") else (404, "") if "uid=" in url else (200, "")
+
+    store = Store(spark, str(tmp_path / "c"))
+    assert pipeline.crawl_boards(store, pages.Fetcher(get, attempts=1, pause=0), datetime.date(2024, 1, 1), 1) > 0
+    got = {r["detail_url"]: r["detail_content"] for r in store.read("articles").collect()}
+    assert "by form" in got.values() and "by page" in got.values() and not any(u.endswith("uid=1") for u in got)
+    assert {r["error"] for r in store.read("failures").collect()} == {"HTTP 404"}
+
+
+def test_calls_are_tried_again():
+    left = [3]
+
+    def f(x):
+        left[0] -= 1
+        if left[0]:
+            raise OSError("busy")
+        return x
+
+    assert pipeline.tried(5, 0, f, "a") == "a" and left == [0]
+    with pytest.raises(OSError):
+        pipeline.tried(2, 0, lambda: (_ for _ in ()).throw(OSError("down")))
+
+
+def test_the_package_offers_its_names():
+    import millrace
+
+    assert millrace.Store is Store and all(getattr(millrace, n) for n in millrace.__all__)
