@@ -22,8 +22,10 @@ those that share an id or have none; extra columns are ignored; results don't de
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -98,32 +100,32 @@ def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     part, number = context.partitionId() if context else 0, 0
 
-    def close(ids: list, sizes: list, hashes: list, words: list) -> pa.RecordBatch:
-        coded = pa.array([w for own in words for w in own], pa.binary()).dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        places = np.argsort(code, kind="stable")
-        lengths = np.bincount(code, minlength=len(coded.dictionary)).astype(np.int32)
-        steps = np.diff(places, prepend=0)
+    def close(ids: list, sizes: list, hashes: list, codes: list, vocabulary: defaultdict) -> pa.RecordBatch:
+        code = np.concatenate(codes)
+        places = np.argsort(code, kind="stable").astype(np.int32)
+        lengths = np.bincount(code, minlength=len(vocabulary)).astype(np.int32)
+        steps = np.diff(places, prepend=np.int32(0))
         first = np.cumsum(lengths) - lengths
         steps[first] = places[first]
-        terms = zstandard.ZstdCompressor(level=1).compress(b" ".join(coded.dictionary.to_pylist()))
-        cells = [f"{part}-{number}", ids, sizes, hashes, terms, packed(lengths), packed(steps.astype(np.int32))]
+        terms = zstandard.ZstdCompressor(level=1).compress(b" ".join(vocabulary))
+        cells = [f"{part}-{number}", ids, sizes, hashes, terms, packed(lengths), packed(steps)]
         return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, INDEX, strict=True)], schema=INDEX)
 
-    ids, sizes, hashes, held, total = [], [], [], [], 0
+    # A text's words are held only until they are numbered: four bytes a word, beside the segment's distinct words.
+    ids, sizes, hashes, codes, vocabulary, total = [], [], [], [], defaultdict(count().__next__), 0
     for batch in batches:
         for doc_id, text, text_hash in zip(*batch.columns, strict=True):
             words = alnum_words(text.as_py())
             ids.append(doc_id.as_py())
             sizes.append(len(words))
             hashes.append(text_hash.as_py())
-            held.append(words)
+            codes.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
             total += len(words)
             if total >= SEGMENT_WORDS:
-                yield close(ids, sizes, hashes, held)
-                ids, sizes, hashes, held, total, number = [], [], [], [], 0, number + 1
+                yield close(ids, sizes, hashes, codes, vocabulary)
+                ids, sizes, hashes, codes, vocabulary, total, number = [], [], [], [], defaultdict(count().__next__), 0, number + 1
     if ids:
-        yield close(ids, sizes, hashes, held)
+        yield close(ids, sizes, hashes, codes, vocabulary)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
