@@ -41,6 +41,8 @@ RADIUS = 4
 KEY_BITS = 40
 #: Buckets of shingles, at least, as powers of two; the bits of a key beside its bucket fit 32. Shingles of a bucket, about.
 BUCKET_BITS, BUCKET_SHINGLES = 8, 2_000_000
+#: Shingles that are dealt together; bounds the memory of a task.
+DEALT = 500_000
 
 
 def _keys(hashes: np.ndarray) -> np.ndarray:
@@ -102,7 +104,7 @@ def _dealer(bits: int):
                 own = np.uint64(_copy(text)).astype(np.int64) == copies[i]
                 held.append(shingle_keys(text) if own else np.zeros(0, np.int64))
                 size += len(held[-1])
-                if size >= BUCKET_SHINGLES or i == len(texts) - 1:
+                if size >= DEALT or i == len(texts) - 1:
                     keys, node = np.concatenate(held), np.repeat(ids[first : i + 1], [len(h) for h in held])
                     bucket = keys & ((1 << bits) - 1)
                     order = np.argsort(bucket, kind="stable")
