@@ -37,7 +37,7 @@ PARTITION = 20_000
 #: Text units whose ids a worker remembers; a bound of its memory.
 REMEMBERED = 500_000
 #: Characters of text that are encoded together.
-TOGETHER = 3_000_000
+TOGETHER = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_IDS = PIECES + ", ids array<int>"
