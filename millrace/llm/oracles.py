@@ -80,4 +80,46 @@ f AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM m GROUP
 a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS said, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss FROM r GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a JOIN f USING (conv_id)"""
 
-ORACLES = {"op2_benchmark_decontamination": CONTAMINATION, "op3_warc_archive": ARCHIVE, "op7_secret_scan": SECRETS, "op9_chat_formatting": CHAT}
+RANKED = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(t="text")} AS w FROM documents),
+n AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+m AS (SELECT doc_id, 10 + (90 * n * docs) // words AS m FROM n, a),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, a GROUP BY term, docs),
+q AS (SELECT DISTINCT item_id, unnest({_WORDS.format(t="text")}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN t USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 10"""
+
+#: crc32 of a text by bytes; ``c`` stands for the column.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode({c}))), lambda i: CAST('0x' || substr(hex({c}), 1 + 2 * i, 2) AS BIGINT))), lambda c, b: xor(c >> 8, {table}[1 + (xor(c, b) & 255)])))"
+
+
+def _crc_table() -> str:
+    """The 256 steps of a byte, from the polynomial."""
+    entries = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        entries.append(str(c))
+    return f"[{', '.join(entries)}]"
+
+
+RESAMPLED = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(t="text")} AS w FROM documents),
+b AS (SELECT {_WORDS.format(t="text")} AS w FROM benchmark),
+r AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS f FROM d, (VALUES (1), (2), (3)) AS v(n)),
+q AS (SELECT unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS f FROM b, (VALUES (1), (2), (3)) AS v(n)),
+h AS (SELECT f, CAST({_CRC.format(c="f", table=_crc_table())} % 10000 AS BIGINT) AS bucket FROM (SELECT DISTINCT f FROM (SELECT f FROM r UNION ALL SELECT f FROM q))),
+x AS (SELECT bucket, count(*) AS s FROM r JOIN h USING (f) GROUP BY bucket),
+y AS (SELECT bucket, count(*) AS t FROM q JOIN h USING (f) GROUP BY bucket),
+a AS (SELECT (SELECT coalesce(sum(s), 0) FROM x) AS alls, (SELECT coalesce(sum(t), 0) FROM y) AS allt),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (alls + 10000)::DOUBLE / ((coalesce(s, 0) + 1.0::DOUBLE) * (allt + 10000)::DOUBLE))) AS BIGINT) AS gain FROM x FULL JOIN y USING (bucket), a),
+w AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM r JOIN h USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+z AS (SELECT doc_id, len(d.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('42:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (doc_id)),
+o AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM z),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM o WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM o LEFT JOIN k USING (doc_id)"""
+
+ORACLES = {"op2_benchmark_decontamination": CONTAMINATION, "op3_warc_archive": ARCHIVE, "op7_secret_scan": SECRETS, "op9_chat_formatting": CHAT, "op11_ranked_search": RANKED, "op12_importance_resampling": RESAMPLED}

@@ -23,6 +23,9 @@ COLUMNS = {
     "op8": "doc_id piece start length ids_crc32 sequence_id offset",
     "op9": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op10": "doc_id expected_grade p_from_1 p_from_2 kept",
+    "op11": "item_id rank doc_id score",
+    "op12": "doc_id n_features weight score rank",
+    "op13": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
 }
 
 
