@@ -16,9 +16,12 @@ filed under, a number of pairs that is linear in the texts: one at random, and t
 its own, which stands nearest to the middle of its group. Verified links of both kinds collapse large groups. Then all pairs are
 sought, but only between texts that aren't in one group yet. Copies of a text are one node throughout.
 
+A node of all this is a distinct sequence of words, named by its hash; what ids its rows have doesn't matter. A row is known by its
+``rid``, a hash of its id and text, so that rows that share an id, or have none, keep apart.
+
 Defined results: texts of equal words (A-Z lowered, white space apart) are copies; a text of fewer words than a
-shingle is one shingle; texts without words are copies of each other; rows without id are never grouped; rows
-that repeat an id are one document if their words are equal.
+shingle is one shingle; texts without words are copies of each other; rows without id are grouped like others and stay only if no row
+of their group has one; of rows that share an id each is grouped by its own text; of rows equal in id and text one stays.
 """
 
 from __future__ import annotations
@@ -61,7 +64,7 @@ def _copy(text: str | None) -> int:
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         copies, sizes, prints, held = [], [], [], []
-        for i, value in enumerate(batch.column(1)):
+        for i, value in enumerate(batch.column(2)):
             text = value.as_py()
             copies.append(_copy(text))
             held.append(np.array(shingle_hashes(text, WIDTH), np.uint64))
@@ -71,13 +74,18 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = []
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         fp = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), signed(copies), pa.array(sizes, pa.int32()), signed(fp)], names=["doc_id", "copy", "m", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(copies), pa.array(sizes, pa.int32()), signed(fp)], names=["doc_id", "rid", "node", "m", "fp"])
+
+
+def rid(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row's name: a hash of its id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, copy, m, fp)``: a hash of the words, the number of shingles, and the SimHash fingerprint."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_col)
-    return rows.mapInArrow(_signer, "doc_id long, copy long, m int, fp long")
+    """``(doc_id, rid, node, m, fp)``: of every row its name, a hash of the words, the number of shingles, and the SimHash fingerprint."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), rid(id_col, text_col).alias("rid"), text_col)
+    return rows.mapInArrow(_signer, "doc_id long, rid long, node long, m int, fp long")
 
 
 def ball_pairs(nodes: DataFrame) -> DataFrame:
@@ -89,19 +97,19 @@ def ball_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _own_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, copy, text)`` of the nodes; a row whose id is a node's may have other words."""
-    return texts.join(nodes.select("node", "copy").hint("shuffle_hash"), "node").select("node", "copy", "text")
+    """``(node, text)`` of the nodes, each from the row that stands for it; another row's name may clash with that one's."""
+    return texts.join(nodes.select("node", "rid").hint("shuffle_hash"), "rid").select("node", "text")
 
 
 def _dealer(bits: int):
-    """Deals the shingles of (node, copy, text) rows to 2**bits buckets, as arrays of nodes and of keys."""
+    """Deals the shingles of (node, text) rows to 2**bits buckets, as arrays of nodes and of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, copies = batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             held, size, first = [], 0, 0
             for i, text in enumerate(texts):
-                own = np.uint64(_copy(text)).astype(np.int64) == copies[i]
+                own = np.uint64(_copy(text)).astype(np.int64) == ids[i]
                 held.append(shingle_keys(text) if own else np.zeros(0, np.int64))
                 size += len(held[-1])
                 if size >= DEALT or i == len(texts) - 1:
@@ -183,18 +191,18 @@ def outer_pairs(posted: DataFrame, grouped: DataFrame) -> DataFrame:
 
 
 def _shingler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of (node, copy, text) rows; a row whose id is a node's but whose words aren't is left out."""
+    """Shingle sets of (node, text) rows; a row whose words aren't the node's is left out."""
     for batch in batches:
-        own = [_copy(v.as_py()) for v in batch.column(2)]
-        batch = batch.filter(pa.array(np.array(own, np.uint64).view(np.int64) == batch.column(1).to_numpy()))
-        sets = [shingle_keys(v.as_py()) for v in batch.column(2)]
+        own = [_copy(v.as_py()) for v in batch.column(1)]
+        batch = batch.filter(pa.array(np.array(own, np.uint64).view(np.int64) == batch.column(0).to_numpy()))
+        sets = [shingle_keys(v.as_py()) for v in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose shingle sets have the similarity. Only texts that stand in a pair are read into sets."""
     pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "copy"), "node")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rid"), "node")
     sets = stored(_own_texts(texts, ids).mapInArrow(_shingler, "node long, s array<long>"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -202,24 +210,38 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, group_id)`` of every row with an id; group_id: the smallest id of its group."""
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    """``(doc_id, rid, group_id, first)`` of every row; group_id: the smallest id of its group, null if none has one; first: the name of
+    the row that stands for the group, one with the smallest id."""
+    texts = docs.select(rid(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
     signed = stored(signatures(docs, id_col, text_col), "signatures")
-    nodes = stored(signed.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("m").alias("m"), F.first("fp").alias("fp")), "nodes")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
+    nodes = stored(signed.groupBy("node").agg(F.min_by("rid", order).alias("rid"), F.min("doc_id").alias("doc_id"), F.first("m").alias("m"), F.first("fp").alias("fp")), "nodes")
     posted = stored(postings(nodes, texts), "postings")
     inner = stored(verified(leader_pairs(posted).union(ball_pairs(nodes)).distinct(), nodes, texts), "inner")
     tops = components(inner)
-    grouped = stored(nodes.join(tops, "node", "left").select("node", "copy", F.coalesce("component", "node").alias("grp")), "grouped")
+    grouped = stored(nodes.join(tops, "node", "left").select("node", "doc_id", "rid", F.coalesce("component", "node").alias("grp")), "grouped")
     outer = verified(outer_pairs(posted, grouped), nodes, texts)
     of = lambda name: grouped.select(F.col("node").alias(name), F.col("grp").alias(f"grp_{name}"))
     between = outer.join(of("a"), "a").join(of("b"), "b").select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b")).distinct()
     tops = components(between).select(F.col("node").alias("grp"), "component")
-    final = grouped.join(tops, "grp", "left").select("copy", F.coalesce("component", "grp").alias("group_id"))
-    return signed.select("doc_id", "copy").join(final, "copy").select("doc_id", "group_id")
+    final = stored(grouped.join(tops, "grp", "left").select("node", "doc_id", "rid", F.coalesce("component", "grp").alias("grp")), "final")
+    firsts = final.groupBy("grp").agg(F.min("doc_id").alias("group_id"), F.min_by("rid", order).alias("first"))
+    return signed.select("doc_id", "rid", "node").join(final.select("node", "grp").join(firsts, "grp").drop("grp"), "node").drop("node")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those that a smaller id of their group stands for."""
-    gone = groups(docs, id_col, text_col).groupBy("doc_id").agg(F.min("group_id").alias("group_id")).where("doc_id <> group_id")
-    gone = stored(gone.select(F.col("doc_id").alias("millrace_id")), "gone")
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("millrace_id"), "left_anti")
+    """The rows of ``docs``, all columns, without those that another row of their group stands for."""
+    found = stored(groups(docs, id_col, text_col), "groups")
+    gone = found.where("rid <> first").select(F.col("rid").alias("millrace_rid"), F.col("doc_id").alias("millrace_id")).distinct()
+    name = rid(id_col, text_col)
+    same = (name == F.col("millrace_rid")) & F.col(id_col).cast("long").eqNullSafe(F.col("millrace_id"))
+    left = docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    again = found.where("rid = first").groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rid").alias("millrace_rid"))
+    again = stored(again, "again")
+    if again.isEmpty():
+        return left
+    # Rows equal in id and text: one of each stays, whatever their other columns hold.
+    named = left.withColumn("millrace_name", name)
+    own = named["millrace_name"] == again["millrace_rid"]
+    one = named.join(again.hint("shuffle_hash"), own, "left_semi").groupBy("millrace_name").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("millrace_row")).select("millrace_row.*")
+    return named.join(again.hint("shuffle_hash"), own, "left_anti").drop("millrace_name").unionByName(one)

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 import zstandard
 
@@ -112,6 +113,20 @@ def test_near_copies(spark):
     assert kept == set(got.values())
 
 
+def test_near_copies_with_repeated_and_missing_ids(spark):
+    rnd = random.Random(3)
+    said = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    a, b, c, d = said(60), said(60), said(60), said(60)
+    rows = [
+        (3, a, "a3"), (7, a + " more", "near a"), (7, b, "b7"), (7, c, "c7"), (7, c, "c7"), (8, c.upper(), "copy of c"),
+        (None, b, "copy of b"), (None, d, "d"), (None, d, "d"), (None, d + " x", "d"), (None, None, "empty"), (None, "", "empty"), (12, said(60), "alone"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first string").repartition(3)
+    kept = near_copies.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["first"] for r in kept.collect()) == ["a3", "alone", "b7", "c7", "d", "empty"]
+
+
 def test_near_copies_of_one_large_group(spark):
     rnd = random.Random(21)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
@@ -123,9 +138,9 @@ def test_near_copies_of_one_large_group(spark):
         texts.append(" ".join(w))
     docs = table(spark, texts)
     signed = near_copies.signatures(docs)
-    nodes = signed.groupBy("copy").agg({"doc_id": "min", "m": "first", "fp": "first"}).toDF("copy", "node", "m", "fp")
+    nodes = signed.groupBy("node").agg(*[F.min(c).alias(c) for c in ("rid", "m", "fp")])
     balls = near_copies.ball_pairs(nodes)
-    posted = near_copies.postings(nodes, docs.selectExpr("cast(doc_id as long) as node", "text"))
+    posted = near_copies.postings(nodes, docs.select(near_copies.rid().alias("rid"), "text"))
     # Pairs stay in proportion to texts, and every text of the group is found.
     assert 500 < balls.count() < len(texts) and near_copies.leader_pairs(posted).count() < 70 * len(texts)
     got = collections.Counter(r["group_id"] for r in near_copies.groups(docs).collect())
