@@ -92,14 +92,22 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
-        #: How many elements of each kind are open, so that none is sought in vain.
+        #: How many elements of each kind are open, in all and in the innermost cell, so that none is sought in vain.
         self.open = Counter()
+        self.cells = [Counter()]
 
     def _close_to(self, node: Node) -> None:
         while self.at is not node:
             self.open[self.at.tag] -= 1
+            self.cells[-1][self.at.tag] -= 1
+            if self.at.tag in ("td", "th"):
+                self.cells.pop()
             self.at = self.at.parent
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A declaration that isn't known is a comment, as in browsers."""
+        return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         kinds, walls = CLOSES.get(tag, ((), ()))
         n = to = self.at
@@ -128,7 +136,10 @@ class _Builder(HTMLParser):
             node.attrs.setdefault(k, v or "")
         self.at.children.append(node)
         self.at = node
+        if tag in ("td", "th"):
+            self.cells.append(Counter())
         self.open[tag] += 1
+        self.cells[-1][tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -136,12 +147,12 @@ class _Builder(HTMLParser):
             self._close_to(self.at.parent)
 
     def handle_endtag(self, tag: str) -> None:
-        n = self.at
-        while n.parent and n.tag != tag and self.open[tag]:
-            if n.tag in ("td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                return
-            n = n.parent
-        if n.parent and n.tag == tag:
+        # Only a table's own end tags reach beyond the cell. What is sought is open, so all that is walked over closes.
+        within = self.open if tag in ("table", "tr", "tbody", "thead", "tfoot") else self.cells[-1]
+        if within[tag]:
+            n = self.at
+            while n.tag != tag:
+                n = n.parent
             self._close_to(n.parent)
 
     def handle_data(self, data: str) -> None:
@@ -218,4 +229,4 @@ def markdown(n: Node | None) -> str:
     if n is None:
         return ""
     text = _content(n)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n(?!\S)", "\n", text)).strip()
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<![ \t])[ \t]+\n(?!\S)", "\n", text)).strip()

@@ -19,7 +19,7 @@ from millrace.functions.dom import Node, markdown, parse, trim
 from millrace.sources import catalog
 from millrace.sources.specs import DETAIL_SPECS, LIST_SPECS, DetailSpec, ListSpec
 
-RAW_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("href", "on_click", "title", "date", "end_date")])
+RAW_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("href", "on_click", "title", "date", "end_date", "error")])
 DETAIL = T.StructType([T.StructField("detail_content", T.StringType()), T.StructField("has_attached_file", T.BooleanType()), T.StructField("has_attached_image", T.BooleanType()), T.StructField("error", T.StringType())])
 
 # --- lists --------------------------------------------------------------------------------------------
@@ -69,16 +69,21 @@ def _row(spec: ListSpec, row: Node) -> dict | None:
     }
 
 
+def page_rows(page: str | None, layout: str | None) -> list[dict]:
+    """A page's rows of RAW_ITEM; one row with an error for a page that fails or whose layout isn't known."""
+    spec = LIST_SPECS.get(layout)
+    if spec is None:
+        return [{"error": f"no such layout: {layout}"}]
+    try:
+        found = [_row(spec, r) for r in parse(page or "").find(spec.rows) if not spec.skip_class or spec.skip_class not in r.classes()]
+    except Exception as e:  # a page's failure is a row, not the job's end
+        return [{"error": f"{type(e).__name__}: {e}"}]
+    return [r for r in found if r is not None]
+
+
 @F.pandas_udf(T.ArrayType(RAW_ITEM))
 def raw_items(html: pd.Series, layout: pd.Series) -> pd.Series:
-    def of(page: str | None, name: str | None) -> list[dict]:
-        spec = LIST_SPECS.get(name)
-        if not page or spec is None:
-            return []
-        found = [_row(spec, r) for r in parse(page).find(spec.rows) if not spec.skip_class or spec.skip_class not in r.classes()]
-        return [r for r in found if r is not None]
-
-    return pd.Series([of(p, n) for p, n in zip(html, layout, strict=True)], dtype=object)
+    return pd.Series([page_rows(p, n) for p, n in zip(html, layout, strict=True)], dtype=object)
 
 
 def _filled(template: Column, ident: Column) -> Column:
@@ -96,12 +101,14 @@ def list_items(pages: DataFrame, as_of: Column) -> DataFrame:
     """All list rows of ``pages (page_id, html, list_spec, params)``, in page order by ``pos`` from 1.
 
     Columns: page_id, pos, uniq_id, title, date, start_date, end_date, detail_url, date_type, error. Rows that a
-    layout skips are gone; a row whose address can't be made keeps its place with an error. ``as_of``: the
+    layout skips are gone; a row whose address can't be made keeps its place with an error; a page that can't be
+    read, or whose layout isn't known, is one row without place that holds nothing but its error. ``as_of``: the
     day against which ends of periods are seen.
     """
     spec = F.broadcast(catalog.list_specs(pages.sparkSession))  # one row per layout
     held = pages.select("page_id", "params", "list_spec", F.posexplode(raw_items("html", "list_spec")).alias("n", "r"))
-    rows = held.join(spec, "list_spec").select("*", "r.*").where(~F.col("need_href") | (F.coalesce("href", F.lit("")) != ""))
+    failed = F.col("r.error").isNotNull()
+    rows = held.join(spec, "list_spec", "left").select("*", "r.*").where(failed | ~F.col("need_href") | (F.coalesce("href", F.lit("")) != ""))
     target = (
         F.when(F.col("url_rule") == "prefix", F.concat(_filled(F.col("url_arg"), F.lit("")), F.col("href")))
         .when(F.col("url_rule") == "replace", _replace_first(F.col("href"), F.col("url_arg"), F.col("url_to")))
@@ -116,7 +123,7 @@ def list_items(pages: DataFrame, as_of: Column) -> DataFrame:
         .when(F.col("id_rule") == "first", S.call_first(F.col("on_click"), "fnView"))
         .otherwise(F.when(F.col("id_arg") == "dataSelected", call("dataSelected")).when(F.col("id_arg") == "goView", call("goView")).otherwise(call("fnViewPage")))
     )
-    rows = rows.withColumn("uniq_id", ident).where(~F.col("need_id") | (F.coalesce("uniq_id", F.lit("")) != ""))
+    rows = rows.withColumn("uniq_id", ident).where(failed | ~F.col("need_id") | (F.coalesce("uniq_id", F.lit("")) != ""))
     address = F.when(F.col("url_rule") == "template", F.concat("origin", _filled(F.col("url_arg"), F.col("uniq_id")))).otherwise(F.col("located"))
     text = S.js_trim(F.when(F.col("drop_text") != "", F.replace(F.col("date"), F.col("drop_text"), F.lit(""))).otherwise(F.col("date")))
     text = F.when(F.col("widen_tilde"), _replace_first(text, F.lit("~ "), F.lit(" ~ "))).otherwise(text)
@@ -132,18 +139,18 @@ def list_items(pages: DataFrame, as_of: Column) -> DataFrame:
     )
     rows = rows.withColumn("period", period)
     rows = rows.withColumn("shown", F.when((F.col("date_rule") == "range") & ~F.col("period"), F.get(days, F.lit(0))).otherwise(date))
-    period, shown = F.col("period"), F.col("shown")
+    period, shown = F.col("period"), F.when(~failed, F.col("shown"))
     return rows.select(
         "page_id",
-        (F.col("n") + 1).alias("pos"),
-        "uniq_id",
+        F.when(~failed, F.col("n") + 1).alias("pos"),
+        F.when(~failed, F.col("uniq_id")).alias("uniq_id"),
         "title",
         shown.alias("date"),
         S.start_date(shown).alias("start_date"),
         S.end_date(shown).alias("end_date"),
         F.when(F.col("clean"), S.clean_url(address)).otherwise(address).alias("detail_url"),
-        F.when(period, "DURATION").otherwise("REGISTERED").alias("date_type"),
-        F.when(address.isNull(), "the address is neither absolute nor has it a base").alias("error"),
+        F.when(~failed, F.when(period, "DURATION").otherwise("REGISTERED")).alias("date_type"),
+        F.when(failed, F.col("error")).when(address.isNull(), "the address is neither absolute nor has it a base").alias("error"),
     )
 
 
