@@ -29,6 +29,11 @@ def or_else(c: Column, other: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), other)
 
 
+def json_fields(c: Column, ddl: str) -> Column:
+    """A JSON text's fields as a struct; null fields where it lacks them or is no JSON."""
+    return F.from_json(c, ddl, {"mode": "PERMISSIVE"})
+
+
 def get_date(c: Column) -> Column:
     """Dots become dashes; of several lines the first two become a range, the second one trimmed."""
     def dated(x: Column) -> Column:

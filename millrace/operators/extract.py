@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,6 +86,27 @@ def raw_items(html: pd.Series, layout: pd.Series) -> pd.Series:
     return pd.Series([page_rows(p, n) for p, n in zip(html, layout, strict=True)], dtype=object)
 
 
+class ListRows:
+    """Rows of a page in its order, for SQL: ``LATERAL list_rows(html, layout)``."""
+
+    def eval(self, html: str | None, layout: str | None):  # noqa: D102, ANN201
+        for n, r in enumerate(page_rows(html, layout)):
+            yield n, *[r.get(c) for c in RAW_ITEM.names]
+
+
+def register(spark: SparkSession) -> None:
+    """Names ``list_rows(html, layout)`` and the table ``list_layout_rules`` for SQL of this session."""
+    kind = T.StructType([T.StructField("n", T.IntegerType()), *RAW_ITEM.fields])
+    spark.udtf.register("list_rows", F.udtf(ListRows, returnType=kind, useArrow=True))
+    catalog.list_specs(spark).createOrReplaceTempView("list_layout_rules")
+
+
+#: Rows of a view ``board_pages (page_id, html, list_spec, params)`` as :func:`finished` takes them.
+RAW_SQL = """
+SELECT p.page_id, p.params, p.list_spec, l.n, struct(l.href, l.on_click, l.title, l.date, l.end_date, l.error) AS r
+FROM board_pages AS p, LATERAL list_rows(p.html, p.list_spec) AS l"""
+
+
 def _filled(template: Column, ident: Column) -> Column:
     names = ["menu", "bbs", "contents", "prefix", "list"]
     filled = reduce(lambda t, n: F.replace(t, F.lit(f"{{{n}}}"), F.coalesce(F.col("params")[n], F.lit(""))), names, template)
@@ -105,8 +126,12 @@ def list_items(pages: DataFrame, as_of: Column) -> DataFrame:
     read, or whose layout isn't known, is one row without place that holds nothing but its error. ``as_of``: the
     day against which ends of periods are seen.
     """
-    spec = F.broadcast(catalog.list_specs(pages.sparkSession))  # one row per layout
-    held = pages.select("page_id", "params", "list_spec", F.posexplode(raw_items("html", "list_spec")).alias("n", "r"))
+    return finished(pages.select("page_id", "params", "list_spec", F.posexplode(raw_items("html", "list_spec")).alias("n", "r")), as_of)
+
+
+def finished(held: DataFrame, as_of: Column) -> DataFrame:
+    """Typed rows from raw ones: ``(page_id, params, list_spec, n, r)``, r of RAW_ITEM and n its place from 0."""
+    spec = F.broadcast(catalog.list_specs(held.sparkSession))  # one row per layout
     failed = F.col("r.error").isNotNull()
     rows = held.join(spec, "list_spec", "left").select("*", "r.*").where(failed | ~F.col("need_href") | (F.coalesce("href", F.lit("")) != ""))
     target = (

@@ -16,6 +16,7 @@ from millrace.operators import extract
 from millrace.operators import relational as R
 from millrace.plans import render
 from millrace.sources import catalog, pages
+from millrace.sources.calls import CallLedger
 from millrace.sources.store import Store
 
 
@@ -66,11 +67,15 @@ def tried(times: int, pause: float, f: Callable, *args: object) -> object:
     return f(*args)
 
 
-def analyse(articles: DataFrame, analyst: Analyst, known_tags: list[str], calls: int = CALLS, attempts: int = ATTEMPTS, pause: float = 0.5) -> DataFrame:
-    """Analysis of every article. Save it before it is used again: a model's call isn't free."""
+def analyse(articles: DataFrame, analyst: Analyst, known_tags: list[str], calls: int = CALLS, attempts: int = ATTEMPTS, pause: float = 0.5, ledger: CallLedger | None = None) -> DataFrame:
+    """Analysis of every article. Save it before it is used again: a model's call isn't free.
+
+    With a ledger no answered call is made twice, in whatever task or run; without one a failed task starts over.
+    """
 
     def call(f: Callable, *args: object) -> object:
-        return tried(calls, pause, f, *args)
+        made = (ledger.call, f.__name__, f) if ledger else (f,)
+        return tried(calls, pause, *made, *args)
 
     def chain(r: object) -> tuple:
         title, content = r.title or "", r.detail_content or ""
@@ -98,7 +103,7 @@ def crawl(lists: DataFrame, detail_pages: Callable[[DataFrame], DataFrame], stor
     held = lists.join(F.broadcast(boards), "target_id").withColumn("page_id", F.col("target_id"))
     items = store.scratch(extract.list_items(held, F.lit(as_of)).withColumnRenamed("page_id", "target_id"), "items")
     # Known addresses go before any detail page is read.
-    fresh = R.new_articles(R.one_per_url(items.where("error is null")).drop("error"), store.read("articles"))
+    fresh = store.new_articles(R.one_per_url(items.where("error is null")).drop("error"))
     fresh = R.with_context(fresh, boards, task_id)
     fresh = store.scratch(fresh.join(F.broadcast(boards.select("target_id", "detail_spec", "params")), "target_id"), "fresh")
     read = store.scratch(detail_pages(fresh.select("detail_url", "uniq_id", "detail_spec", "params")), "read").select("detail_url", "html")
@@ -120,16 +125,22 @@ def crawl_boards(store: Store, fetcher: pages.Fetcher, as_of: date, task_id: int
     return crawl(lists, lambda fresh: got(pages.detail_requests(fresh)).withColumnRenamed("key", "detail_url"), store, as_of, task_id)
 
 
-def publish(store: Store, writer: Writer) -> str | None:
-    """Saves the next issue if the gate opens, else None: candidates then stay for a later one."""
+#: Articles that a writer reads: the best of an issue's.
+READ = 200
+
+
+def publish(store: Store, writer: Writer, most: int = READ) -> str | None:
+    """Saves the next issue if the gate opens, else None: candidates then stay for a later one.
+
+    The writer, on the driver, reads the ``most`` best articles; all that waited count as used. Neither they nor their texts come to the driver.
+    """
     spark = store.spark
     rows = store.find_candidates(catalog.score_floors(spark))
     gate = R.publication_gate(rows.withColumn("issue", F.lit(1)), ["issue"]).first()
     if gate is None or not gate["publish"]:
         return None
-    chosen = rows.orderBy(F.col("effective_score").desc(), "detail_url")
-    # An issue's articles are few; they are what the writer reads.
-    title, content = writer.write([r.asDict() for r in chosen.select("title", "detail_url", "detail_content", "tags", "effective_score").toLocalIterator()])
+    chosen = R.top_articles(rows, most)
+    title, content = writer.write([r.asDict() for r in chosen.select("title", "detail_url", "detail_content", "tags", "effective_score").collect()])
     number = store.next_issue()
     html = render.render(render.template(catalog.targets(spark)), title, content)
     issue = spark.createDataFrame([(str(number), number, title, html)], "id string, issue_order int, title string, html string")

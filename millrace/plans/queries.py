@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from millrace.functions import scalars as S
 from millrace.operators import extract
 from millrace.operators import relational as R
-from millrace.plans import layout_pages, render
-from millrace.sources import catalog, pages
-from millrace.sources.store import Store, scratch_root
+from millrace.plans import layout_pages, pipeline, render
+from millrace.sources import catalog, crawl, keyed, mirror, pages
+from millrace.sources.store import Store, TaskRunning, scratch_root
+from millrace.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -352,10 +353,235 @@ def save_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.unionByName(spark.createDataFrame(told, "doc_id long"))
 
 
-@query("SELECT * FROM (VALUES (1, TRUE), (2, FALSE)) AS t(task_id, completed)")
+@query("SELECT CAST(row_number() OVER (ORDER BY r_regionkey) AS INTEGER) AS task_id, row_number() OVER (ORDER BY r_regionkey) < count(*) OVER () AS completed, 1 AS n_refused FROM region")
 def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A task created and completed, and a second one under way."""
-    store = Store(spark, scratch_root(spark))
-    store.complete_task(store.create_task())
-    store.create_task()
-    return store.read("tasks").groupBy(F.col("task_id").cast("int").alias("task_id")).agg(F.max(F.col("completed_at").isNotNull()).alias("completed"))
+    """A task for each region, each started twice, which one start survives; all but the last are completed."""
+    store, refused = Store(spark, scratch_root(spark)), []
+    regions = [r["r_regionkey"] for r in _table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]  # a handful of rows
+    for n, _ in enumerate(regions):
+        task = store.create_task()
+        try:
+            store.create_task()
+        except TaskRunning:
+            refused.append((task, 1))
+        if n < len(regions) - 1:
+            store.complete_task(task)
+    log = store.read("tasks").groupBy(F.col("task_id").cast("int").alias("task_id")).agg(F.max(F.col("completed_at").isNotNull()).alias("completed"))
+    return log.join(spark.createDataFrame(refused, "task_id int, n_refused int"), "task_id", "left")
+
+
+@query("SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
+def known_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose address isn't among the labelled ones: filters by bucket first, then the buckets that they can't rule out."""
+    root = scratch_root(spark)
+    filters = keyed.Filters(spark, f"{root}/filters")
+    known = _table(spark, sf_dir, "labels").select(F.concat(F.lit("u/"), "doc_id").alias("detail_url"))
+    filters.add(known, "detail_url")
+    by_bucket = known.withColumn("bucket", keyed.bucket_of(F.col("detail_url"), filters.buckets))
+    by_bucket.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/known")
+    held = spark.read.schema("detail_url string, bucket int").parquet(f"{root}/known")
+    asked = _table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("u/"), "doc_id").alias("detail_url"))
+    return keyed.unknown(asked, filters, held, "detail_url").select("doc_id", "source")
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def analysis_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest event of each user, from a log that got them in ten appends and was folded in between."""
+    log = keyed.KeyedLog(spark, scratch_root(spark), "user_id long, event_id long, event_type string", "user_id", "event_id", buckets=4, every=4)
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    for part in range(10):
+        log.append(events.where(F.pmod(F.xxhash64("event_id"), F.lit(10)) == part))  # together they are all rows
+    return log.read()
+
+
+# --- crawling -----------------------------------------------------------------------------------------
+
+
+@query(f"""
+SELECT page_id, CASE length(url) % {mirror.TURN} WHEN {mirror.LOST} THEN NULL WHEN {mirror.MISSING} THEN 404 ELSE 200 END AS status,
+  CASE length(url) % {mirror.TURN} WHEN {mirror.LOST} THEN 'OSError: no route' WHEN {mirror.MISSING} THEN 'HTTP 404' END AS error,
+  CASE WHEN length(url) % {mirror.TURN} > 1 THEN '<title>' || url || '</title><p>' || CASE WHEN page_id % 3 = 0 THEN 'POST id=' || page_id ELSE 'GET ' END || '</p>' END AS html FROM pages""")
+def fetch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for every page, a third of them by form, under limits a host, from a getter that answers without a network: pages, missing ones, failures."""
+    formed, n = F.col("page_id") % 3 == 0, F.col("page_id").cast("string")
+    asked = _table(spark, sf_dir, "pages").select(n.alias("key"), "url", F.when(formed, "POST").otherwise("GET").alias("method"), F.when(formed, pages.form_body({"id": n})).alias("body"))
+    return crawl.fetch_by_host(asked, mirror.fetcher()).select(F.col("key").cast("long").alias("page_id"), "status", "error", "html")
+
+
+_HOST = "lower(regexp_extract(url, '^[a-z]+://([^:/?#]*)', 1))"
+
+
+@query(f"""
+SELECT {_HOST} AS target_id, min(url) AS url, CASE length(min(url)) % {mirror.TURN} WHEN {mirror.LOST} THEN NULL WHEN {mirror.MISSING} THEN 404 ELSE 200 END AS status
+FROM pages WHERE {_HOST} <> '' GROUP BY 1""")
+def page_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first address of each host of the pages, read through the page source."""
+    rows = _table(spark, sf_dir, "pages").groupBy(crawl.host(F.col("url")).alias("target_id")).agg(F.min("url").alias("url")).where("target_id <> ''")
+    asked = rows.select("target_id", F.col("target_id").alias("key"), "url", F.lit("GET").alias("method"), F.lit(None).cast("string").alias("body"))
+    return crawl.read_pages(spark, asked, "millrace.sources.mirror:FETCHER").select("target_id", "url", "status")
+
+
+_BOARDS = "(SELECT *, CAST(row_number() OVER (ORDER BY pos) - 1 AS BIGINT) AS n FROM " + _TARGETS + " WHERE enabled)"
+
+
+@query(f"""
+WITH b AS {_BOARDS}, k AS (SELECT count(*) AS k FROM b)
+SELECT b.group_id, b.target_id, b.target_name, b.url AS target_url, (SELECT count(*) FROM b AS o WHERE o.group_id = b.group_id) AS n_targets, count(d.doc_id) AS n_articles, 9 AS task_id
+FROM b CROSS JOIN k LEFT JOIN documents d ON d.doc_id % k = b.n GROUP BY ALL""")
+def article_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt to the enabled boards in turn, with each board's group and address, counted; boards flattened from their groups, with the group's size."""
+    boards = catalog.groups(spark).select(F.col("id").alias("group_id"), F.posexplode("targets").alias("at", "t"), F.size("targets").cast("long").alias("n_targets"))
+    boards = boards.select("group_id", F.col("t.id").alias("target_id"), F.col("t.name").alias("target_name"), "n_targets")
+    own = catalog.targets(spark)
+    names = [r["target_id"] for r in own.orderBy("pos").collect()]  # a few dozen
+    dealt = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % len(names) + 1).cast("int"))
+    items = R.with_context(_table(spark, sf_dir, "documents").select("doc_id", dealt.alias("target_id")), own, 9)
+    counts = items.groupBy("target_id", "group_id", "target_url", F.col("task_id").cast("int").alias("task_id")).agg(F.count("*").alias("n_articles"))
+    held = boards.join(own.select("target_id", F.col("url").alias("target_url")), "target_id").join(counts.drop("target_url"), ["target_id", "group_id"], "left")
+    return held.select("group_id", "target_id", "target_name", "target_url", "n_targets", F.coalesce("n_articles", F.lit(0)).alias("n_articles"), F.coalesce("task_id", F.lit(9)).alias("task_id"))
+
+
+@query(f"""
+WITH b AS {_BOARDS}, k AS (SELECT count(*) AS k FROM b),
+a AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'nowhere' END AS gone, CASE WHEN page_id % 4 <> 0 THEN url WHEN page_id % 8 = 0 THEN '' END AS custom, CASE WHEN page_id % 3 <> 0 THEN url WHEN page_id % 6 = 0 THEN '' END AS detail, page_id % k AS n FROM pages, k)
+SELECT page_id, coalesce(gone, b.target_id) AS target_id, CASE WHEN gone IS NOT NULL THEN 404 WHEN coalesce(detail, '') = '' THEN 400 ELSE 200 END AS status,
+  CASE WHEN gone IS NOT NULL THEN 'no such board: ' || b.group_id || '/nowhere' WHEN coalesce(detail, '') = '' THEN 'the address of the detail page is missing' END AS error,
+  CASE WHEN gone IS NULL AND coalesce(detail, '') <> '' THEN coalesce(nullif(custom, ''), b.url) END AS url FROM a JOIN b USING (n)""")
+def board_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for a board's detail page for every page: boards that aren't there, addresses that stand in for the board's, missing details."""
+    rows = [(r["group_id"], r["target_id"]) for r in catalog.targets(spark).orderBy("pos").collect()]  # a few dozen
+    dealt = F.element_at(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(t).alias("t")) for g, t in rows]), (F.col("page_id") % len(rows) + 1).cast("int"))
+    given = lambda by, twice: F.when(F.col("page_id") % by != 0, F.col("url")).when(F.col("page_id") % twice == 0, "")
+    asked = _table(spark, sf_dir, "pages").select(
+        "page_id", dealt["g"].alias("group_id"), F.when(F.col("page_id") % 5 == 0, "nowhere").otherwise(dealt["t"]).alias("target_id"), given(4, 8).alias("custom_url"), given(3, 6).alias("detail_url")
+    )
+    return catalog.answered(asked, needs_detail=True).select("page_id", "target_id", "status", "error", "url")
+
+
+@query(r"""
+SELECT page_id, coalesce(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), ''), '1') AS page_no FROM pages""")
+def defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", S.or_else(S.query_param(F.col("url"), "page"), F.lit("1")).alias("page_no"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select("event_id", S.json_fields(F.col("props"), "k long")["k"].alias("k"))
+
+
+# --- streams with state -------------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files. A table that is one file is no folder, which a stream takes only by a pattern."""
+    return spark.readStream.schema(_table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _ran(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    root = scratch_root(spark)
+    stateful.appended(stream, f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+#: Seconds for which a fetched page answers, in the query over events.
+_HELD = 12 * 3600
+
+
+@query(f"""
+WITH RECURSIVE f(user_id, since) AS (SELECT user_id, min(ts) FROM events GROUP BY user_id
+  UNION ALL SELECT f.user_id, min(e.ts) FROM f JOIN events e ON e.user_id = f.user_id AND e.ts >= f.since + INTERVAL {_HELD} SECOND GROUP BY f.user_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS k FROM events)
+SELECT event_id, NOT (k = 1 AND f.since IS NOT NULL) AS hit FROM r LEFT JOIN f ON f.user_id = r.user_id AND f.since = r.ts""")
+def request_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of requests by user: which of them a page fetched in the twelve hours before answers."""
+    asked = _streamed(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    return _ran(spark, stateful.cached(asked, _HELD)).select(F.col("id").alias("event_id"), "hit")
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT source, d.doc_id, l.quality * 5 + l.toxic * 4 AS score, row_number() OVER (PARTITION BY source ORDER BY d.doc_id) AS k FROM documents d JOIN labels l USING (doc_id)),
+w(source, k, doc_id, score, n, issue) AS (SELECT source, k, doc_id, score, 1, 1 FROM s WHERE k = 1
+  UNION ALL SELECT s.source, s.k, s.doc_id, s.score, CASE WHEN w.n > 5 OR w.score >= 8 THEN 1 ELSE w.n + 1 END, w.issue + CASE WHEN w.n > 5 OR w.score >= 8 THEN 1 ELSE 0 END FROM w JOIN s ON s.source = w.source AND s.k = w.k + 1)
+SELECT source, CAST(issue AS BIGINT) AS issue, count(*) AS n_articles, CAST(max(score) AS INTEGER) AS max_score, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids
+FROM w GROUP BY source, issue HAVING max(n) > 5 OR max(score) >= 8""")
+def waiting_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as a stream by their ids: the issues of each source, whose candidates wait until the gate opens."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 5 + F.col("toxic") * 4).alias("score"))
+    rows = _streamed(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id")
+    scored = rows.select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "score", F.timestamp_seconds(F.col("doc_id") + 86400).alias("at"))
+    return _ran(spark, stateful.issues(scored)).select(F.col("grp").alias("source"), "issue", "n_articles", "max_score", F.array_join("ids", ",").alias("ids"))
+
+
+# --- analysis and issues ------------------------------------------------------------------------------
+
+#: Words that the stand-in for a model looks for, with what they add to a score.
+_WORDS = {"the": 2, "license": 3, "der": 1, "que": 4}
+
+
+@query(f"""
+WITH k AS (SELECT * FROM (VALUES {", ".join(f"('{w}', {n})" for w, n in _WORDS.items())}) AS v(word, n)),
+m AS (SELECT doc_id, string_agg(word, ',' ORDER BY word) AS tags, sum(n) AS n FROM documents JOIN k ON contains(source || ' ' || coalesce(text, ''), word) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(m.tags, '') AS tags, CAST(least(10, 1 + coalesce(m.n, 0)) AS INTEGER) AS score FROM documents d LEFT JOIN m USING (doc_id)""")
+def analyse_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags and score of every document by an analyst that looks for words."""
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("detail_url"), F.col("source").alias("title"), F.col("text").alias("detail_content"), F.lit(False).alias("has_attached_image"))
+    found = pipeline.analyse(rows, pipeline.KeywordAnalyst(_WORDS), [])
+    return found.select(F.col("detail_url").cast("long").alias("doc_id"), F.array_join("tags", ",").alias("tags"), "score")
+
+
+def _page_sql() -> str:
+    """The page with its sources from the catalogue's values, as a text of SQL."""
+    numbers = {"enough": R.ARTICLES + 1, "few": R.ARTICLES, "priority": R.PRIORITY, "unsubscribe": render.UNSUBSCRIBE, "title": render.TITLE, "content": render.CONTENT}
+    before, after = render.PAGE.safe_substitute(numbers).split("$sources")
+    return f"{_quoted(before)} || (SELECT sources FROM src) || {_quoted(after)}"
+
+
+@query(f"""
+WITH src AS ({ORACLES["render_sources"]}),
+{_SCORED},
+t AS (SELECT source, lang, count(*) AS n, string_agg('<p>' || doc_id || ': ' || effective_score || '</p>', chr(10) ORDER BY doc_id) AS content FROM s GROUP BY source, lang HAVING count(*) > 5 OR max(effective_score) >= 8)
+SELECT source, lang, replace(replace({_page_sql()}, '{render.TITLE}', source || ' & ' || lang || ': ' || n), '{render.CONTENT}', content) AS html FROM t""")
+def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An issue's page for every source and language whose gate is open, from its articles."""
+    rows, by = _scored(spark, sf_dir), ["source", "lang"]
+    opened = R.publication_gate(rows, by).where("publish").select(*by, "n_articles")
+    part = F.concat(F.lit("<p>"), F.col("doc_id").cast("string"), F.lit(": "), F.col("effective_score").cast("string"), F.lit("</p>"))
+    texts = R.rolled_up(rows.join(opened, by).withColumn("grp", F.struct(*by, "n_articles")), "grp", "doc_id", part, "\n").select("grp.*", "text")
+    page = render.template(catalog.targets(spark))
+    title = F.concat("source", F.lit(" & "), "lang", F.lit(": "), F.col("n_articles").cast("string"))
+    return texts.select(*by, render.rendered(page, title, F.col("text")).alias("html"))
+
+
+# --- odd list pages, and lists in SQL ------------------------------------------------------------------
+
+#: Kind of page, layout, page.
+_ODD = [
+    ("pinned", "heritage_agency", "<table class='board_list'><thead><tr><th>no</th></tr></thead><tbody><tr class='top'><td>1<td><a href='/p?bbIdx=0'>pinned</a></tr><tr><th>head</th></tr><tr><td>2<td><a href='/p?bbIdx={n}'>t</a><td><td><td>2024.01.01</tr></tbody></table>"),
+    ("absolute", "kaah", "<table class='board-table-list'><tbody><tr><td>1<td><a href='/news/{n}'>t</a><td><td>2024.01.01</tr><tr><td>1<td><a href='https://www.kaah.kr/news/{n}'>t</a><td><td>2024.01.01</tr></tbody></table>"),
+    ("no address", "kras", "<table><tbody><tr><td>1<td><a>none</a><td><td><td>2024.01.01</tr><tr><td>1<td><a href=''>empty</a><td><td><td>2024.01.01</tr><tr><td>1<td><a href='/?m=bbs&uid={n}'>t</a><td><td><td>2024.01.01</tr></tbody></table>"),
+    ("malformed", "kras", "<table><![foo[x]]><tbody><tr><td>1<td></b></i><a href='/?m=bbs&uid={n}'>t</a><td><td><td>2024.01.01</tr></tbody>"),
+    ("unknown", "nope", "<p>{n}</p>"),
+    ("empty", "kras", "<table></table>"),
+]
+
+
+@query("""
+WITH k AS (SELECT * FROM (VALUES ('pinned', 1, 'https://www.kh.or.kr/p?bbIdx='), ('absolute', 1, NULL), ('absolute', 2, 'https://www.kaah.kr/news/'), ('no address', 3, 'https://www.kras.or.kr/?m=bbs&uid='),
+  ('malformed', 1, 'https://www.kras.or.kr/?m=bbs&uid='), ('unknown', NULL, NULL)) AS v(kind, pos, addr))
+SELECT kind || '/' || page_id AS page_id, CAST(pos AS INTEGER) AS pos, CASE WHEN addr IS NOT NULL THEN CAST(page_id AS VARCHAR) END AS uniq_id, addr || page_id AS detail_url,
+  CASE WHEN kind = 'unknown' THEN 'no such layout: nope' WHEN addr IS NULL THEN 'the address is neither absolute nor has it a base' END AS error FROM pages, k""")
+def list_odd_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List pages with rows that are skipped, pinned, headless or fail, one of each kind for every page's number."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(layout).alias("layout"), F.lit(html).alias("html")) for k, layout, html in _ODD])
+    made = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("n"), F.explode(kinds).alias("k"))
+    own = made.select(F.concat_ws("/", "k.kind", "n").alias("page_id"), F.replace(F.col("k.html"), F.lit("{n}"), F.col("n")).alias("html"), F.col("k.layout").alias("list_spec"), F.create_map().cast("map<string,string>").alias("params"))
+    return extract.list_items(own, F.lit(_LIST_DAY).cast("date")).select("page_id", "pos", "uniq_id", "detail_url", "error")
+
+
+@query(ORACLES["list_layouts"])
+def list_layouts_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`list_layouts` with its rows from a table function in SQL."""
+    made = layout_pages.list_pages(_table(spark, sf_dir, "pages"), "page_id", F.expr(_FIRST[1]), F.expr(_LAST[1]))
+    extract.register(spark)
+    made.createOrReplaceTempView("board_pages")
+    return extract.finished(spark.sql(extract.RAW_SQL), F.lit(_LIST_DAY).cast("date")).select("page_id", "uniq_id", "title", "date", "start_date", "detail_url", "date_type")

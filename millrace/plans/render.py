@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from string import Template
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import escape_html
@@ -40,5 +40,10 @@ def template(targets: DataFrame, articles: int = ARTICLES, priority: int = PRIOR
     return PAGE.substitute(title=TITLE, content=CONTENT, sources=source_list(targets).first()[0], enough=articles + 1, few=articles, priority=priority, unsubscribe=unsubscribe)
 
 
+def rendered(page: str, title: Column, content: Column) -> Column:
+    """:func:`render` of each row."""
+    return F.replace(F.replace(F.lit(page), F.lit(TITLE), title), F.lit(CONTENT), content)
+
+
 def render(page: str, title: str, content: str) -> str:
     return page.replace(TITLE, title).replace(CONTENT, content)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.scalars import or_else
 from millrace.sources.specs import LISTS
 
 #: Group, target id, name, address, list layout, detail layout, parameters, why disabled.
@@ -144,6 +145,20 @@ def find_target(spark: SparkSession, group_id: str, target_id: str, custom_url:
     return own.withColumn("url", F.lit(custom_url)) if custom_url else own
 
 
+def answered(asked: DataFrame, needs_detail: bool = False) -> DataFrame:
+    """``asked (group_id, target_id, custom_url, detail_url)`` with each request's board and address, or what is wrong with it.
+
+    Adds url, list_spec, detail_spec, status and error: 404 for a board that isn't there or isn't enabled, 400 for a missing detail
+    address where one is needed, else 200. An address that is given stands in for the board's unless it is empty.
+    """
+    own = F.broadcast(targets(asked.sparkSession).select("group_id", "target_id", F.col("url").alias("own"), "list_spec", "detail_spec"))  # a few dozen rows
+    rows = asked.join(own, ["group_id", "target_id"], "left")
+    status = F.when(F.col("own").isNull(), 404).when(F.lit(needs_detail) & (or_else(F.col("detail_url"), F.lit("")) == ""), 400).otherwise(200)
+    error = F.when(status == 404, F.concat(F.lit("no such board: "), F.concat_ws("/", "group_id", "target_id"))).when(status == 400, "the address of the detail page is missing")
+    url = F.when(status == 200, or_else(F.col("custom_url"), F.col("own")))
+    return rows.select(*asked.columns, url.alias("url"), "list_spec", "detail_spec", status.alias("status"), error.alias("error"))
+
+
 LIST_SPEC_DDL = """list_spec string, id_rule string, id_arg string, url_rule string, origin string, url_arg string, url_to string,
 date_rule string, date_prefix string, drop_text string, widen_tilde boolean, need_href boolean, need_id boolean, clean boolean"""
 

@@ -26,7 +26,7 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
 
     def save(batch: DataFrame, _: int) -> None:
         one = R.one_per_url(batch.withColumnRenamed("url", "detail_url"), order=("fetched_at",))
-        fresh = R.new_articles(one, store.read("articles"))
+        fresh = store.new_articles(one)
         store.save_articles(extract.details(fresh).where("error is null").withColumn("group_id", F.lit("stream")))
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

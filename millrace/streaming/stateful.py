@@ -1,7 +1,8 @@
 """Operators with state: a cache of requests with a time to live, and candidates that wait for their group's gate.
 
 Both take rows in the order of their times within a key, so the same rows give the same result in whatever micro-batches
-they arrive in order. Rows behind the watermark are dropped, as streams do; a key's rows of one micro-batch are held together.
+they arrive in order. Rows behind the watermark are dropped, as streams do, and so are times up to 1970-01-01, where it begins; a key's rows
+of one micro-batch are held together.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ class Cache(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.fetched = handle, handle.getValueState("fetched", "at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         asked = pd.concat(list(rows)).sort_values(["micros", "id"], kind="stable")
         held = self.fetched.get()
         first = last = held[0] if held else None
@@ -70,9 +71,9 @@ class Cache(StatefulProcessor):
             self.handle.registerTimer((last + self.ttl) // 1000 + 1)
         yield pd.DataFrame({"key": [key[0]] * len(asked), "id": asked["id"].to_numpy(), "hit": hits})
 
-    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.fetched.get()
-        if held and (held[0] + self.ttl) // 1000 + 1 <= expired.getExpiryTimeInMs():
+        if held and (held[0] + self.ttl) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
             self.fetched.clear()
         return iter(())
 
@@ -106,7 +107,7 @@ class Gate(StatefulProcessor):
         scores = [s for _, s, _ in held if s is not None]
         return key[0], number, len(held), max(scores, default=None), [i for i, _, _ in held], expired
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = pd.concat(list(rows)).sort_values(["micros", "id"], kind="stable")
         held = [tuple(w) for w in self.waiting.get()]
         number, out, before = (self.issues.get() or (0,))[0], [], len(held)
@@ -125,9 +126,9 @@ class Gate(StatefulProcessor):
                 self.handle.registerTimer(held[0][2] // 1000 + self.patience * 1000)
         yield pd.DataFrame(out, columns=["grp", "issue", "n_articles", "max_score", "ids", "expired"]).astype({"max_score": "Int32"})
 
-    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = [tuple(w) for w in self.waiting.get()]
-        if held and held[0][2] // 1000 + self.patience * 1000 <= expired.getExpiryTimeInMs():
+        if held and held[0][2] // 1000 + self.patience * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
             number = (self.issues.get() or (0,))[0] + 1
             self.issues.update((number,))
             self.waiting.clear()

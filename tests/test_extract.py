@@ -160,3 +160,32 @@ def test_unknown_layouts_are_errors_of_their_rows(spark):
     got = {r["page_id"]: r for r in extract.details(rows).collect()}
     assert [got[i]["error"] for i in (1, 2, 3, 4)] == ["no such layout: none", None, "no such layout: None", None]
     assert got[2]["detail_content"] == "x" and got[1]["detail_content"] is None and got[3]["beside"] == "w"
+
+
+def test_pages_that_fail_are_rows(spark, monkeypatch):
+    good = board(["1", "<a href='/b?uid=7'>t</a>", "", "", "2024.01.05"])
+    assert [r["href"] for r in extract.page_rows("<![foo[x]]>" + good + "<![ x", "kras")] == ["/b?uid=7"]
+    assert extract.page_rows("x", "nope") == [{"error": "no such layout: nope"}] and extract.page_rows(None, "kras") == []
+    monkeypatch.setattr(extract, "parse", lambda page: 1 / 0)
+    assert extract.page_rows(good, "kras") == [{"error": "ZeroDivisionError: division by zero"}]
+    # In a job: an error has no place, and its neighbours stay.
+    rows = [("a", good, "kras"), ("b", good, "nope"), ("c", good, "kras")]
+    pages = spark.createDataFrame(rows, "page_id string, html string, list_spec string").withColumn("params", F.create_map().cast("map<string,string>"))
+    got = {r["page_id"]: r for r in extract.list_items(pages, F.lit("2024-01-01").cast("date")).collect()}
+    assert got["b"].asDict() == dict.fromkeys(got["b"].asDict()) | {"page_id": "b", "error": "no such layout: nope"}
+    assert got["a"]["uniq_id"] == got["c"]["uniq_id"] == "7" and got["a"]["pos"] == 1 and got["a"]["error"] is None
+
+
+@pytest.mark.parametrize("html", ["<i> </i>" * 40_000 + "\nx", "<b><table><tr><td>" + "<i>" * 5_000 + "</b>" * 5_000, "a" + " " * 100_000 + "b  \n\nc"])
+def test_runs_of_spaces_and_unmatched_end_tags_take_linear_time(html):
+    began = time.process_time()
+    dom.markdown(dom.parse(html))
+    assert time.process_time() - began < 1
+
+
+def test_end_tags_and_cells():
+    # What closes outside of a cell isn't closed in it; a table's own end tags reach beyond.
+    root = dom.parse("<b>x<table><tr><td><i>y</b>z</i>w</td><td>v</table>after")
+    assert [n.text() for n in root.find("td")] == ["yzw", "v"] and root.first("b").text() == "xyzwvafter" and root.first("i").text() == "yz"
+    assert dom.parse("<table><tr><td>a</th>b</td></tr></table>").first("td").text() == "ab"
+    assert [n.text() for n in dom.parse("<td><p>a</p></td><p>b</p>").find("p")] == ["a", "b"]
