@@ -183,6 +183,27 @@ ASKED_KINDS = [pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 8]
 TOLD_SCHEMA = pa.schema(list(zip(TOLD_NAMES, [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64()], strict=True)))
 
 
+def packed_sums(sums: np.ndarray) -> bytes:
+    """Whole numbers of up to 64 bits, each in as many bytes as the largest needs; that number of bytes comes first."""
+    size = max(1, -(-int(sums.max(initial=0)).bit_length() // 8))
+    planes = sums.astype("<u8").view(np.uint8).reshape(len(sums), 8).T[:size]
+    return zstandard.ZstdCompressor(level=1).compress(bytes([size]) + planes.tobytes())
+
+
+def unpacked_sums(cells: list[bytes]) -> list[np.ndarray]:
+    """The numbers of each cell of :func:`packed_sums`."""
+    out, open_ = [], zstandard.ZstdDecompressor().decompress
+    for held in map(open_, cells):
+        wide = np.zeros(((len(held) - 1) // held[0], 8), np.uint8)
+        wide[:, : held[0]] = np.frombuffer(held, np.uint8, offset=1).reshape(held[0], -1).T
+        out.append(wide.view("<u8").ravel())
+    return out
+
+
+#: Columns of ASKED that hold counts, which have no bound.
+SUMS = {"counts", "lasts", "ends"}
+
+
 def _dealt(level: int, name: str, bits: int, hashes: np.ndarray, counts: np.ndarray | None = None, gains: np.ndarray | None = None, lasts: np.ndarray | None = None, inner: np.ndarray | None = None, grams: tuple = ()) -> list[tuple]:
     """Rows of ASKED, one for each bucket: sorted ``hashes`` with columns beside; ``inner``: how many of the ``grams`` each has, in order."""
     bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
@@ -192,8 +213,10 @@ def _dealt(level: int, name: str, bits: int, hashes: np.ndarray, counts: np.ndar
     below = np.concatenate([[0], np.cumsum(inner, dtype=np.int64)])[cuts].tolist() if inner is not None else []
     rows = []
     for k, b in enumerate(there.tolist()):
-        beside = [None if c is None else packed(c[cuts[k] : cuts[k + 1]]) for c in (keys, counts, gains, lasts, inner)]
-        rows.append((level, b, name, *beside, *([packed(g[below[k] : below[k + 1]]) for g in grams] or [None] * 3)))
+        own, more = slice(cuts[k], cuts[k + 1]), slice(below[k], below[k + 1]) if grams else None
+        columns = [(c, own) for c in (keys, counts, gains, lasts, inner)] + [(g, more) for g in grams or [None] * 3]
+        cells = [None if c is None else (packed_sums if n in SUMS else packed)(c[at]) for n, (c, at) in zip(ASKED_NAMES[3:], columns, strict=True)]
+        rows.append((level, b, name, *cells))
     return rows
 
 
@@ -218,13 +241,14 @@ def _counter(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def _joined(group: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """All rows' numbers one after another, and how many each row has."""
-    parts = unpacked(group.column(name).to_pylist(), kind)
+    cells = group.column(name).to_pylist()
+    parts = unpacked_sums(cells) if name in SUMS else unpacked(cells, kind)
     return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
 def _told(group: pa.Table, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None = None, fresh: int = 0) -> pa.Table:
-    """Rows of TOLD: each asking segment's part of ``a`` and ``b``, which are numbers and how many are whose."""
-    parts = lambda x: [None] * group.num_rows if x is None else [packed(p) for p in np.split(x[0], np.cumsum(x[1])[:-1])]
+    """Rows of TOLD: each asking segment's part of ``a`` and ``b``, which are numbers, sums if of 64 bits, and how many are whose."""
+    parts = lambda x: [None] * group.num_rows if x is None else [(packed_sums if p.dtype == np.uint64 else packed)(p) for p in np.split(x[0], np.cumsum(x[1])[:-1])]
     columns = [group.column(k).to_pylist() for k in ("level", "bucket", "segment")]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, parts(a), parts(b), [fresh] + [0] * (group.num_rows - 1)], TOLD_SCHEMA, strict=True)], schema=TOLD_SCHEMA)
 
@@ -233,8 +257,8 @@ def _summer(group: pa.Table) -> pa.Table:
     """Counts of a bucket's words or pairs, summed over segments. ``fresh``: the distinct ones that training has."""
     keys, sizes = _joined(group, "keys", np.uint64 if group.column("level")[0].as_py() == 1 else np.uint32)
     distinct, place = np.unique(keys, return_inverse=True)
-    sums = np.bincount(place, _joined(group, "counts", np.uint32)[0], len(distinct))
-    return _told(group, (sums[place].astype(np.uint32), sizes), fresh=int((sums > 0).sum()))
+    sums = np.bincount(place, _joined(group, "counts", np.uint64)[0], len(distinct))
+    return _told(group, (sums[place].astype(np.uint64), sizes), fresh=int((sums > 0).sum()))
 
 
 def _decider(group: pa.Table) -> pa.Table:
@@ -245,17 +269,17 @@ def _decider(group: pa.Table) -> pa.Table:
         gain = np.bincount(place, _joined(group, "gains", np.float32)[0].astype(float), len(distinct))
         return _told(group, ((gain >= DIVERGENCE)[place].astype(np.uint8), sizes))
     n, last = np.zeros(len(distinct)), np.zeros(len(distinct))
-    n[place], last[place] = _joined(group, "counts", np.uint32)[0], _joined(group, "lasts", np.uint32)[0]
+    n[place], last[place] = _joined(group, "counts", np.uint64)[0], _joined(group, "lasts", np.uint64)[0]
     of = np.repeat(place, _joined(group, "inner", np.uint32)[0])
     grams, inner = _joined(group, "grams", np.uint32)
     triples, triple = np.unique((of.astype(np.uint64) << np.uint64(24)) | grams, return_inverse=True)
     sums, ends = np.bincount(triple, _joined(group, "times", np.uint32)[0], len(triples)), np.ones(len(triples))
-    ends[triple] = _joined(group, "ends", np.uint32)[0]
+    ends[triple] = _joined(group, "ends", np.uint64)[0]
     known = np.flatnonzero(sums > 0)
     above = (triples[known] >> np.uint64(24)).astype(np.int64)
     ratio = np.log(sums[known] / n[above]) - np.log(ends[known] / last[above])
     gain = np.bincount(above, sums[known] * ratio, len(distinct))
-    return _told(group, ((gain >= DIVERGENCE)[place].astype(np.uint8), sizes), (sums[triple].astype(np.uint32), inner))
+    return _told(group, ((gain >= DIVERGENCE)[place].astype(np.uint8), sizes), (sums[triple].astype(np.uint64), inner))
 
 
 class Known:
@@ -263,12 +287,12 @@ class Known:
 
     def __init__(self, own: Segment, told: pa.Table, n_docs: int) -> None:
         parts = {k: sorted(zip(*(told.filter(pc.equal(told.column("level"), k)).column(c).to_pylist() for c in ("bucket", "a", "b")), strict=True)) for k in (1, 2, 11, 12)}
-        whole = lambda k, c, kind: np.concatenate(unpacked([p[c] for p in parts[k]], kind) or [np.zeros(0, kind)])
+        whole = lambda k, c, kind: np.concatenate((unpacked_sums([p[c] for p in parts[k]]) if kind is np.uint64 else unpacked([p[c] for p in parts[k]], kind)) or [np.zeros(0, kind)])
         self.words = np.empty(len(own.words) + 2)
-        self.words[own.order] = whole(1, 1, np.uint32)
+        self.words[own.order] = whole(1, 1, np.uint64)
         self.words[-2:] = n_docs  # ends, and starts as contexts
-        self.pairs = whole(2, 1, np.uint32)
-        self.states, self.states2, self.times = (whole(k, c, kind) for k, c, kind in ((11, 1, np.uint8), (12, 1, np.uint8), (12, 2, np.uint32)))
+        self.pairs = whole(2, 1, np.uint64)
+        self.states, self.states2, self.times = (whole(k, c, kind) for k, c, kind in ((11, 1, np.uint8), (12, 1, np.uint8), (12, 2, np.uint64)))
 
 
 def _gainer(bits: int, n_docs: int, n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -295,12 +319,12 @@ def _gainer(bits: int, n_docs: int, n: int) -> Callable[[pa.Table, pa.Table], pa
         times = np.bincount(triple[train[at]], minlength=len(triples)).astype(np.uint32)
         of = place[own.context[one]]
         order = np.argsort(of, kind="stable")
-        grams = ((triples & GRAM).astype(np.uint32)[order], times[order], known.pairs[own.pair[one]].astype(np.uint32)[order])
-        counts = known.pairs[contexts].astype(np.uint32)
+        grams = ((triples & GRAM).astype(np.uint32)[order], times[order], known.pairs[own.pair[one]][order])
+        counts = known.pairs[contexts]
         at = np.flatnonzero(own.context >= 0)
         last = np.zeros(len(own.pairs), np.int32)
         last[own.context[at]] = own.before[at]
-        lasts = known.words[last[contexts]].astype(np.uint32)
+        lasts = known.words[last[contexts]].astype(np.uint64)
         rows += _dealt(2, own.name, bits, own.pairs[contexts], counts, None, lasts, np.bincount(of, minlength=len(contexts)).astype(np.uint32), grams)
         return _batch(rows)
 
@@ -379,7 +403,7 @@ def _scorer(table_of: Callable[[], np.ndarray], n_docs: int, n: int, v: int) ->
         states &= known.words >= LEAST
         states[-1] = n_docs > 0
         at = np.flatnonzero(states[own.before])
-        p[at] = smoothed(known.pairs[own.pair[at]], known.words[own.before[at]], p[at])
+        p[at] = smoothed(known.pairs[own.pair[at]].astype(float), known.words[own.before[at]], p[at])
         contexts, where, triples, triple = own.triples(known.pairs)
         deep, times = np.zeros(len(own.pairs) + 1, bool), np.zeros(len(own.symbol))
         deep[contexts] = known.states2

@@ -147,6 +147,17 @@ def test_near_copies_of_one_large_group(spark):
     assert got[200] == 2500 and len(got) == 201
 
 
+def test_suffix_tree_sums_beyond_32_bits():
+    for own in ([], [0], [1, 255, 256], [2**32 - 1, 2**32, 2**40 + 7, 0], [2**63]):
+        sums = np.array(own, np.uint64)
+        assert suffix_tree.unpacked_sums([suffix_tree.packed_sums(sums)])[0].tolist() == own
+    # Three segments' counts of one word.
+    each = 3_000_000_000
+    rows = [(1, 0, f"s{i}", suffix_tree.packed(np.array([5, 9], np.uint64)), suffix_tree.packed_sums(np.array([each, 1], np.uint64)), *[None] * 6) for i in range(3)]
+    told = suffix_tree._summer(suffix_tree._batch(rows))
+    assert [suffix_tree.unpacked_sums([c])[0].tolist() for c in told.column("a").to_pylist()] == [[3 * each, 3]] * 3
+
+
 def test_suffix_tree_base_and_normalisation(spark):
     texts = corpus(3)
     got = {r["doc_id"]: r for r in suffix_tree.score(table(spark, texts)).collect()}
