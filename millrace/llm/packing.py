@@ -34,6 +34,8 @@ from millrace.llm.common import stored
 CAPACITY = 2048
 #: Pieces that are packed together, and so the bound of a task's group.
 PARTITION = 20_000
+#: Bits of a sequence's number below its turn's, and of a bin in its partition, which has no more bins than pieces.
+TURN_BITS, BIN_BITS = 32, 20
 #: Text units whose ids a worker remembers; a bound of its memory.
 REMEMBERED = 500_000
 #: Characters of text that are encoded together.
@@ -242,7 +244,7 @@ def _packer(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def _deal(rows: DataFrame, n: int, capacity: int, turn: int) -> DataFrame:
     """Packs ``rows`` in even partitions of about PARTITION, by their stored numbers, which no two rows share."""
     parts = max(1, -(-n // PARTITION))
-    key = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)) + F.lit(turn << 40)
+    key = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)) + F.lit(turn << TURN_BITS)
     return rows.select("row", "length", key.alias("part")).groupBy("part").applyInPandas(_packer(capacity), PACKED)
 
 
@@ -258,7 +260,7 @@ def best_fit(table: DataFrame, capacity: int = CAPACITY, opened: float = 0.1) ->
     done, turn = [], 0
     while packed.where("gap > 0").select("part").distinct().limit(2).count() > 1:
         turn += 1
-        # A partition's number names its turn and place.
+        # A partition's number names its turn and place; with a bin's below it, it has room for 2,047 turns.
         bins = packed.where("gap > 0").groupBy("part", "bin").agg(F.first("room").alias("room"), F.count("*").alias("n"))
         share = bins.groupBy("part").agg(F.expr(f"percentile_approx(room, {1 - opened}, 1000)").alias("least"))
         loose = stored(bins.join(share, "part").where("room >= least and room > 0").select("part", "bin", "n"), "loose")
@@ -274,7 +276,7 @@ def best_fit(table: DataFrame, capacity: int = CAPACITY, opened: float = 0.1) ->
     placed = packed
     for part in done:
         placed = placed.unionByName(part)
-    sequence = F.col("part") * F.lit(1 << 20) + F.col("bin")
+    sequence = F.col("part") * F.lit(1 << BIN_BITS) + F.col("bin")
     placed = placed.select(F.col("row").alias("at"), sequence.alias("sequence_id"), "offset", "part")
     columns = [c for c in table.columns if c != "row"]
     whole = table.where(F.col("length") == capacity).select(*columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(None).cast("long").alias("part"))
