@@ -103,7 +103,8 @@ class Encoder:
         units_of = [t.split(" ") if t and spaced_simply(t) else None for t in texts]
         if len(self._known) > REMEMBERED:
             self._known.clear()
-        fresh = list(set().union(*(u[1:] for u in units_of if u)) - self._known.keys())
+        # A set less the keys of a dictionary would walk through all of these.
+        fresh = [u for u in set().union(*(u[1:] for u in units_of if u)) if u not in self._known]
         if fresh:
             self._learn(fresh)
         find, out = self._known.__getitem__, []
