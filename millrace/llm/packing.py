@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ class Encoder:
         whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True  # their strings in a text are ordinary text
         # Places in the text, which a plain call also finds, take as long as the ids themselves.
-        self._encode = lambda text: whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        self._each = lambda texts: [np.array(e.ids, np.uint32) for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
         vocabulary = whole.get_vocab()
         # A byte-level token is written with a character for each of its bytes.
         self._sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -89,7 +90,7 @@ class Encoder:
 
     def _learn(self, units: list[str]) -> None:
         """Encodes units, each after a space, in one call, and cuts the ids where a unit's bytes end."""
-        ids = np.array(self._encode(" " + " ".join(units)), np.uint32)
+        ids = self._each([" " + " ".join(units)])[0]
         ends = np.cumsum([len(u.encode()) + 1 for u in units])
         to = (np.searchsorted(np.cumsum(self._sizes[ids]), ends) + 1) * 4
         data = ids.tobytes()
@@ -98,22 +99,38 @@ class Encoder:
             self._known[unit] = data[at:end]
             at = end
 
+    def _joined(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of simply spaced texts: their distinct units are looked up once, and the ids gathered by array."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        places, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        # A text's first unit has no space before it; it is encoded by itself.
+        heads = self._each([t.partition(" ")[0] for t in texts])
+        spaced = np.ones(len(places), bool)
+        spaced[bounds[:-1]] = False
+        used = np.bincount(places[spaced], minlength=len(coded.dictionary)) > 0
+        units = coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
+        fresh = [u for u in units if u not in self._known]
+        if fresh:
+            self._learn(fresh)
+        cells = list(map(self._known.__getitem__, units))
+        sizes, pool = np.zeros(len(used), np.int64), np.frombuffer(b"".join(cells), np.uint32)
+        sizes[used] = np.fromiter(map(len, cells), np.int64, len(cells)) // 4
+        starts = np.cumsum(sizes) - sizes
+        own = np.where(spaced, sizes[places], 0)
+        upto = np.cumsum(own)
+        ids = pool[np.repeat(starts[places] - (upto - own), own) + np.arange(int(own.sum()))]
+        ends = upto[bounds[1:] - 1]
+        return [np.concatenate([head, part]) for head, part in zip(heads, np.split(ids, ends[:-1]), strict=True)]
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, uint32; a list should hold a few MB at most."""
-        units_of = [t.split(" ") if t and spaced_simply(t) else None for t in texts]
+        simple = [bool(t) and spaced_simply(t) for t in texts]
         if len(self._known) > REMEMBERED:
             self._known.clear()
-        # A set less the keys of a dictionary would walk through all of these.
-        fresh = [u for u in set().union(*(u[1:] for u in units_of if u)) if u not in self._known]
-        if fresh:
-            self._learn(fresh)
-        find, out = self._known.__getitem__, []
-        for text, units in zip(texts, units_of, strict=True):
-            ids = np.array(self._encode(units[0] if units else text), np.uint32) if text else np.zeros(0, np.uint32)
-            if units:
-                ids = np.frombuffer(ids.tobytes() + b"".join(map(find, units[1:])), np.uint32)
-            out.append(ids)
-        return out
+        joined = iter(self._joined([t for t, own in zip(texts, simple, strict=True) if own]) if any(simple) else ())
+        whole = iter(self._each([t for t, own in zip(texts, simple, strict=True) if not own]))
+        return [next(joined if own else whole) for own in simple]
 
 
 _ENCODERS: dict[str, Encoder] = {}
