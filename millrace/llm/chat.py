@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import let, running, stored
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 BUDGET = 2048
@@ -110,15 +110,14 @@ def windows(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
     )
     grouped = grouped.select("conv_id", "window", "first", "repeated", "over", parts.alias("p"))
 
-    def step(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["head"])
-        upto = start + F.length(p["body"])
-        spans = F.when(p["target"], F.concat(state["spans"], F.array(F.struct(start.alias("start"), upto.alias("upto"))))).otherwise(state["spans"])
-        return F.struct(spans.alias("spans"), (upto + len(CLOSE)).alias("at"))
+    ends = running(F.transform("p", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(CLOSE)))
 
-    zero = F.struct(F.expr("cast(array() as array<struct<start: int, upto: int>>)").alias("spans"), F.lit(0).alias("at"))
+    def span(p: Column, upto: Column) -> Column:
+        return F.when(p["target"], F.struct((upto - F.length(p["body"])).alias("start"), upto.alias("upto")))
+
+    spans = let(ends, lambda e: F.filter(F.transform("p", lambda p, i: span(p, F.get(e, i) - len(CLOSE))), lambda s: s.isNotNull()))
     text = F.array_join(F.transform("p", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
-    return grouped.select("conv_id", "window", "first", "repeated", text.alias("formatted"), F.aggregate("p", zero, step, lambda s: s["spans"]).alias("loss"), "over")
+    return grouped.select("conv_id", "window", "first", "repeated", text.alias("formatted"), spans.alias("loss"), "over")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

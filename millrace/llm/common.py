@@ -42,6 +42,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, both: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """The running sum of an array, or what another associative ``both`` makes of all elements up to each.
+
+    A fold that appends copies what it has for every element. This adds to each what stands 1, 2, 4, ... places
+    before it, so n elements take n log n steps.
+    """
+
+    def of(v: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(v), F.lit(1)))).cast("int")), lambda k: F.call_function("shiftleft", F.lit(1), k))
+        return F.aggregate(steps, v, lambda done, by: F.transform(done, lambda x, i: F.when(i < by, x).otherwise(both(F.get(done, i - by), x))))
+
+    return let(values, of)
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers compressed, the bytes of one weight side by side."""
     planes = numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes() if len(numbers) else b""

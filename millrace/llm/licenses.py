@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import let, running
+
 #: Phrases whose every place counts, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -208,15 +210,12 @@ def _intervals(words: Column, pattern: Column) -> Column:
     between = F.transform(F.split(words, bounded), _spaces)
     sizes = F.filter(F.arrays_zip(between.alias("b"), found.alias("m")), lambda x: x["m"].isNotNull())
 
-    def step(state: Column, x: Column) -> Column:
-        first = state["at"] + x["b"] - 1
-        end = first + x["m"]
-        span = F.struct(first.cast("long").alias("first"), end.cast("long").alias("end"))
-        # The next piece begins with the space after the match, which separates its first word.
-        return F.struct(F.concat(state["spans"], F.array(span)).alias("spans"), end.cast("long").alias("at"))
+    def spans(s: Column) -> Column:
+        # The piece after a match begins with the space that separates its first word.
+        ends = running(F.transform(s, lambda x: (x["b"] - 1 + x["m"]).cast("long")))
+        return let(ends, lambda e: F.transform(s, lambda x, i: F.struct((F.get(e, i) - x["m"]).alias("first"), F.get(e, i).alias("end"))))
 
-    start = F.struct(F.expr("cast(array() as array<struct<first: bigint, end: bigint>>)").alias("spans"), F.lit(0).cast("long").alias("at"))
-    return F.aggregate(sizes, start, step, lambda s: s["spans"])
+    return let(sizes, spans)
 
 
 DETECTION = "array<struct<first: bigint, upto: bigint, priority: int, rule: int, label: string, confidence: double>>"
@@ -242,19 +241,19 @@ def suppress(found: Column, priorities: int = 5) -> Column:
     """Drops detections within another's interval whose priority is the same or better.
 
     In the order of start, longer first, better first, an interval lies within an earlier one just if some
-    earlier end reaches its end; one running end for each priority decides that in a single fold.
+    earlier end of such a priority reaches its end; a running greatest end for each priority decides that.
     """
     rank = F.transform(found, lambda d: F.struct(d["first"].alias("first"), (-d["upto"]).alias("back"), d["priority"].alias("priority"), d["rule"].alias("rule"), d["label"].alias("label"), d["confidence"].alias("confidence")))
     ordered = F.array_sort(rank)
-    start = F.struct(F.array(*[F.lit(-1).cast("long")] * priorities).alias("ends"), F.expr(f"cast(array() as {DETECTION.replace('upto', 'back')})").alias("kept"))
 
-    def step(state: Column, d: Column) -> Column:
-        better = F.array_max(F.slice(state["ends"], F.lit(1), d["priority"] + 1))
-        inside = better >= -d["back"]
-        ends = F.transform(state["ends"], lambda e, i: F.when(i == d["priority"], F.greatest(e, -d["back"])).otherwise(e))
-        return F.struct(F.when(inside, state["ends"]).otherwise(ends).alias("ends"), F.when(inside, state["kept"]).otherwise(F.concat(state["kept"], F.array(d))).alias("kept"))
+    def outer(o: Column) -> Column:
+        def ends(least: int) -> Column:
+            return F.transform(o, lambda d: F.when(d["priority"] <= least, -d["back"]).otherwise(-1))
+
+        reach = F.array(*[running(ends(p), F.greatest) for p in range(priorities)])
+        return let(reach, lambda r: F.filter(o, lambda d, i: F.coalesce(F.get(F.get(r, d["priority"]), i - 1) < -d["back"], F.lit(True))))
 
-    kept = F.aggregate(ordered, start, step, lambda s: s["kept"])
+    kept = let(ordered, outer)
     return F.transform(kept, lambda d: F.struct(d["first"].alias("first"), (-d["back"]).alias("upto"), d["priority"].alias("priority"), d["rule"].alias("rule"), d["label"].alias("label"), d["confidence"].alias("confidence")))
 
 

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import let, running, stored
 
 
 @dataclass(frozen=True)
@@ -68,6 +68,9 @@ MORE = [
 ]
 RULES = BASE + MORE
 
+#: Code points of a chunk that redaction cuts from.
+CHUNK = 1024
+
 SPAN = "struct<first: int, rank: int, upto: int, kind: string, version: string>"
 
 
@@ -80,14 +83,15 @@ def _places(text: Column, rule: Rule, rank: int) -> Column:
     sizes = F.transform(F.arrays_zip(whole.alias("m"), held.alias("g"), between.alias("b")), lambda x: F.struct(F.length(x["b"]).alias("b"), F.length(x["m"]).alias("m"), F.length(x["g"]).alias("g")))
     sizes = F.filter(sizes, lambda x: x["m"].isNotNull())
 
-    def step(state: Column, x: Column) -> Column:
-        first = state["at"] + x["b"]
-        upto = first + x["m"]
-        span = F.struct(first.alias("first"), F.lit(rank).alias("rank"), upto.alias("upto"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"))
-        return F.struct(F.when(x["g"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"), upto.alias("at"))
+    def spans(s: Column, ends: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            upto = F.get(ends, i)
+            place = F.struct((upto - x["m"]).alias("first"), F.lit(rank).alias("rank"), upto.alias("upto"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"))
+            return F.when(x["g"] >= rule.least, place)
+
+        return F.filter(F.transform(s, span), lambda p: p.isNotNull())
 
-    start = F.struct(F.expr(f"cast(array() as array<{SPAN}>)").alias("spans"), F.lit(0).alias("at"))
-    return F.aggregate(sizes, start, step, lambda s: s["spans"])
+    return let(sizes, lambda s: let(running(F.transform(s, lambda x: x["b"] + x["m"])), lambda ends: spans(s, ends)))
 
 
 def spans_of(text: Column, low: Column, rules: list[Rule], unseen: Column | None = None) -> Column:
@@ -162,11 +166,16 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] | N
     order = F.array(*[F.lit(r.version) for r in rules])
     ranked = lambda s: F.struct(s["first"], (F.array_position(order, s["version"]) - 1).cast("int").alias("rank"), s["upto"], s["kind"], s["version"])
     current = everything.where(F.size("spans") > 0).withColumn("spans", F.transform(F.filter("spans", lambda s: F.array_contains(order, s["version"])), ranked))
-    by_blob = current.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    by_blob = current.groupBy("blob").agg(_told_once(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"))
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     return paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), everything
 
 
+def _told_once(ordered: Column) -> Column:
+    """A sorted array without repeats; array_distinct compares every struct with every other one."""
+    return let(ordered, lambda o: F.filter(o, lambda s, i: (i == 0) | (s != F.get(o, i - 1))))
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"], s["upto"])), ",")
@@ -189,13 +198,21 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[secret]", id_col: st
     keys = found.where(F.size("spans") > 0).select("blob", "spans").distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.when(s["first"] > state["at"], F.concat(F.substring(state["rest"], state["at"] + 1, s["first"] - state["at"]), F.lit(mark)))
-        gap = gap.otherwise(F.when(state["at"] < 1, F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(F.concat(state["out"], gap).alias("out"), F.greatest(state["at"], s["upto"]).alias("at"), state["rest"].alias("rest"))
+    # A place in a text is found by walking to it, so texts are cut from chunks of bounded length.
+    def between(chunks: Column, first: Column, upto: Column) -> Column:
+        part = lambda k: F.substring(F.get(chunks, k), F.greatest(first - k * CHUNK, F.lit(0)) + 1, F.least(upto, (k + 1) * CHUNK) - F.greatest(first, k * CHUNK))
+        held = F.sequence(F.floor(first / CHUNK).cast("int"), F.floor((upto - 1) / CHUNK).cast("int"))
+        return F.when(first < upto, F.array_join(F.transform(held, part), "")).otherwise("")
+
+    def marked(spans: Column, chunks: Column, ends: Column) -> Column:
+        def before(s: Column, i: Column) -> Column:
+            last = F.coalesce(F.get(ends, i - 1), F.lit(0))
+            return F.when((i == 0) | (s["first"] > last), F.concat(between(chunks, last, s["first"]), F.lit(mark))).otherwise("")
+
+        return F.concat(F.array_join(F.transform(spans, before), ""), between(chunks, F.element_at(ends, -1), F.length(text)))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), text.alias("rest"))
     tagged = docs.withColumn("millrace_blob", F.sha2(text, 256))
     joined = tagged.join(keys.withColumnRenamed("blob", "millrace_blob").withColumnRenamed("spans", "millrace_spans"), "millrace_blob", "left")
-    cut = F.aggregate("millrace_spans", start, step, lambda s: F.concat(s["out"], F.substring(s["rest"], s["at"] + 1, F.length(s["rest"]))))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    cut = let(F.col("millrace_spans"), lambda s: let(chunks, lambda c: let(running(F.transform(s, lambda x: x["upto"]), F.greatest), lambda ends: marked(s, c, ends))))
     return joined.withColumn(text_col, F.when(F.col("millrace_spans").isNotNull(), cut).otherwise(F.col(text_col))).select(*docs.columns)

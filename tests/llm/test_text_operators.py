@@ -2,12 +2,15 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, licenses, quality_rules, secrets
+from millrace.llm.common import running
 
 DDL = "doc_id long, text string, blob string, w string"
 
@@ -147,6 +150,48 @@ def test_suppression_is_interval_containment(spark):
         assert sorted((d["first"], d["upto"], d["priority"], d["rule"]) for d in got[k]) == brute_suppression([f[:4] for f in found])
 
 
+def test_running_sums(spark):
+    lists = [[], [5], [1, 2], [3, -1, 4, 1, 5], list(range(64)), list(range(65)), [7] * 1000, None]
+    df = spark.createDataFrame(list(enumerate(lists)), "k int, v array<long>")
+    got = {r["k"]: (r["s"], r["m"]) for r in df.select("k", running(df["v"]).alias("s"), running(df["v"], F.greatest).alias("m")).collect()}
+    for k, v in enumerate(lists):
+        assert got[k] == ((None, None) if v is None else (list(itertools.accumulate(v)), list(itertools.accumulate(v, max))))
+
+
+def test_texts_of_many_matches(spark):
+    """Texts of 1 MB and more that match throughout take seconds, and give what brute force gives."""
+    n = 50_000
+    docs = table(spark, ["under the mit license " * n, "é password = 'abc14567'\n" * n])
+    r = licenses.labelled(licenses.scan(docs)).where("doc_id = 0").first()
+    assert (r["n_base"], r["first_word"], r["last_word"], r["n_words"], r["base_labels"]) == (n, 0, 4 * (n - 1), 4 * n, "mit")
+    found, _ = secrets.scan(docs, rules=secrets.BASE)
+    text = "é password = 'abc14567'\n" * n
+    own = found.where("doc_id = 1").select(secrets.listed(F.col("spans")).alias("s")).first()["s"]
+    assert own == ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute_spans(text, secrets.BASE))
+    assert secrets.redact(docs, found).where("doc_id = 1").first()["text"] == "é [secret]'\n" * n
+
+
+def test_redaction_of_long_gaps_and_overlaps(spark):
+    rnd = random.Random(11)
+    texts, spans = [], []
+    for _ in range(60):
+        t = f"{len(texts)} " + "".join(rnd.choice("aé\n😀 b") for _ in range(rnd.choice([0, 5, 1021, 1022, 1023, 5000])))
+        starts = sorted(rnd.randrange(len(t)) for _ in range(rnd.randrange(6)))
+        texts.append(t)
+        spans.append([(a, 0, min(len(t), a + rnd.choice([1, 3, 40, 2048])), "k", "v") for a in starts])
+    docs = table(spark, texts)
+    names = secrets.named(docs).select("doc_id", "blob")
+    found = names.join(spark.createDataFrame(list(enumerate(spans)), f"doc_id long, spans array<{secrets.SPAN}>"), "doc_id")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs, found).collect()}
+    for i, t in enumerate(texts):
+        out, at = [], 0
+        for k, s in enumerate((s[0], s[2]) for s in spans[i]):
+            if k == 0 or s[0] > at:
+                out.append(t[at : s[0]] + "[secret]")
+            at = max(at, s[1])
+        assert got[i] == "".join(out) + t[at:]
+
+
 def test_quality_statistics(spark):
     texts = made(2)
     got = {r["doc_id"]: r for r in quality_rules.judge(table(spark, texts)).collect()}
