@@ -207,15 +207,19 @@ def _intervals(words: Column, pattern: Column) -> Column:
     """Word intervals (first, end) of a pattern's matches; words stand between single spaces."""
     bounded = F.concat(F.lit("(?<= )("), pattern, F.lit(")(?= )"))
     found = F.transform(F.regexp_extract_all(words, bounded, F.lit(0)), lambda m: _spaces(m) + 1)
-    between = F.transform(F.split(words, bounded), _spaces)
-    sizes = F.filter(F.arrays_zip(between.alias("b"), found.alias("m")), lambda x: x["m"].isNotNull())
 
     def spans(s: Column) -> Column:
         # The piece after a match begins with the space that separates its first word.
         ends = running(F.transform(s, lambda x: (x["b"] - 1 + x["m"]).cast("long")))
         return let(ends, lambda e: F.transform(s, lambda x, i: F.struct((F.get(e, i) - x["m"]).alias("first"), F.get(e, i).alias("end"))))
 
-    return let(sizes, spans)
+    def located(f: Column) -> Column:
+        between = F.transform(F.split(words, bounded), _spaces)
+        return let(F.filter(F.arrays_zip(between.alias("b"), f.alias("m")), lambda x: x["m"].isNotNull()), spans)
+
+    # Most rules that pass their gate match nothing, and their text isn't split.
+    none = F.expr("cast(array() as array<struct<first: bigint, end: bigint>>)")
+    return let(found, lambda f: F.when(F.size(f) > 0, located(f)).otherwise(none))
 
 
 DETECTION = "array<struct<first: bigint, upto: bigint, priority: int, rule: int, label: string, confidence: double>>"
