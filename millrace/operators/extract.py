@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import scalars as S
+from millrace.functions.addresses import clean_address
 from millrace.functions.dom import Node, markdown, parse, trim
 from millrace.sources import catalog
 from millrace.sources.specs import DETAIL_SPECS, LIST_SPECS, DetailSpec, ListSpec
@@ -173,7 +174,7 @@ def finished(held: DataFrame, as_of: Column) -> DataFrame:
         shown.alias("date"),
         S.start_date(shown).alias("start_date"),
         S.end_date(shown).alias("end_date"),
-        F.when(F.col("clean"), S.clean_url(address)).otherwise(address).alias("detail_url"),
+        F.coalesce(clean_address(F.when(F.col("clean"), address)), address).alias("detail_url"),
         F.when(~failed, F.when(period, "DURATION").otherwise("REGISTERED")).alias("date_type"),
         F.when(failed, F.col("error")).when(address.isNull(), "the address is neither absolute nor has it a base").alias("error"),
     )

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import addresses
 from millrace.functions import scalars as S
 from millrace.operators import extract
 from millrace.operators import relational as R
@@ -58,11 +59,38 @@ p AS (SELECT page_id, u, list_filter(string_split(regexp_extract(u, '^[^?#]*\?([
       lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('pageIndex', 'pageUnit', 'strWhere', 'searchWrd', 'sdate', 'edate')) AS ps FROM s)
 SELECT page_id, regexp_extract(u, '^[^?#]*', 0) || CASE WHEN regexp_matches(u, '^[a-z]+://[^/?#]+([?#]|$)') THEN '/' ELSE '' END
   || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(list_transform(ps, lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&') ELSE '' END
-  || regexp_extract(u, '#.+$', 0) AS clean_url FROM p""")
+  || regexp_extract(u, '#.*$', 0) AS clean_url FROM p""")
 def clean_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", S.clean_url(F.col("url")).alias("clean_url"))
 
 
+_DOTTED = "(n >> 24) || '.' || (n >> 16 & 255) || '.' || (n >> 8 & 255) || '.' || (n & 255)"
+
+
+@query(f"""
+WITH c AS ({ORACLES["clean_url"]}), a AS (SELECT page_id, page_id AS i, (page_id % 4194304) * 257 + 16777216 AS n FROM pages)
+SELECT page_id, CASE i % 10 WHEN 0 THEN 'https://Me:a%20b@host' || i || '.kr/d?id=' || i WHEN 1 THEN 'http://' || {_DOTTED} || '/' WHEN 2 THEN 'http://' || {_DOTTED} || '/?q=%EA%B0%80'
+  WHEN 3 THEN 'http://[2001:db8::' || lower(to_hex(i % 65535 + 1)) || ']:8080/a' WHEN 4 THEN 'http://xn--bcher-kva.example/' || i || '#' WHEN 5 THEN 'mailto:a' || i || '@b.kr?subject=x+y'
+  WHEN 6 THEN 'ftp://h' || i || '/x' WHEN 7 THEN 'file:///C:/' || i WHEN 8 THEN 'http://1.2.3.' || (256 + i) || '/;a?sdate=1' ELSE clean_url END AS address FROM a JOIN c USING (page_id)""")
+def clean_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with user info, numeric and internationalised hosts, of other schemes, and such that are none, one of ten kinds for each page."""
+    i, n = F.col("page_id").cast("string"), (F.col("page_id") % 4194304) * 257 + 16777216
+    made = [
+        F.concat(F.lit("HTTPS://Me:a b@Host"), i, F.lit(".KR:443/x/../d?id="), i, F.lit("&sdate=1")),
+        F.concat(F.lit("http://"), n.cast("string"), F.lit("?pageIndex=2")),
+        F.concat(F.lit("http://0x"), F.hex(n), F.lit("\\?q=가")),
+        F.concat(F.lit("http://[2001:DB8:0:0:0:0:0:"), F.hex(F.col("page_id") % 65535 + 1), F.lit("]:8080/a")),
+        F.concat(F.lit("http://BÜCHER.example/"), i, F.lit(";s=1?pageUnit=9#")),
+        F.concat(F.lit("mailto:a"), i, F.lit("@b.kr?sdate=1&subject=x y")),
+        F.concat(F.lit("ftp://h"), i, F.lit(":21/./x")),
+        F.concat(F.lit("file:///C|/../"), i),
+        F.concat(F.lit("http://1.2.3."), (256 + F.col("page_id")).cast("string"), F.lit("/;a?sdate=1")),
+        F.col("url"),
+    ]
+    address = F.element_at(F.array(*made), (F.col("page_id") % len(made) + 1).cast("int"))
+    return _table(spark, sf_dir, "pages").select("page_id", address.alias("a")).select("page_id", addresses.clean_address(F.col("a")).alias("address"))
+
+
 @query(r"""
 SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page_no,
   list_extract(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), -1) AS last_segment FROM pages""")
