@@ -435,6 +435,47 @@ def test_ordinal_classifier_on_held_out_rows(spark):
     assert ordinal.select(docs, model).count() == sum(r["p_from_2"] >= 0.5 for r in got.values())
 
 
+def test_ordinal_fit_against_a_plain_likelihood():
+    """Adam over the likelihood as it is defined, with gradients by differences, gives the fitted model."""
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(rnd.choice(["aa", "bb", "cc", "dd", "ee"], rnd.integers(0, 6))) + "!" * int(rnd.integers(0, 3)) for _ in range(25)]
+    grades = rnd.integers(0, 3, len(texts))
+    made = [ordinal.features(t) for t in texts]
+    model = ordinal.fit(np.concatenate([p for p, _ in made]), np.cumsum([len(p) for p, _ in made]), grades, rounds=12, ridge=0.01)
+    used = np.unique(np.concatenate([p for p, _ in made]))
+    x = np.zeros((len(texts), len(used)))
+    for row, (places, values) in zip(x, made, strict=True):
+        np.add.at(row, np.searchsorted(used, places), values)
+    share = np.array([1 / np.sqrt((grades == g).sum()) for g in grades])
+
+    def loss(params):
+        w, low, gap = params[:-2], params[-2], np.exp(params[-1])
+        below = np.stack([np.zeros(len(x)), 1 / (1 + np.exp(x @ w - low)), 1 / (1 + np.exp(x @ w - low - gap)), np.ones(len(x))])
+        each = below[grades + 1, np.arange(len(x))] - below[grades, np.arange(len(x))]
+        return -(share / share.sum() * np.log(each)).sum() + 0.01 / 2 * (w * w).sum()
+
+    params, m, v = np.array([0.0] * len(used) + [-1.0, 0.0]), 0.0, 0.0
+    for t in range(1, 13):
+        grad = np.array([(loss(params + d) - loss(params - d)) / 2e-5 for d in 1e-5 * np.eye(len(params))])
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        params = params - 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    assert model.weights[used] == pytest.approx(params[:-2], abs=2e-3)
+    assert model.thresholds == pytest.approx([params[-2], params[-2] + np.exp(params[-1])], abs=2e-3)
+    assert not np.delete(model.weights, used).any()
+    # Scores of texts by the definition of the tails.
+    tails = model.tails(np.array([model.weights[p] @ v for p, v in made]))
+    assert tails == pytest.approx(np.stack([1 / (1 + np.exp(th - x @ model.weights[used])) for th in model.thresholds], axis=1))
+
+
+def test_classifier_on_empty_documents_and_a_very_long_text(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(1, "good word " * 200_000, 7), (2, "", 8)], "doc_id long, text string, expected_grade int")
+    model = ordinal.train(docs, labels)
+    assert {r["doc_id"]: r["p_from_2"] >= 0.5 for r in ordinal.score(docs, model).collect()} == {1: True, 2: False}
+    assert ordinal.score(docs.limit(0), model).count() == ordinal.select(docs.limit(0), model).count() == 0
+    assert ordinal.score(docs, ordinal.train(docs.limit(0), labels)).count() == 2
+
+
 def test_classifier_without_labels_keeps_all(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     model = ordinal.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))

@@ -227,6 +227,43 @@ def test_em_finds_the_rules_accuracies():
     assert model.given[0]["g"]["g"] > model.given[7]["g"]["g"]
 
 
+def plain_em(rows, most=100, tolerance=1e-7):
+    """Dawid and Skene's EM over single rows, in plain products: the posterior of each row, and how many rounds it took."""
+    start = [(p.count("g") + 2) / (p.count("g") + 2 * p.count("b") + 4) if "b" in p else 0.95 for p in rows]
+    belief, last = start, None
+    for turn in range(1, most + 1):
+        share = (sum(belief) + 1) / (len(rows) + 2)
+        tables = []
+        for k in range(len(quality_rules.RULES)):
+            own = {}
+            for c, of in (("g", lambda q: q), ("b", lambda q: 1 - q)):
+                mass = {v: 1.0 + 2.0 * (v == c) + sum(of(q) for p, q in zip(rows, belief, strict=True) if p[k] == v) for v in "gba"}
+                own[c] = {v: x / sum(mass.values()) for v, x in mass.items()}
+            tables.append(own)
+        belief = []
+        for p in rows:
+            good, bad = share, 1 - share
+            for v, own in zip(p, tables, strict=True):
+                good, bad = good * own["g"][v], bad * own["b"][v]
+            belief.append(good / (good + bad))
+        now = sum(max(q, 1 - q) for q in belief)
+        if last is not None and abs(now - last) <= tolerance * len(rows):
+            return belief, turn
+        last = now
+    return belief, most
+
+
+def test_posterior_and_kept_against_plain_em(spark):
+    texts = made(9, 80) + ["all is well here. " * 30, "ALL CAPS | $$$ " * 40] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = quality_rules.judge(docs).orderBy("doc_id").collect()
+    belief, turns = plain_em([r["votes"] for r in got])
+    assert turns < 100  # it has converged
+    assert [r["posterior"] for r in got] == pytest.approx(belief, abs=1e-9)
+    assert [r["kept"] for r in got] == [not r["base_failed"] and q >= quality_rules.KEEP for r, q in zip(got, belief, strict=True)]
+    assert {r["kept"] for r in got} == {True, False}
+
+
 def brute_spans(t, rules):
     out = []
     for rank, r in enumerate(rules):
