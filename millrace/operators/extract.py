@@ -98,7 +98,8 @@ class ListRows:
 def register(spark: SparkSession) -> None:
     """Names ``list_rows(html, layout)`` and the table ``list_layout_rules`` for SQL of this session."""
     kind = T.StructType([T.StructField("n", T.IntegerType()), *RAW_ITEM.fields])
-    spark.udtf.register("list_rows", F.udtf(ListRows, returnType=kind, useArrow=True))
+    # Pickled: by Arrow each page's rows are a batch of their own, which takes longer than parsing them; Arrow's own table functions can't stand in LATERAL.
+    spark.udtf.register("list_rows", F.udtf(ListRows, returnType=kind, useArrow=False))
     catalog.list_specs(spark).createOrReplaceTempView("list_layout_rules")
 
 
