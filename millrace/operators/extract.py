@@ -235,7 +235,8 @@ def _detail_udf(compat: bool):
 
     @F.pandas_udf(DETAIL)
     def details(html: pd.Series, layout: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([of(p, n) for p, n in zip(html, layout, strict=True)], columns=DETAIL.names, dtype=object)
+        rows = [of(p, n) for p, n in zip(html, layout, strict=True)]
+        return pd.DataFrame({c: [r.get(c) for r in rows] for c in DETAIL.names}, dtype=object)
 
     return details
 

@@ -106,6 +106,11 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(shown(x) for i, x in enumerate(r) if i != 1) + ')' for r in rows)}) AS l({columns})"
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows in even shares, four for each core: a scan's shares go by bytes of the file, but a number's work is its pages of all layouts."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _each(rows: DataFrame, layouts: list[tuple]) -> DataFrame:
     """Every row once for each layout, with the layout's name and page."""
     return rows.select("*", F.explode(F.array(*[F.struct(F.lit(x[0]).alias("layout"), F.lit(x[1]).alias("page")) for x in layouts])).alias("l")).select("*", "l.*").drop("l")
@@ -121,7 +126,7 @@ def list_pages(rows: DataFrame, number: str, first: Column, last: Column) -> Dat
     """``(page_id, layout, html, list_spec, params)``: each row's page of every list layout."""
     shown = lambda c, form: F.date_format(c, form)
     own = {"n": F.col(number).cast("string"), "d": shown(first, "yyyy.MM.dd"), "e": shown(last, "yyyy.MM.dd"), "y": shown(first, "yyyy"), "m": shown(first, "MM.dd"), "s": shown(first, "yy.MM.dd")}
-    made = _each(rows.select(number, *[v.alias(f"v_{k}") for k, v in own.items()]), LISTS)
+    made = _each(_dealt(rows).select(number, *[v.alias(f"v_{k}") for k, v in own.items()]), LISTS)
     html = _filled(F.col("page"), {k: F.col(f"v_{k}") for k in own})
     params = F.create_map(*[F.lit(x) for kv in PARAMS.items() for x in kv])
     return made.select(F.concat_ws("/", "layout", number).alias("page_id"), html.alias("html"), F.col("layout").alias("list_spec"), params.alias("params"))
@@ -129,7 +134,7 @@ def list_pages(rows: DataFrame, number: str, first: Column, last: Column) -> Dat
 
 def detail_pages(rows: DataFrame, number: str, content: Column, attached: Column) -> DataFrame:
     """``(number, layout, html, detail_spec)``: each row's page of every detail layout."""
-    made = _each(rows.select(number, content.alias("v_c"), attached.alias("v_f")), DETAILS)
+    made = _each(_dealt(rows).select(number, content.alias("v_c"), attached.alias("v_f")), DETAILS)
     html = F.when(F.col("v_f"), F.regexp_replace("page", r"\{f:([^}]*)\}", "$1")).otherwise(F.regexp_replace("page", r"\{f:[^}]*\}", ""))
     html = _filled(html, {"c": F.col("v_c"), "n": F.col(number).cast("string")})
     return made.select(number, "layout", html.alias("html"), F.col("layout").alias("detail_spec"))
