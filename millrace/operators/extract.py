@@ -7,9 +7,10 @@ layouts, so that Catalyst sees and prunes them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,10 @@ from millrace.sources.specs import DETAIL_SPECS, LIST_SPECS, DetailSpec, ListSpe
 
 RAW_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("href", "on_click", "title", "date", "end_date", "error")])
 DETAIL = T.StructType([T.StructField("detail_content", T.StringType()), T.StructField("has_attached_file", T.BooleanType()), T.StructField("has_attached_image", T.BooleanType()), T.StructField("error", T.StringType())])
+ARROW_ITEMS = pa.list_(pa.struct([(n, pa.string()) for n in RAW_ITEM.names]))
+ARROW_DETAIL = pa.struct([(f.name, pa.bool_() if f.dataType == T.BooleanType() else pa.string()) for f in DETAIL])
+#: Pages whose results are Python objects at once.
+SLICE = 200
 
 # --- lists --------------------------------------------------------------------------------------------
 
@@ -82,9 +87,18 @@ def page_rows(page: str | None, layout: str | None) -> list[dict]:
     return [r for r in found if r is not None]
 
 
-@F.pandas_udf(T.ArrayType(RAW_ITEM))
-def raw_items(html: pd.Series, layout: pd.Series) -> pd.Series:
-    return pd.Series([page_rows(p, n) for p, n in zip(html, layout, strict=True)], dtype=object)
+def _by_slices(kind: pa.DataType, of: Callable[[str | None, str | None], object], html: pa.Array, layout: pa.Array) -> pa.Array:
+    """``of`` each page. Its result is Python objects, which take many times what they take as Arrow: those of ``SLICE`` pages stand at once."""
+    done = []
+    for at in range(0, len(html), SLICE):
+        pages = zip(html.slice(at, SLICE).to_pylist(), layout.slice(at, SLICE).to_pylist(), strict=True)
+        done.append(pa.array([of(p, n) for p, n in pages], kind))
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
+@F.arrow_udf(T.ArrayType(RAW_ITEM))
+def raw_items(html: pa.Array, layout: pa.Array) -> pa.Array:
+    return _by_slices(ARROW_ITEMS, page_rows, html, layout)
 
 
 class ListRows:
@@ -233,10 +247,9 @@ def _detail_udf(compat: bool):
         except Exception as e:  # a page's failure is a row, not the job's end
             return {"error": f"{type(e).__name__}: {e}"}
 
-    @F.pandas_udf(DETAIL)
-    def details(html: pd.Series, layout: pd.Series) -> pd.DataFrame:
-        rows = [of(p, n) for p, n in zip(html, layout, strict=True)]
-        return pd.DataFrame({c: [r.get(c) for r in rows] for c in DETAIL.names}, dtype=object)
+    @F.arrow_udf(DETAIL)
+    def details(html: pa.Array, layout: pa.Array) -> pa.Array:
+        return _by_slices(ARROW_DETAIL, of, html, layout)
 
     return details
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,4 +171,5 @@ def list_specs(spark: SparkSession) -> DataFrame:
         rule, origin, *rest = s.url
         arg, to = (*rest, "", "")[:2]
         rows.append((s.name, *s.ident, rule, origin, arg, to, s.dates, s.date_prefix, s.drop_text, s.widen_tilde, s.need_href, s.need_id, s.clean))
-    return spark.createDataFrame(rows, LIST_SPEC_DDL)
+    names = [c.split()[0] for c in LIST_SPEC_DDL.split(",")]
+    return spark.createDataFrame(pa.table(dict(zip(names, zip(*rows, strict=True), strict=True))), LIST_SPEC_DDL)  # rows of the JVM, for which no task starts Python

@@ -3,7 +3,9 @@
 import datetime
 import random
 import time
+import weakref
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +281,28 @@ def test_pages_of_all_layouts_are_dealt_in_even_shares(spark):
     for made, n in ((layout_pages.list_pages(rows, "page_id", day, day), 31), (layout_pages.detail_pages(rows, "page_id", F.lit("c"), F.lit(True)), 25)):
         shares = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(shares) == 320 * n and len(shares) == 16 and max(shares) <= 2 * 20 * n
+
+
+def test_results_of_few_pages_are_python_objects_at_once(monkeypatch):
+    class Rows(list):
+        """A list that a weak reference can name."""
+
+    live, most = [], []
+
+    def rows(page, layout):
+        found = Rows([{"title": page, "error": layout}])
+        live.append(weakref.ref(found))
+        most.append(sum(r() is not None for r in live))
+        return found
+
+    monkeypatch.setattr(extract, "page_rows", rows)
+    n = 5 * extract.SLICE + 7
+    got = extract.raw_items.func(pa.array([str(i) for i in range(n)]), pa.array(["kras"] * n))
+    assert [r[0]["title"] for r in got.to_pylist()] == [str(i) for i in range(n)] and max(most) <= 2 * extract.SLICE
+    assert extract.raw_items.func(pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
+
+
+def test_rules_of_layouts_need_no_python_task(spark):
+    rows = catalog.list_specs(spark)
+    assert "ExistingRDD" not in rows._jdf.queryExecution().toString()
+    assert {r["list_spec"]: r["date_rule"] for r in rows.collect()} == {s.name: s.dates for s in LISTS}
